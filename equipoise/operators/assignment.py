@@ -16,12 +16,16 @@ from equipoise.functions.geometry import Centers, center_matrix, nearest_rows, s
 LITERAL_TERMS = 32
 
 
+def _dimension_error(dim: int) -> str:
+    return f"every point must have {dim} coordinates, none of them null"
+
+
 def coords_to_numpy(column: pa.Array, dim: int) -> np.ndarray:
     """An Arrow ``array<double>`` column as an n x dim matrix, without a copy."""
     values = column.flatten()
     widths = np.diff(column.offsets.to_numpy())
     if column.null_count or values.null_count or (widths != dim).any():
-        raise ValueError(f"every point must have {dim} coordinates, none of them null")
+        raise ValueError(_dimension_error(dim))
     return values.to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
@@ -61,16 +65,14 @@ def assign(
             F.col("_nearest.sq_dist").alias(sq_dist_col),
         )
     dim = matrix.shape[1]
-    checked = F.when(F.size(coords) == dim, coords).otherwise(
-        F.raise_error(F.lit(f"every point must have {dim} coordinates"))
-    )
-    # array_position finds the first of equal distances, so ties go to the lowest index.
-    spread = points.withColumn("_coords", checked).withColumn(
-        "_dists", F.array(*[squared_distance(F.col("_coords"), c) for c in matrix])
-    )
-    lowest = spread.withColumn("_lowest", F.array_min("_dists"))
-    return lowest.select(
-        *keep,
-        (F.array_position("_dists", F.col("_lowest")) - 1).cast("int").alias(cluster_col),
-        F.col("_lowest").alias(sq_dist_col),
+    # A wrong size leaves no distances and a null coordinate leaves none that is not null.
+    dists = F.when(F.size(coords) == dim, F.array(*[squared_distance(coords, c) for c in matrix]))
+    failure = F.raise_error(F.lit(_dimension_error(dim))).cast("double")
+    lowest = F.coalesce(F.array_min("_dists"), failure)
+    measured = points.withColumn("_dists", dists).withColumn("_lowest", lowest)
+    # The first of equal distances is found, so ties go to the lowest index. Being declared not
+    # null keeps a join on the cluster from evaluating all of this a second time as a filter.
+    position = F.coalesce(F.array_position("_dists", F.col("_lowest")), F.lit(1))
+    return measured.select(
+        *keep, (position - 1).cast("int").alias(cluster_col), F.col("_lowest").alias(sq_dist_col)
     )

@@ -19,10 +19,9 @@ from equipoise.operators.objectives import GROUP_A, GROUP_B
 
 CODE_A, CODE_B, CODE_OTHER = 0, 1, 2
 
-# Sums travel in chunks of this many columns, which keeps the aggregate compiled for any dimension.
-_CHUNK = 32
-
-_SUM_COLUMNS = [f"v{i}" for i in range(_CHUNK)]
+# Sums travel in chunks of at most this many columns, which keeps the aggregate compiled for any
+# dimension.
+_MAX_CHUNK = 32
 
 
 def group_code(group_col: str = "grp", only_two: bool = False) -> Column:
@@ -73,7 +72,7 @@ def block_moments(blocks: DataFrame, centers: Centers) -> DataFrame:
                 total.add(x, np.frombuffer(codes.as_buffer(), dtype=np.int8))
         yield total.to_arrow()
 
-    return _merge(blocks.mapInArrow(partial, _partial_schema()), dim)
+    return _merge(blocks.mapInArrow(partial, _partial_schema(dim)), dim)
 
 
 def cluster_moments(points: DataFrame, centers: Centers, only_two: bool = False) -> DataFrame:
@@ -102,7 +101,7 @@ def cluster_moments(points: DataFrame, centers: Centers, only_two: bool = False)
             total.add(coords_to_numpy(batch.column(0), dim), codes)
         yield total.to_arrow()
 
-    return _merge(source.mapInArrow(partial, _partial_schema()), dim)
+    return _merge(source.mapInArrow(partial, _partial_schema(dim)), dim)
 
 
 class _Accumulator:
@@ -125,11 +124,13 @@ class _Accumulator:
 
     def to_arrow(self) -> pa.RecordBatch:
         key = np.flatnonzero(self.n)
-        chunks = -(-len(self.sums) // _CHUNK)
-        values = np.zeros((chunks * _CHUNK, len(key)))
+        names = _sum_columns(len(self.sums) - 1)
+        width = len(names)
+        chunks = -(-len(self.sums) // width)
+        values = np.zeros((chunks * width, len(key)))
         values[: len(self.sums)] = self.sums[:, key]
         # Stack the chunks below each other, so that a row is one (key, chunk).
-        values = values.reshape(chunks, _CHUNK, len(key)).transpose(1, 0, 2).reshape(_CHUNK, -1)
+        values = values.reshape(chunks, width, len(key)).transpose(1, 0, 2).reshape(width, -1)
         first = np.repeat(np.arange(chunks) == 0, len(key))
         columns = [
             pa.array(np.tile(key // 3, chunks).astype(np.int32)),
@@ -138,20 +139,26 @@ class _Accumulator:
             pa.array(np.where(first, np.tile(self.n[key], chunks), 0)),
             *[pa.array(v) for v in values],
         ]
-        return pa.RecordBatch.from_arrays(columns, ["cluster", "code", "chunk", "n", *_SUM_COLUMNS])
+        return pa.RecordBatch.from_arrays(columns, ["cluster", "code", "chunk", "n", *names])
+
+
+def _sum_columns(dim: int) -> list[str]:
+    """Names of the columns of one chunk; the cost comes before the ``dim`` sums."""
+    return [f"v{i}" for i in range(min(_MAX_CHUNK, 1 + dim))]
 
 
-def _partial_schema() -> str:
-    return "cluster int, code tinyint, chunk int, n bigint, " + ", ".join(f"{c} double" for c in _SUM_COLUMNS)
+def _partial_schema(dim: int) -> str:
+    sums = ", ".join(f"{c} double" for c in _sum_columns(dim))
+    return f"cluster int, code tinyint, chunk int, n bigint, {sums}"
 
 
 def _merge(partials: DataFrame, dim: int) -> DataFrame:
-    """Add up the partial sums of all tasks; only columns that carry values are shuffled."""
-    used = _SUM_COLUMNS[: min(_CHUNK, 1 + dim)]
+    """Add up the partial sums of all tasks."""
+    used = _sum_columns(dim)
     merged = partials.groupBy("cluster", "code", "chunk").agg(
         F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in used]
     )
-    if 1 + dim <= _CHUNK:
+    if len(used) == 1 + dim:
         return merged.select(
             "cluster", "code", "n", F.col("v0").alias("cost"), F.array(*used[1:]).alias("sums")
         )

@@ -37,8 +37,8 @@ def count_prefix(
     """Process the first ``t`` items of a streaming frame and return ``(kind, d, key, counter)``.
 
     ``order_by`` orders the items within a micro-batch; without it they count in arrival order.
-    Blocks until ``t`` items are in or a finite source ends. Running it again with the same
-    folders resumes where it stopped.
+    Blocks until ``t`` items are in or a finite source ends. After a failure the same call with
+    the same folders resumes where it stopped; another ``t`` needs folders of its own.
     """
     if t < 1:
         raise ValueError("the number of items must be at least 1")
