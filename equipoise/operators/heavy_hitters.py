@@ -14,8 +14,8 @@ from equipoise.operators.sketches import (
     with_count_sketch_estimate,
 )
 
-# Up to this many values each task keeps its own top K and one task merges them.
-_TOP_VALUES = 100_000
+# Up to this many values each task keeps its own top K and one task merges them all.
+_TOP_VALUES = 1_000
 
 
 def kth_frequency(freq: DataFrame, k: int) -> DataFrame:

@@ -69,8 +69,9 @@ def fair_kmeans(
     blocks = pack_points(points, first.dim, only_two=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         matrix = _train(points, k, 0, seed) if start is None else center_matrix(start)
+        tasks = blocks.rdd.getNumPartitions()
         for round_no in range(max_iter):
-            moments = MomentTable.collect(block_moments(blocks, matrix), *matrix.shape)
+            moments = MomentTable.collect(block_moments(blocks, matrix, tasks), *matrix.shape)
             if round_no == 0 and not (moments.n[CODE_A].any() and moments.n[CODE_B].any()):
                 return standard_kmeans(points, k, max_iter, seed)
             matrix = finish_step(moments, matrix).centers

@@ -23,6 +23,9 @@ CODE_A, CODE_B, CODE_OTHER = 0, 1, 2
 # dimension.
 _MAX_CHUNK = 32
 
+# Up to this many partial sums (16 MB) go straight to the driver; more are added up by a shuffle.
+_DRIVER_VALUES = 2_000_000
+
 
 def group_code(group_col: str = "grp", only_two: bool = False) -> Column:
     """0 for A, 1 for B; another label is 2, or an error where only the two groups make sense."""
@@ -59,8 +62,11 @@ def pack_points(points: DataFrame, dim: int, only_two: bool = False) -> DataFram
     return source.mapInArrow(pack, "coords binary, codes binary")
 
 
-def block_moments(blocks: DataFrame, centers: Centers) -> DataFrame:
-    """Moments of packed points; see ``cluster_moments``."""
+def block_moments(blocks: DataFrame, centers: Centers, tasks: int | None = None) -> DataFrame:
+    """Moments of packed points; see ``point_moments``.
+
+    If the number of tasks is given and bounds the partial sums, they are not shuffled.
+    """
     matrix = center_matrix(centers)
     dim = matrix.shape[1]
 
@@ -72,26 +78,27 @@ def block_moments(blocks: DataFrame, centers: Centers) -> DataFrame:
                 total.add(x, np.frombuffer(codes.as_buffer(), dtype=np.int8))
         yield total.to_arrow()
 
-    return _merge(blocks.mapInArrow(partial, _partial_schema(dim)), dim)
+    partials = blocks.mapInArrow(partial, _partial_schema(dim))
+    if tasks is not None and tasks * 3 * len(matrix) * (2 + dim) <= _DRIVER_VALUES:
+        return partials
+    return _merge(partials, dim)
 
 
-def cluster_moments(points: DataFrame, centers: Centers, only_two: bool = False) -> DataFrame:
-    """``(cluster, code, n, cost, sums)`` per cluster and group that hold points.
+def point_moments(points: DataFrame, centers: Centers, only_two: bool = False) -> DataFrame:
+    """``(cluster, code, chunk, n, v0, v1, ...)`` of the clusters and groups that hold points.
 
-    ``cost`` is the summed squared distance to the centre, ``sums`` the vector sum.
+    ``n`` counts the points. The values of a key, over its chunks, are the summed squared
+    distance to the centre and then the vector sum. ``MomentTable`` reads these rows.
     """
     matrix = center_matrix(centers)
     dim = matrix.shape[1]
     source = points.select("coords", group_code(only_two=only_two).alias("code"))
-    if uses_literals(matrix):
+    if uses_literals(matrix) and dim < _MAX_CHUNK:
+        sums = [F.sum("sq_dist"), *[F.sum(F.col("coords")[j]) for j in range(dim)]]
         return (
             assign(source, matrix)
-            .groupBy("cluster", "code")
-            .agg(
-                F.count("*").alias("n"),
-                F.sum("sq_dist").alias("cost"),
-                F.array(*[F.sum(F.col("coords")[j]) for j in range(dim)]).alias("sums"),
-            )
+            .groupBy("cluster", "code", F.lit(0).alias("chunk"))
+            .agg(F.count("*").alias("n"), *[s.alias(f"v{i}") for i, s in enumerate(sums)])
         )
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,22 +161,8 @@ def _partial_schema(dim: int) -> str:
 
 def _merge(partials: DataFrame, dim: int) -> DataFrame:
     """Add up the partial sums of all tasks."""
-    used = _sum_columns(dim)
-    merged = partials.groupBy("cluster", "code", "chunk").agg(
-        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in used]
-    )
-    if len(used) == 1 + dim:
-        return merged.select(
-            "cluster", "code", "n", F.col("v0").alias("cost"), F.array(*used[1:]).alias("sums")
-        )
-    # A key has as many rows as the dimension has chunks.
-    parts = F.sort_array(F.collect_list(F.struct("chunk", F.array(*used).alias("v"))))
-    joined = merged.groupBy("cluster", "code").agg(
-        F.sum("n").alias("n"), F.flatten(F.transform(parts, lambda p: p["v"])).alias("v")
-    )
-    return joined.select(
-        "cluster", "code", "n", F.col("v")[0].alias("cost"), F.slice("v", 2, dim).alias("sums")
-    )
+    sums = [F.sum(c).alias(c) for c in ("n", *_sum_columns(dim))]
+    return partials.groupBy("cluster", "code", "chunk").agg(*sums)
 
 
 @dataclass(frozen=True)
@@ -182,10 +175,15 @@ class MomentTable:
 
     @classmethod
     def collect(cls, moments: DataFrame, k: int, dim: int) -> MomentTable:
-        """Bring the rows to the driver: at most three per centre, and the centres came from there."""
-        table = cls(np.zeros((3, k), dtype=np.int64), np.zeros((3, k)), np.zeros((3, k, dim)))
-        for row in moments.collect():
-            table.n[row.code, row.cluster] = row.n
-            table.cost[row.code, row.cluster] = row.cost
-            table.sums[row.code, row.cluster] = row.sums
-        return table
+        """Bring the rows to the driver: a few per centre, and the centres came from there."""
+        rows = moments.toArrow()
+        key = (rows["code"].to_numpy(), rows["cluster"].to_numpy())
+        n = np.zeros((3, k), dtype=np.int64)
+        np.add.at(n, key, rows["n"].to_numpy())
+        names = _sum_columns(dim)
+        chunks = -(-(1 + dim) // len(names))
+        values = np.zeros((chunks, len(names), 3, k))
+        for i, name in enumerate(names):
+            np.add.at(values[:, i], (rows["chunk"].to_numpy(), *key), rows[name].to_numpy())
+        values = values.reshape(-1, 3, k)
+        return cls(n, values[0], np.moveaxis(values[1 : 1 + dim], 0, -1))

@@ -45,11 +45,12 @@ def _round(name: str, col: Column | str | None = None) -> Column:
     return F.round(name if col is None else col, ROUND_DIGITS).alias(name)
 
 
-def _center_columns(centers: DataFrame) -> DataFrame:
+def _center_columns(centers: DataFrame, *more: str) -> DataFrame:
     return centers.select(
         F.col("center_id").alias("cluster"),
         _round("cx", F.col("coords")[0]),
         _round("cy", F.col("coords")[1]),
+        *more,
     )
 
 
@@ -179,6 +180,11 @@ def _group_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return totals.select("n", "na", "nb", _round("delta"), _round("phi"))
 
 
+def _cluster_report(spark: SparkSession, sf: str) -> DataFrame:
+    clusters = reports.group_statistics(views.points(spark, sf, keep_foreign=True), CENTERS).clusters
+    return _center_columns(clusters, "na", "nb")
+
+
 def _cluster_moments(spark: SparkSession, sf: str) -> DataFrame:
     moments = fair.fair_moments(views.points(spark, sf), CENTERS)
     return moments.select(
@@ -371,6 +377,7 @@ QUERIES: dict[str, Query] = {
     "cluster_group_counts": _cluster_group_counts,
     "cluster_group_counts_salted": _cluster_group_counts_salted,
     "group_statistics": _group_statistics,
+    "cluster_report": _cluster_report,
     "cluster_moments": _cluster_moments,
     "fair_fixed_costs": _fair_fixed_costs,
     "fair_line_search": _fair_line_search,

@@ -248,6 +248,12 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (WHERE grp = 'B') AS nb, avg(dist) AS delta, {_PHI} FROM near)""",
         foreign=True,
     ),
+    "cluster_report": _given(
+        """SELECT center_id AS cluster, round(cx, 6) AS cx, round(cy, 6) AS cy,
+        count(*) FILTER (WHERE grp = 'A') AS na, count(*) FILTER (WHERE grp = 'B') AS nb
+        FROM centers LEFT JOIN near ON cluster = center_id GROUP BY center_id, cx, cy""",
+        foreign=True,
+    ),
     "cluster_moments": _fair(
         """SELECT center_id AS cluster, n_a, round(ax, 6) AS mx_a, round(ay, 6) AS my_a,
         n_b, round(bx, 6) AS mx_b, round(by_, 6) AS my_b FROM means_r1"""

@@ -10,7 +10,7 @@ from equipoise.functions.geometry import Centers, center_matrix
 from equipoise.functions.hashing import SketchParams
 from equipoise.operators.heavy_hitters import heavy_hitter_errors, heavy_hitter_listing
 from equipoise.operators.kmeans import DEFAULT_SEED, fair_kmeans, standard_kmeans
-from equipoise.operators.moments import CODE_A, CODE_B, MomentTable, cluster_moments
+from equipoise.operators.moments import CODE_A, CODE_B, MomentTable, point_moments
 from equipoise.operators.objectives import compare_objectives
 from equipoise.operators.wordcount import num_documents, word_count, word_statistics
 from equipoise.streaming.bounded import count_min_of, count_of, frequencies_of
@@ -32,7 +32,7 @@ class GroupStatistics(NamedTuple):
 def group_statistics(points: DataFrame, centers: Centers) -> GroupStatistics:
     """Sizes, objectives and per-cluster group counts of given centres, from one pass over the points."""
     matrix = center_matrix(centers)
-    moments = MomentTable.collect(cluster_moments(points, matrix), *matrix.shape)
+    moments = MomentTable.collect(point_moments(points, matrix), *matrix.shape)
     n, cost = moments.n.sum(axis=1), moments.cost.sum(axis=1)
     mean = [float(cost[g] / n[g]) if n[g] else 0.0 for g in (CODE_A, CODE_B)]
     delta = float(cost.sum() / n.sum()) if n.sum() else None

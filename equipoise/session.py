@@ -41,10 +41,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer splits than the cluster has cores.
+    """Rebalance a scan that would leave most of the cluster idle.
 
-    A single small file is one task however many cores there are. A large table already has
-    more splits than cores and comes back unchanged, so this never adds a shuffle at scale.
+    A single small file is one task however many cores there are. A table with a split for every
+    fourth core comes back unchanged, so what is moved is at most a quarter of a split per core.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 4 < cores else scan

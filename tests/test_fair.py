@@ -13,7 +13,7 @@ from equipoise.operators.fair_step import (
     line_search,
 )
 from equipoise.operators.kmeans import fair_kmeans, initial_centers, standard_kmeans
-from equipoise.operators.moments import CODE_OTHER, MomentTable, block_moments, cluster_moments, pack_points
+from equipoise.operators.moments import CODE_OTHER, MomentTable, block_moments, pack_points, point_moments
 from equipoise.operators.objectives import fair_objective
 from equipoise.plans.reports import clustered_group_statistics, fair_vs_standard
 from equipoise.sources.mixture import mixture_points
@@ -31,13 +31,13 @@ def centers_of(df):
 
 
 @pytest.mark.parametrize("dim", [2, 31, 32, 70])
-@pytest.mark.parametrize("packed", [False, True])
-def test_moments_in_any_dimension(points_of, dim, packed):
+@pytest.mark.parametrize("packed, tasks", [(False, None), (True, None), (True, 3)])
+def test_moments_in_any_dimension(points_of, dim, packed, tasks):
     x, grp = random_points(120, dim, dim)
     grp[:5] = "C"
     centers = x[[0, 40, 80]]
     points = points_of(list(zip(x, grp))).repartition(3)
-    frame = block_moments(pack_points(points, dim), centers) if packed else cluster_moments(points, centers)
+    frame = block_moments(pack_points(points, dim), centers, tasks) if packed else point_moments(points, centers)
     table = MomentTable.collect(frame, 3, dim)
     dist = ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
     for cluster in range(3):

@@ -76,3 +76,13 @@ def test_threshold_reuses_the_frequency_shuffle(spark, sf_dir):
     frame = QUERIES["heavy_hitters"](spark, sf_dir)
     frame.collect()
     assert "ReusedExchange" in plan_of(frame).split("== Initial Plan ==")[0]
+
+
+def test_prefix_cut_reaches_the_scan(spark, sf_dir):
+    plan = plan_of(QUERIES["items_prefix"](spark, sf_dir))
+    assert re.search(r"PushedFilters: \[.*LessThanOrEqual\(event_id,\d+\)", plan), plan
+
+
+def test_a_join_on_the_cluster_does_not_assign_twice(spark, sf_dir):
+    plan = plan_of(QUERIES["cluster_group_counts"](spark, sf_dir))
+    assert plan.count("array_position") == 1 or "Filter" not in plan.split("== Initial Plan ==")[-1]

@@ -106,9 +106,10 @@ def test_shared_dir_follows_the_session(spark):
     assert re.search(r"/work-[0-9a-f]{32}$", shared_dir(spark, "work"))
 
 
-def test_spread_leaves_wide_scans_alone(spark):
-    wide = spark.range(100, numPartitions=32)
+def test_spread_leaves_wide_scans_alone(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 16)
+    wide = spark.range(100, numPartitions=4)
     assert spread(wide) is wide
-    narrow = spread(spark.range(100, numPartitions=1))
-    assert narrow.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    narrow = spread(spark.range(100, numPartitions=3))
+    assert narrow.rdd.getNumPartitions() == 16
     assert narrow.agg(F.sum("id")).first()[0] == 4950
