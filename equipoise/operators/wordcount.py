@@ -39,10 +39,10 @@ def word_count(
     if strategy == "salted":
         if num_salts < 1:
             raise ValueError("num_salts must be at least 1")
-        # A hash of the content, unlike a random number, salts a retried task the same way.
-        words = documents.select(
-            F.xxhash64(text).alias("doc_hash"), F.explode(space_tokens(text)).alias("word")
-        )
+        # A hash of the content, unlike a random number, salts a retried task the same way. It is
+        # taken before the words part, or every word would hash its whole text.
+        hashed = documents.select(F.xxhash64(text).alias("doc_hash"), text.alias("text"))
+        words = hashed.select("doc_hash", F.explode(space_tokens(F.col("text"))).alias("word"))
         key = F.pmod(F.xxhash64("doc_hash", "word"), F.lit(num_salts))
     elif strategy == "partition":
         words = documents.select(F.explode(space_tokens(text)).alias("word"))

@@ -108,8 +108,8 @@ def test_shared_dir_follows_the_session(spark):
 
 def test_spread_leaves_wide_scans_alone(spark, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 16)
-    wide = spark.range(100, numPartitions=4)
+    wide = spark.range(100, numPartitions=9)
     assert spread(wide) is wide
-    narrow = spread(spark.range(100, numPartitions=3))
+    narrow = spread(spark.range(100, numPartitions=8))
     assert narrow.rdd.getNumPartitions() == 16
     assert narrow.agg(F.sum("id")).first()[0] == 4950
