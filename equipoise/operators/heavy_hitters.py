@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from equipoise.functions.hashing import SketchParams
 from equipoise.operators.frequencies import frequency_totals
-from equipoise.operators.sketches import (
-    count_min_sketch,
-    count_sketch,
-    with_count_min_estimate,
-    with_count_sketch_estimate,
-)
+from equipoise.operators.sketches import sketch_pair, with_both_estimates, with_count_min_estimate
 
 # Up to this many values each task keeps its own top K and one task merges them all.
 _TOP_VALUES = 1_000
@@ -60,25 +55,16 @@ def heavy_hitter_errors(
     k: int,
     count_min: SketchParams,
     count: SketchParams,
-    count_min_table: DataFrame | None = None,
-    count_table: DataFrame | None = None,
+    pair: DataFrame | None = None,
 ) -> DataFrame:
     """``(processed, distinct_items, hh, cm_err, cs_err)``: one row, errors null without items.
 
-    Sketches that are not passed are built from the frequency table, which is the same by
+    Without a ``sketch_pair`` it is built from the frequency table, which is the same by
     linearity and hashes every distinct item once.
     """
-    if count_min_table is None:
-        count_min_table = count_min_sketch(freq, count_min, weight="freq")
-    if count_table is None:
-        count_table = count_sketch(freq, count, weight="freq")
-    estimated = with_count_sketch_estimate(
-        with_count_min_estimate(heavy_hitters(freq, k), count_min_table, count_min, "cm_est"),
-        count_table,
-        count,
-        "cs_est",
-    )
-    errors = estimated.agg(
+    if pair is None:
+        pair = sketch_pair(freq, count_min, count, weight="freq")
+    errors = with_both_estimates(heavy_hitters(freq, k), pair, count_min, count).agg(
         F.count("*").alias("hh"),
         _relative_error("cm_est").alias("cm_err"),
         _relative_error("cs_est").alias("cs_err"),

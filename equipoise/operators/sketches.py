@@ -15,28 +15,35 @@ from equipoise.functions.hashing import SketchParams, bucket, sign
 # a larger one is joined.
 DENSE_CELLS = 1_000_000
 
-# Kinds of rows in the combined state of a stream.
-EXACT, COUNT_MIN, COUNT = "exact", "count_min", "count"
+# Kinds of rows in the combined state of a stream; the state is keyed by their position.
+EXACT, COUNT_MIN, COUNT = KINDS = ("exact", "count_min", "count")
 
 
-def _cell(item: Column, d: int, params: SketchParams) -> Column:
-    return bucket(item, params.rows[d], params.width) + d * params.width
+def _cell(item: Column, d: int, params: SketchParams, first: int = 0) -> Column:
+    """A sketch as one line of counters, row after row, beginning at ``first``."""
+    return bucket(item, params.rows[d], params.width) + (first + d * params.width)
 
 
-def _build(items: DataFrame, params: SketchParams, weight: str | None, signed: bool) -> DataFrame:
-    params.checked()
+def _hits(params: SketchParams, weight: str | None, signed: bool, first: int = 0) -> list[Column]:
+    """What one item adds to the cells of every row."""
     item = F.col("item")
     amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    hits = F.array(
-        *[
-            F.struct(
-                _cell(item, d, params).alias("cell"),
-                (amount * sign(item, row) if signed else amount).alias("delta"),
-            )
-            for d, row in enumerate(params.rows)
-        ]
-    )
-    cells = items.select(F.explode(hits).alias("hit")).groupBy("hit.cell").agg(F.sum("hit.delta").alias("counter"))
+    return [
+        F.struct(
+            _cell(item, d, params, first).alias("cell"),
+            (amount * sign(item, row) if signed else amount).alias("delta"),
+        )
+        for d, row in enumerate(params.checked().rows)
+    ]
+
+
+def _add_up(items: DataFrame, hits: list[Column]) -> DataFrame:
+    """``(cell, counter)``; the shuffle moves at most one row per cell and map task."""
+    hit = items.select(F.explode(F.array(*hits)).alias("hit"))
+    return hit.groupBy("hit.cell").agg(F.sum("hit.delta").alias("counter"))
+
+
+def _to_table(cells: DataFrame, params: SketchParams) -> DataFrame:
     return cells.select(
         F.floor(F.col("cell") / params.width).cast("int").alias("d"),
         (F.col("cell") % params.width).alias("col"),
@@ -44,32 +51,53 @@ def _build(items: DataFrame, params: SketchParams, weight: str | None, signed: b
     )
 
 
+def _to_cells(table: DataFrame, params: SketchParams, first: int = 0) -> DataFrame:
+    return table.select((F.col("d") * params.width + F.col("col") + first).alias("cell"), "counter")
+
+
 def count_min_sketch(items: DataFrame, params: SketchParams, weight: str | None = None) -> DataFrame:
     """``(d, col, counter)``: every item adds one, or its weight, to one cell of every row.
 
     The shuffle moves at most depth * width counters per map task, whatever the input size.
     """
-    return _build(items, params, weight, signed=False)
+    return _to_table(_add_up(items, _hits(params, weight, signed=False)), params)
 
 
 def count_sketch(items: DataFrame, params: SketchParams, weight: str | None = None) -> DataFrame:
     """``(d, col, counter)``: as Count-Min, but each row's sign hash decides between + and -."""
-    return _build(items, params, weight, signed=True)
+    return _to_table(_add_up(items, _hits(params, weight, signed=True)), params)
+
+
+def sketch_pair(
+    items: DataFrame, count_min: SketchParams, count: SketchParams, weight: str | None = None
+) -> DataFrame:
+    """Both sketches from one pass, as ``(cell, counter)``: first the Count-Min rows, then the
+    Count sketch rows."""
+    hits = _hits(count_min, weight, signed=False) + _hits(count, weight, signed=True, first=count_min.cells)
+    return _add_up(items, hits)
+
+
+def pair_of(
+    count_min_table: DataFrame, count_table: DataFrame, count_min: SketchParams, count: SketchParams
+) -> DataFrame:
+    """``sketch_pair`` from two finished tables."""
+    return _to_cells(count_min_table, count_min).unionByName(_to_cells(count_table, count, count_min.cells))
 
 
 def sketch_updates(items: DataFrame, count_min: SketchParams, count: SketchParams) -> DataFrame:
     """``(kind, d, key, delta)``: what each item adds to the exact counts and to both sketches.
 
-    Summing ``delta`` per ``(kind, d, key)`` gives all three from one pass, in batch or stream.
+    Summing ``delta`` per ``(kind, d, key)`` gives all three from one pass. ``kind`` is the
+    position in ``KINDS``, since the state is smaller and faster with fixed-width keys.
     """
     item = F.col("item").cast("int")
 
     def update(kind: str, d: int, key: Column, delta: Column | int) -> Column:
         return F.struct(
-            F.lit(kind).alias("kind"),
+            F.lit(KINDS.index(kind)).alias("kind"),
             F.lit(d).alias("d"),
             key.alias("key"),
-            (F.lit(delta) if isinstance(delta, int) else delta).cast("bigint").alias("delta"),
+            (F.lit(delta) if isinstance(delta, int) else delta).alias("delta"),
         )
 
     updates = [update(EXACT, 0, item, 1)]
@@ -84,39 +112,55 @@ def sketch_updates(items: DataFrame, count_min: SketchParams, count: SketchParam
     return items.select(F.explode(F.array(*updates)).alias("u")).select("u.*")
 
 
-def _row_estimates(freq: DataFrame, sketch: DataFrame, params: SketchParams, signed: bool) -> DataFrame:
-    """Add ``_estimates``: for every item, the counter it meets in each of the rows."""
-    params.checked()
+def kind_name(kind: str = "kind") -> Column:
+    """The name of a position in ``KINDS``."""
+    return F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col(kind) + 1)
+
+
+def _probes(params: SketchParams, signed: bool, first: int = 0) -> list[tuple[Column, Column]]:
+    """The cell an item meets in every row and the sign its counter is read with."""
     item = F.col("item")
-    signs = [sign(item, row) if signed else F.lit(1) for row in params.rows]
-    cell = (F.col("d") * params.width + F.col("col")).alias("cell")
-    counters = sketch.select(cell, "counter")
-    if params.cells <= DENSE_CELLS:
-        ids = freq.sparkSession.range(params.cells, numPartitions=1).withColumnRenamed("id", "cell")
-        filled = ids.join(counters, "cell", "left").select(
+    return [
+        (_cell(item, d, params, first), sign(item, row) if signed else F.lit(1))
+        for d, row in enumerate(params.checked().rows)
+    ]
+
+
+def _read_cells(
+    freq: DataFrame, cells: DataFrame, size: int, probes: list[tuple[Column, Column]]
+) -> DataFrame:
+    """Add ``_read``: the signed counters that every item meets, in the order of the probes."""
+    if size <= DENSE_CELLS:
+        ids = freq.sparkSession.range(size, numPartitions=1).withColumnRenamed("id", "cell")
+        filled = ids.join(cells, "cell", "left").select(
             F.struct("cell", F.coalesce("counter", F.lit(0)).alias("counter")).alias("entry")
         )
         ordered = F.transform(F.sort_array(F.collect_list("entry")), lambda e: e["counter"])
         dense = filled.agg(ordered.alias("counters")).scalar()
-        table = freq.withColumn("_counters", dense)
-        rows = [F.col("_counters")[_cell(item, d, params)] * s for d, s in enumerate(signs)]
-        return table.withColumn("_estimates", F.array(*rows)).drop("_counters")
-    probes = F.array(
-        *[F.struct(_cell(item, d, params).cast("bigint").alias("cell"), s.alias("sign")) for d, s in enumerate(signs)]
-    )
-    probed = freq.withColumn("_probe", F.explode(probes)).select("*", "_probe.cell", "_probe.sign").drop("_probe")
-    found = probed.join(counters, "cell", "left").withColumn(
-        "_estimate", F.coalesce("counter", F.lit(0)) * F.col("sign")
-    )
-    return found.groupBy(*freq.columns).agg(F.collect_list("_estimate").alias("_estimates"))
+        read = F.array(*[F.col("_counters")[cell] * s for cell, s in probes])
+        return freq.withColumn("_counters", dense).withColumn("_read", read).drop("_counters")
+    asked = F.array(*[F.struct(cell.alias("cell"), s.alias("sign")) for cell, s in probes])
+    probed = freq.select("*", F.posexplode(asked).alias("_row", "_probe")).withColumn("cell", F.col("_probe.cell"))
+    counter = F.coalesce("counter", F.lit(0)) * F.col("_probe.sign")
+    found = probed.join(cells, "cell", "left").groupBy(*freq.columns)
+    rows = F.sort_array(F.collect_list(F.struct("_row", counter.alias("counter"))))
+    return found.agg(F.transform(rows, lambda r: r["counter"]).alias("_read"))
+
+
+def _count_estimate(depth: int, rows: str) -> Column:
+    """Median of the row estimates in a column; an even number averages the middle pair,
+    truncated toward zero."""
+    ranked = f"sort_array({rows})"
+    half = depth // 2
+    return F.expr(f"{ranked}[{half}]" if depth % 2 else f"({ranked}[{half - 1}] + {ranked}[{half}]) div 2")
 
 
 def with_count_min_estimate(
     freq: DataFrame, sketch: DataFrame, params: SketchParams, name: str = "est"
 ) -> DataFrame:
     """Add the Count-Min estimate of every ``item``: its smallest counter, never below the truth."""
-    rows = _row_estimates(freq, sketch, params, signed=False)
-    return rows.withColumn(name, F.array_min("_estimates")).drop("_estimates")
+    read = _read_cells(freq, _to_cells(sketch, params), params.cells, _probes(params, signed=False))
+    return read.withColumn(name, F.array_min("_read")).drop("_read")
 
 
 def with_count_sketch_estimate(
@@ -126,11 +170,21 @@ def with_count_sketch_estimate(
 
     With an even number of rows the two middle values are averaged, truncated toward zero.
     """
-    rows = _row_estimates(freq, sketch, params, signed=True)
-    ranked = rows.withColumn("_ranked", F.sort_array("_estimates"))
-    half = params.depth // 2
-    if params.depth % 2:
-        median = F.col("_ranked")[half]
-    else:
-        median = F.expr(f"(_ranked[{half - 1}] + _ranked[{half}]) div 2")
-    return ranked.withColumn(name, median).drop("_estimates", "_ranked")
+    read = _read_cells(freq, _to_cells(sketch, params), params.cells, _probes(params, signed=True))
+    return read.withColumn(name, _count_estimate(params.depth, "_read")).drop("_read")
+
+
+def with_both_estimates(
+    freq: DataFrame, pair: DataFrame, count_min: SketchParams, count: SketchParams
+) -> DataFrame:
+    """Add ``cm_est`` and ``cs_est`` of every ``item`` from a ``sketch_pair``."""
+    probes = _probes(count_min, signed=False) + _probes(count, signed=True, first=count_min.cells)
+    read = _read_cells(freq, pair, count_min.cells + count.cells, probes)
+    split = read.withColumn("_cm", F.slice("_read", 1, count_min.depth)).withColumn(
+        "_cs", F.slice("_read", count_min.depth + 1, count.depth)
+    )
+    return (
+        split.withColumn("cm_est", F.array_min("_cm"))
+        .withColumn("cs_est", _count_estimate(count.depth, "_cs"))
+        .drop("_read", "_cm", "_cs")
+    )

@@ -12,6 +12,7 @@ from equipoise.operators.heavy_hitters import heavy_hitter_errors, heavy_hitter_
 from equipoise.operators.kmeans import DEFAULT_SEED, fair_kmeans, standard_kmeans
 from equipoise.operators.moments import CODE_A, CODE_B, MomentTable, point_moments
 from equipoise.operators.objectives import compare_objectives
+from equipoise.operators.sketches import pair_of
 from equipoise.operators.wordcount import num_documents, word_count, word_statistics
 from equipoise.streaming.bounded import count_min_of, count_of, frequencies_of
 
@@ -76,8 +77,9 @@ def stream_report(
 ) -> StreamReport:
     """Heavy hitters and sketch errors from the counters that a stream left behind."""
     freq = frequencies_of(counters)
-    cm_table, cs_table = count_min_of(counters), count_of(counters)
+    cm_table = count_min_of(counters)
+    pair = pair_of(cm_table, count_of(counters), count_min, count)
     return StreamReport(
-        heavy_hitter_errors(freq, k, count_min, count, cm_table, cs_table),
+        heavy_hitter_errors(freq, k, count_min, count, pair),
         heavy_hitter_listing(freq, cm_table, count_min, k, max_listed),
     )

@@ -11,12 +11,13 @@ import threading
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equipoise.functions.hashing import SketchParams
+from equipoise.operators.frequencies import item_frequencies
 from equipoise.operators.prefix import arrival_prefix, ordered_prefix
-from equipoise.operators.sketches import COUNT, COUNT_MIN, EXACT, sketch_updates
+from equipoise.operators.sketches import COUNT, COUNT_MIN, EXACT, count_min_sketch, count_sketch
 
 # Fixed value: the default length of a micro-batch.
 DEFAULT_TRIGGER = {"processingTime": "100 milliseconds"}
@@ -87,11 +88,19 @@ def count_prefix(
 def _write_batch(
     items: DataFrame, n: int, count_min: SketchParams, count: SketchParams, path: str
 ) -> None:
-    updates = sketch_updates(items, count_min, count).groupBy("kind", "d", "key").agg(F.sum("delta").alias("delta"))
-    total = items.sparkSession.range(1).select(
-        F.lit(_PROCESSED).alias("kind"), F.lit(0).alias("d"), F.lit(0).alias("key"), F.lit(n).cast("bigint").alias("delta")
+    def part(kind: str, table: DataFrame, d: Column | str, key: str, delta: str) -> DataFrame:
+        return table.select(F.lit(kind).alias("kind"), d, F.col(key).alias("key"), F.col(delta).alias("delta"))
+
+    zero = F.lit(0).alias("d")
+    total = items.sparkSession.range(1).select(F.lit(0).alias("key"), F.lit(n).cast("bigint").alias("n"))
+    # Counted apart: the few sketch cells stay in a small hash table beside the many items.
+    updates = (
+        part(EXACT, item_frequencies(items), zero, "item", "freq")
+        .unionByName(part(COUNT_MIN, count_min_sketch(items, count_min), "d", "col", "counter"))
+        .unionByName(part(COUNT, count_sketch(items, count), "d", "col", "counter"))
+        .unionByName(part(_PROCESSED, total, zero, "key", "n"))
     )
-    updates.unionByName(total).write.mode("overwrite").parquet(path)
+    updates.write.mode("overwrite").parquet(path)
 
 
 def _batches(spark: SparkSession, out: str) -> DataFrame | None:

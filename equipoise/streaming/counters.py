@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from equipoise.functions.hashing import SketchParams
-from equipoise.operators.sketches import sketch_updates
+from equipoise.operators.sketches import kind_name, sketch_updates
 
 
 def running_counters(items: DataFrame, count_min: SketchParams, count: SketchParams) -> DataFrame:
@@ -17,7 +17,8 @@ def running_counters(items: DataFrame, count_min: SketchParams, count: SketchPar
     items.
     """
     updates = sketch_updates(items, count_min, count)
-    return updates.groupBy("kind", "d", "key").agg(F.sum("delta").alias("counter"))
+    counters = updates.groupBy("kind", "d", "key").agg(F.sum("delta").alias("counter"))
+    return counters.select(kind_name().alias("kind"), "d", "key", "counter")
 
 
 def start_counters(

@@ -133,6 +133,7 @@ def test_updates_hold_all_three(spark):
     df = items_frame(spark, [1, 1, 2_000_000_000])
     state = sketches.sketch_updates(df, COUNT_MIN_PARAMS, COUNT_PARAMS)
     summed = state.groupBy("kind", "d", "key").agg(F.sum("delta").alias("counter"))
+    summed = summed.withColumn("kind", sketches.kind_name())
 
     def kind(name):
         return {(r.d, r.key): r.counter for r in summed.where(F.col("kind") == name).collect()}
@@ -185,6 +186,24 @@ def test_listing_shows_the_smallest_ids(spark):
     assert hh.heavy_hitter_listing(freq, sketch, COUNT_MIN_PARAMS, 3, max_listed=2).collect() == []
 
 
+@pytest.mark.parametrize("dense", [0, 1_000_000])
+def test_both_estimates_from_one_pass(spark, monkeypatch, dense):
+    monkeypatch.setattr(sketches, "DENSE_CELLS", dense)
+    df = items_frame(spark, [i * 7919 + 1_700_000_000 for i in range(50) for _ in range(1 + i % 3)])
+    freq = item_frequencies(df)
+    cm, cs = sketches.count_min_sketch(df, COUNT_MIN_PARAMS), sketches.count_sketch(df, EVEN)
+    apart = sketches.with_count_sketch_estimate(
+        sketches.with_count_min_estimate(freq, cm, COUNT_MIN_PARAMS, "cm_est"), cs, EVEN, "cs_est"
+    )
+    for pair in (
+        sketches.sketch_pair(df, COUNT_MIN_PARAMS, EVEN),
+        sketches.sketch_pair(freq, COUNT_MIN_PARAMS, EVEN, weight="freq"),
+        sketches.pair_of(cm, cs, COUNT_MIN_PARAMS, EVEN),
+    ):
+        both = sketches.with_both_estimates(freq, pair, COUNT_MIN_PARAMS, EVEN)
+        assert sorted(map(tuple, both.collect())) == sorted(map(tuple, apart.collect()))
+
+
 def test_errors(spark):
     freq = freq_frame(spark, FREQS)
     row = hh.heavy_hitter_errors(freq, 2, COUNT_MIN_PARAMS, COUNT_PARAMS).first()
