@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equipoise.operators.kmeans import fair_kmeans, standard_kmeans
-from equipoise.operators.objectives import fair_objective
+from equipoise.operators.moments import packed
 from equipoise.plans.catalog import QUERIES
+from equipoise.plans.reports import group_statistics
 from equipoise.session import local_session
 
 HEADLINE = (
@@ -89,11 +90,11 @@ def published_run(spark: SparkSession) -> tuple[dict[str, float], dict[str, floa
         train(points, RUN_K, 1)
         seconds[f"{name}_centers"], frame = best_of(2, lambda: train(points, RUN_K, RUN_M))
         centers[name] = [row.coords for row in frame.orderBy("center_id").collect()]
-    for name in centers:
-        seconds[f"objective_{name}"], row = best_of(
-            3, lambda: fair_objective(points, centers[name]).first()
-        )
-        values[f"fair_objective_{name}"] = round(row.phi, 4)
+    with packed(points) as blocks:
+        for name in centers:
+            group_statistics(blocks, centers[name])
+            seconds[f"objective_{name}"], found = best_of(3, lambda: group_statistics(blocks, centers[name]))
+            values[f"fair_objective_{name}"] = round(found.totals.first().phi, 4)
     points.unpersist()
     return seconds, values
 

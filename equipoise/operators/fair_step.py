@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from equipoise.functions.geometry import Centers, center_matrix
-from equipoise.operators.moments import CODE_A, CODE_B, MomentTable, point_moments
+from equipoise.operators.moments import CODE_A, CODE_B, MomentTable
 
 LINE_SEARCH_ROUNDS = 10
 
@@ -89,8 +89,7 @@ def _row_squares(rows: np.ndarray) -> np.ndarray:
 def fair_step(points: DataFrame, centers: Centers) -> FairStep:
     """Run one round on ``(coords, grp)`` points from given centres."""
     matrix = center_matrix(centers)
-    moments = point_moments(points, matrix, only_two=True)
-    return finish_step(MomentTable.collect(moments, *matrix.shape), matrix)
+    return finish_step(MomentTable.of(points, matrix).only_two_groups(), matrix)
 
 
 def fair_moments(points: DataFrame, centers: Centers) -> DataFrame:

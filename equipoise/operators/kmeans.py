@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from equipoise.functions.geometry import Centers, center_matrix
 from equipoise.operators.fair_step import finish_step
-from equipoise.operators.moments import CODE_A, CODE_B, MomentTable, block_moments, pack_points
+from equipoise.operators.moments import CODE_A, CODE_B, MomentTable, PackedPoints, packed
 from equipoise.operators.objectives import centers_frame
 
 # Fixed value: the seed of the centre initialisation.
@@ -48,7 +47,7 @@ def initial_centers(points: DataFrame, k: int, seed: int = DEFAULT_SEED) -> Data
 
 
 def fair_kmeans(
-    points: DataFrame,
+    points: DataFrame | PackedPoints,
     k: int,
     max_iter: int,
     seed: int = DEFAULT_SEED,
@@ -58,23 +57,17 @@ def fair_kmeans(
 
     ``start`` replaces the k-means|| start. If a group has no points, standard k-means answers.
     Each round depends on the persisted blocks and K literal centres only, so lineage stays flat
-    however many rounds run, and a lost executor costs the rebuild of its own blocks.
+    however many rounds run.
     """
-    spark = points.sparkSession
     if max_iter < 0:
         raise ValueError("max_iter must not be negative")
-    first = points.select(F.size("coords").alias("dim")).first()
-    if first is None:
-        raise ValueError("fair k-means needs at least one point")
-    blocks = pack_points(points, first.dim, only_two=True).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        matrix = _train(points, k, 0, seed) if start is None else center_matrix(start)
-        tasks = blocks.rdd.getNumPartitions()
-        for round_no in range(max_iter):
-            moments = MomentTable.collect(block_moments(blocks, matrix, tasks), *matrix.shape)
-            if round_no == 0 and not (moments.n[CODE_A].any() and moments.n[CODE_B].any()):
-                return standard_kmeans(points, k, max_iter, seed)
-            matrix = finish_step(moments, matrix).centers
-    finally:
-        blocks.unpersist()
-    return centers_frame(spark, matrix)
+    if not isinstance(points, PackedPoints):
+        with packed(points) as blocks:
+            return fair_kmeans(blocks, k, max_iter, seed, start)
+    matrix = _train(points.points, k, 0, seed) if start is None else center_matrix(start)
+    for round_no in range(max_iter):
+        moments = MomentTable.of(points, matrix).only_two_groups()
+        if round_no == 0 and not (moments.n[CODE_A].any() and moments.n[CODE_B].any()):
+            return standard_kmeans(points.points, k, max_iter, seed)
+        matrix = finish_step(moments, matrix).centers
+    return centers_frame(points.points.sparkSession, matrix)

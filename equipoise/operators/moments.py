@@ -6,10 +6,12 @@ All clustering results of a round are sums over points, so they fold from these
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,27 +29,15 @@ _MAX_CHUNK = 32
 _DRIVER_VALUES = 2_000_000
 
 
-def group_code(group_col: str = "grp", only_two: bool = False) -> Column:
-    """0 for A, 1 for B; another label is 2, or an error where only the two groups make sense."""
+def group_code(group_col: str = "grp") -> Column:
+    """0 for A, 1 for B, 2 for any other label."""
     grp = F.col(group_col)
-    other = (
-        F.raise_error(F.concat(F.lit("group label must be A or B: "), F.coalesce(grp, F.lit("null")))).cast("tinyint")
-        if only_two
-        else F.lit(CODE_OTHER).cast("tinyint")
-    )
-    return (
-        F.when(grp == GROUP_A, F.lit(CODE_A).cast("tinyint"))
-        .when(grp == GROUP_B, F.lit(CODE_B).cast("tinyint"))
-        .otherwise(other)
-    )
-
-
-def pack_points(points: DataFrame, dim: int, only_two: bool = False) -> DataFrame:
-    """Points as blocks, one row per Arrow batch: a coordinate matrix and a vector of group codes.
-
-    Persisted once, blocks reach the workers of every later round as plain memory, without
-    converting single values again.
-    """
+    code = F.when(grp == GROUP_A, CODE_A).when(grp == GROUP_B, CODE_B).otherwise(CODE_OTHER)
+    return code.cast("tinyint")
+
+
+def pack_points(points: DataFrame, dim: int) -> DataFrame:
+    """Points as blocks, one row per Arrow batch: a coordinate matrix and a vector of group codes."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,10 +48,37 @@ def pack_points(points: DataFrame, dim: int, only_two: bool = False) -> DataFram
                 ["coords", "codes"],
             )
 
-    source = points.select("coords", group_code(only_two=only_two).alias("code"))
+    source = points.select("coords", group_code().alias("code"))
     return source.mapInArrow(pack, "coords binary, codes binary")
 
 
+@dataclass(frozen=True)
+class PackedPoints:
+    """Persisted blocks of points that are read again and again; see ``packed``."""
+
+    points: DataFrame
+    blocks: DataFrame
+    dim: int
+    tasks: int
+
+
+@contextmanager
+def packed(points: DataFrame) -> Iterator[PackedPoints]:
+    """Persist the points as blocks while the context lasts.
+
+    Blocks reach the workers of every pass as plain memory, without converting single values
+    again. A lost executor costs the rebuild of its own blocks.
+    """
+    first = points.select(F.size("coords").alias("dim")).first()
+    if first is None:
+        raise ValueError("there are no points")
+    blocks = pack_points(points, first.dim).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield PackedPoints(points, blocks, first.dim, blocks.rdd.getNumPartitions())
+    finally:
+        blocks.unpersist()
+
+
 def block_moments(blocks: DataFrame, centers: Centers, tasks: int | None = None) -> DataFrame:
     """Moments of packed points; see ``point_moments``.
 
@@ -84,7 +101,7 @@ def block_moments(blocks: DataFrame, centers: Centers, tasks: int | None = None)
     return _merge(partials, dim)
 
 
-def point_moments(points: DataFrame, centers: Centers, only_two: bool = False) -> DataFrame:
+def point_moments(points: DataFrame, centers: Centers) -> DataFrame:
     """``(cluster, code, chunk, n, v0, v1, ...)`` of the clusters and groups that hold points.
 
     ``n`` counts the points. The values of a key, over its chunks, are the summed squared
@@ -92,7 +109,7 @@ def point_moments(points: DataFrame, centers: Centers, only_two: bool = False) -
     """
     matrix = center_matrix(centers)
     dim = matrix.shape[1]
-    source = points.select("coords", group_code(only_two=only_two).alias("code"))
+    source = points.select("coords", group_code().alias("code"))
     if uses_literals(matrix) and dim < _MAX_CHUNK:
         sums = [F.sum("sq_dist"), *[F.sum(F.col("coords")[j]) for j in range(dim)]]
         return (
@@ -187,3 +204,34 @@ class MomentTable:
             np.add.at(values[:, i], (rows["chunk"].to_numpy(), *key), rows[name].to_numpy())
         values = values.reshape(-1, 3, k)
         return cls(n, values[0], np.moveaxis(values[1 : 1 + dim], 0, -1))
+
+    @classmethod
+    def of(cls, points: DataFrame | PackedPoints, centers: np.ndarray) -> MomentTable:
+        """One pass over the points."""
+        if isinstance(points, PackedPoints):
+            if centers.shape[1] != points.dim:
+                raise ValueError(f"centres must have {points.dim} coordinates")
+            rows = block_moments(points.blocks, centers, points.tasks)
+        else:
+            rows = point_moments(points, centers)
+        return cls.collect(rows, *centers.shape)
+
+    def group_mean(self, code: int) -> float:
+        """Mean cost of a group; one without members costs nothing."""
+        return float(self.cost[code].sum() / max(1, self.n[code].sum()))
+
+    @property
+    def phi(self) -> float:
+        """The fair objective: what the worse-off group pays."""
+        return max(self.group_mean(CODE_A), self.group_mean(CODE_B))
+
+    @property
+    def delta(self) -> float | None:
+        """The standard objective, over all labels."""
+        return float(self.cost.sum() / self.n.sum()) if self.n.any() else None
+
+    def only_two_groups(self) -> MomentTable:
+        """Itself, where only the groups A and B make sense."""
+        if self.n[CODE_OTHER].any():
+            raise ValueError(f"group label must be A or B: {self.n[CODE_OTHER].sum()} points have another")
+        return self

@@ -10,8 +10,7 @@ from equipoise.functions.geometry import Centers, center_matrix
 from equipoise.functions.hashing import SketchParams
 from equipoise.operators.heavy_hitters import heavy_hitter_errors, heavy_hitter_listing
 from equipoise.operators.kmeans import DEFAULT_SEED, fair_kmeans, standard_kmeans
-from equipoise.operators.moments import CODE_A, CODE_B, MomentTable, point_moments
-from equipoise.operators.objectives import compare_objectives
+from equipoise.operators.moments import CODE_A, CODE_B, MomentTable, PackedPoints, packed
 from equipoise.operators.sketches import pair_of
 from equipoise.operators.wordcount import num_documents, word_count, word_statistics
 from equipoise.streaming.bounded import count_min_of, count_of, frequencies_of
@@ -30,17 +29,14 @@ class GroupStatistics(NamedTuple):
     """``(center_id, coords, na, nb)``"""
 
 
-def group_statistics(points: DataFrame, centers: Centers) -> GroupStatistics:
+def group_statistics(points: DataFrame | PackedPoints, centers: Centers) -> GroupStatistics:
     """Sizes, objectives and per-cluster group counts of given centres, from one pass over the points."""
     matrix = center_matrix(centers)
-    moments = MomentTable.collect(point_moments(points, matrix), *matrix.shape)
-    n, cost = moments.n.sum(axis=1), moments.cost.sum(axis=1)
-    mean = [float(cost[g] / n[g]) if n[g] else 0.0 for g in (CODE_A, CODE_B)]
-    delta = float(cost.sum() / n.sum()) if n.sum() else None
-    spark = points.sparkSession
+    moments = MomentTable.of(points, matrix)
+    spark = (points.points if isinstance(points, PackedPoints) else points).sparkSession
+    sizes = [int(n) for n in (moments.n.sum(), moments.n[CODE_A].sum(), moments.n[CODE_B].sum())]
     totals = spark.createDataFrame(
-        [(int(n.sum()), int(n[CODE_A]), int(n[CODE_B]), delta, max(mean))],
-        "n bigint, na bigint, nb bigint, delta double, phi double",
+        [(*sizes, moments.delta, moments.phi)], "n bigint, na bigint, nb bigint, delta double, phi double"
     )
     clusters = spark.createDataFrame(
         [(i, c.tolist(), int(moments.n[CODE_A, i]), int(moments.n[CODE_B, i])) for i, c in enumerate(matrix)],
@@ -57,12 +53,20 @@ def clustered_group_statistics(
 
 
 def fair_vs_standard(points: DataFrame, k: int, max_iter: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """``(method, fair_objective)`` for standard and for fair k-means."""
-    methods = {
-        "standard": standard_kmeans(points, k, max_iter, seed),
-        "fair": fair_kmeans(points, k, max_iter, seed),
-    }
-    return compare_objectives(points, methods)
+    """``(method, fair_objective)`` for standard and for fair k-means.
+
+    Fair rounds and both objectives read the same persisted blocks.
+    """
+    with packed(points) as blocks:
+        methods = {
+            "standard": standard_kmeans(points, k, max_iter, seed),
+            "fair": fair_kmeans(blocks, k, max_iter, seed),
+        }
+        rows = [
+            (name, MomentTable.of(blocks, center_matrix(centers)).only_two_groups().phi)
+            for name, centers in methods.items()
+        ]
+    return points.sparkSession.createDataFrame(rows, "method string, fair_objective double")
 
 
 class StreamReport(NamedTuple):

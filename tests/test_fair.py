@@ -13,9 +13,16 @@ from equipoise.operators.fair_step import (
     line_search,
 )
 from equipoise.operators.kmeans import fair_kmeans, initial_centers, standard_kmeans
-from equipoise.operators.moments import CODE_OTHER, MomentTable, block_moments, pack_points, point_moments
+from equipoise.operators.moments import (
+    CODE_OTHER,
+    MomentTable,
+    block_moments,
+    pack_points,
+    packed,
+    point_moments,
+)
 from equipoise.operators.objectives import fair_objective
-from equipoise.plans.reports import clustered_group_statistics, fair_vs_standard
+from equipoise.plans.reports import clustered_group_statistics, fair_vs_standard, group_statistics
 from equipoise.sources.mixture import mixture_points
 
 
@@ -165,6 +172,23 @@ def test_statistics_of_trained_centers(spark):
     assert sum(r.na + r.nb for r in clusters.collect()) == 500
 
 
+def test_packed_points_serve_several_passes(points_of):
+    x, grp = random_points(200, 3, 21)
+    points = points_of(list(zip(x, grp)))
+    centers = x[:4]
+    with packed(points) as blocks:
+        found = group_statistics(blocks, centers)
+        np.testing.assert_allclose(
+            centers_of(fair_kmeans(blocks, 4, 2, start=centers)), centers_of(fair_kmeans(points, 4, 2, start=centers))
+        )
+        with pytest.raises(ValueError, match="3 coordinates"):
+            group_statistics(blocks, [(0, 0)])
+    want = group_statistics(points, centers)
+    assert tuple(found.totals.first()) == pytest.approx(tuple(want.totals.first()))
+    assert found.clusters.orderBy("center_id").collect() == want.clusters.orderBy("center_id").collect()
+    assert not blocks.blocks.is_cached
+
+
 def test_one_center_is_the_mean(points_of):
     points = points_of([((0, 0), "A"), ((4, 2), "B")])
     np.testing.assert_allclose(centers_of(standard_kmeans(points, 1, 5)), [(2, 1)])
