@@ -55,8 +55,8 @@ def test_lines_are_documents(spark):
 
 
 def test_lines_agree_with_file_scan(spark, tmp_path):
-    text = "one two\n\nthree \n four"
-    (tmp_path / "docs.txt").write_text(text)
+    text = "one two\n\nthree \r\n four\rfive\n"
+    (tmp_path / "docs.txt").write_bytes(text.encode())
     from_file = read_documents(spark, str(tmp_path / "docs.txt"), num_partitions=2)
     from_cell = wc.documents_by_line(frame(spark, [text]))
     assert sorted(r.text for r in from_file.collect()) == sorted(r.text for r in from_cell.collect())
