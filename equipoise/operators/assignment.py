@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from equipoise.functions.geometry import Centers, center_matrix, nearest_rows, squared_distance
 
-# Up to this many terms an unrolled expression compiles into a method the JIT accepts; beyond
-# it, NumPy over Arrow batches is faster.
-LITERAL_TERMS = 32
+# Up to this many terms (centres times dimensions) an unrolled expression is at least as fast as
+# NumPy over Arrow batches. At 64 the compiled method outgrows what the JIT accepts and takes
+# thirty times as long, so the limit keeps clear of that for the operators fused with it.
+LITERAL_TERMS = 24
 
 
 def _dimension_error(dim: int) -> str:
@@ -38,8 +39,9 @@ def _arrow_nearest(matrix: np.ndarray) -> Callable[[Column | str], Column]:
     return nearest
 
 
-def uses_literals(matrix: np.ndarray) -> bool:
-    return matrix.size <= LITERAL_TERMS
+def uses_literals(*matrices: np.ndarray) -> bool:
+    """Whether sets of centres that one stage assigns to are few enough terms together."""
+    return sum(m.size for m in matrices) <= LITERAL_TERMS
 
 
 def assign(
@@ -48,16 +50,20 @@ def assign(
     coords_col: str = "coords",
     cluster_col: str = "cluster",
     sq_dist_col: str = "sq_dist",
+    literals: bool | None = None,
 ) -> DataFrame:
     """Add the index of the nearest centre and the squared distance to it.
 
     No shuffle and no join: few terms become one compiled expression, more run as a matrix
-    product over Arrow batches, to which Spark ships the coordinates only.
+    product over Arrow batches, to which Spark ships the coordinates only. ``literals`` overrides
+    that choice.
     """
     matrix = center_matrix(centers)
+    if literals is None:
+        literals = uses_literals(matrix)
     coords = F.col(coords_col)
     keep = [F.col(c) for c in points.columns]
-    if not uses_literals(matrix):
+    if not literals:
         found = points.withColumn("_nearest", _arrow_nearest(matrix)(coords))
         return found.select(
             *keep,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equipoise.functions.geometry import Centers, center_matrix
-from equipoise.operators.assignment import assign
+from equipoise.operators.assignment import assign, uses_literals
 
 GROUP_A = "A"
 GROUP_B = "B"
@@ -53,9 +53,13 @@ def fair_objective(points: DataFrame, centers: Centers) -> DataFrame:
 def compare_objectives(points: DataFrame, methods: Mapping[str, Centers]) -> DataFrame:
     """``(method, fair_objective)`` for several sets of centres, all in one pass over the points."""
     costed = points.select("coords", "grp")
+    matrices = [center_matrix(centers) for centers in methods.values()]
+    literals = uses_literals(*matrices)
     means = []
-    for i, centers in enumerate(methods.values()):
-        costed = assign(costed, centers, cluster_col=f"_cluster{i}", sq_dist_col=f"_cost{i}")
+    for i, matrix in enumerate(matrices):
+        costed = assign(
+            costed, matrix, cluster_col=f"_cluster{i}", sq_dist_col=f"_cost{i}", literals=literals
+        )
         means.append(
             F.greatest(_group_mean(F.col(f"_cost{i}"), is_a()), _group_mean(F.col(f"_cost{i}"), is_b()))
         )

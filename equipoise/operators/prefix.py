@@ -24,11 +24,12 @@ def ordered_prefix(rows: DataFrame, t: int, order_by: str | Sequence[str]) -> Da
     """
     _check_target(t)
     columns = [order_by] if isinstance(order_by, str) else list(order_by)
-    if rows.count() <= t:
-        return rows
     keep, tied, left = F.lit(False), F.lit(True), t
     for name in columns:
-        cut, before, held = _range_of_row(rows.where(tied).select(F.col(name).cast("bigint")), left)
+        found = _range_of_row(rows.where(tied).select(F.col(name).cast("bigint")), left)
+        if found is None:
+            return rows
+        cut, before, held = found
         if before + held == left:
             return rows.where(keep | (tied & (F.col(name) <= cut)))
         keep = keep | (tied & (F.col(name) < cut))
@@ -37,16 +38,19 @@ def ordered_prefix(rows: DataFrame, t: int, order_by: str | Sequence[str]) -> Da
     raise ValueError(f"{columns} leave {held} rows tied at row {t}; add a column that tells them apart")
 
 
-def _range_of_row(column: DataFrame, t: int) -> tuple[int, int, int]:
+def _range_of_row(column: DataFrame, t: int) -> tuple[int, int, int] | None:
     """Upper end of a value range that holds row ``t``, the rows below it and the rows in it.
 
-    The range ends exactly at row ``t`` or is down to a single value.
+    The range ends exactly at row ``t`` or is down to a single value. None if no more than ``t``
+    rows exist, which only the first ordering column can find: others look at too many ties.
     """
     name = column.columns[0]
     value = F.col(name)
-    low, high, nulls = column.agg(F.min(value), F.max(value), F.count_if(value.isNull())).first()
-    if nulls:
+    low, high, filled, total = column.agg(F.min(value), F.max(value), F.count(value), F.count("*")).first()
+    if filled < total:
         raise ValueError(f"{name} must not be null")
+    if total <= t:
+        return None
     before = 0
     while True:
         width = -(-(high - low + 1) // _BUCKETS)

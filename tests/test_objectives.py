@@ -52,7 +52,9 @@ def test_statistics_fold_from_one_pass(points_of, monkeypatch, terms):
     ]
 
 
-def test_compare_objectives(points_of):
+@pytest.mark.parametrize("terms", [0, 24])
+def test_compare_objectives(points_of, monkeypatch, terms):
+    monkeypatch.setattr(assignment, "LITERAL_TERMS", terms)
     points = points_of(ROWS)
     rows = obj.compare_objectives(points, {"given": CENTERS, "origin": [(0, 0)]}).collect()
     found = {r.method: r.fair_objective for r in rows}
