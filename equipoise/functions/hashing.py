@@ -62,21 +62,27 @@ def draw_params(depth: int, width: int, seed: int | None = None) -> tuple[Sketch
     return count_min.checked(), count.checked()
 
 
-def affine_hash(item: Column, a: int, b: int) -> Column:
+def affine_hash(item: Column, a: int | Column, b: int | Column) -> Column:
     """``(a * item + b) % prime`` in wrapping 32-bit arithmetic, sign following the dividend.
 
     The product is taken in 64 bits and wrapped by hand, since ANSI mode raises on overflow.
     """
-    wide = item.cast("bigint") * a + (b + _INT_HALF)
+    wide = item.cast("bigint") * a + (b + (_INT_HALF if isinstance(b, int) else F.lit(_INT_HALF)))
     wrapped = wide.bitwiseAND(F.lit(_INT_SPAN - 1)) - _INT_HALF
     return wrapped % HASH_PRIME
 
 
-def bucket(item: Column, row: HashRow, width: int) -> Column:
-    """Column in [0, width) that the item falls into."""
-    return F.pmod(affine_hash(item, row.a, row.b), F.lit(width)).cast("int")
+def row_struct(row: HashRow, **more: Column) -> Column:
+    """The parameters of a sketch row as one value, with further fields."""
+    return F.struct(*[F.lit(v).alias(n) for n, v in row._asdict().items()], *[c.alias(n) for n, c in more.items()])
 
 
-def sign(item: Column, row: HashRow) -> Column:
-    """+1 or -1; an odd remainder of either sign gives -1."""
-    return F.when(affine_hash(item, row.a_sign, row.b_sign) % 2 == 0, 1).otherwise(-1)
+def bucket(item: Column, row: Column, width: int | Column) -> Column:
+    """Column in [0, width) that the item falls into, for a ``row_struct``."""
+    width = F.lit(width) if isinstance(width, int) else width
+    return F.pmod(affine_hash(item, row["a"], row["b"]), width).cast("int")
+
+
+def sign(item: Column, row: Column) -> Column:
+    """+1 or -1, for a ``row_struct``; an odd remainder of either sign gives -1."""
+    return F.when(affine_hash(item, row["a_sign"], row["b_sign"]) % 2 == 0, 1).otherwise(-1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.functions.hashing import SketchParams, bucket, sign
+from equipoise.functions.hashing import HashRow, SketchParams, bucket, row_struct, sign
 
 # Up to this many counters (8 MB) a sketch becomes one array that travels with the query plan;
 # a larger one is joined.
@@ -19,28 +19,39 @@ DENSE_CELLS = 1_000_000
 EXACT, COUNT_MIN, COUNT = KINDS = ("exact", "count_min", "count")
 
 
-def _cell(item: Column, d: int, params: SketchParams, first: int = 0) -> Column:
-    """A sketch as one line of counters, row after row, beginning at ``first``."""
-    return bucket(item, params.rows[d], params.width) + (first + d * params.width)
-
-
-def _hits(params: SketchParams, weight: str | None, signed: bool, first: int = 0) -> list[Column]:
-    """What one item adds to the cells of every row."""
-    item = F.col("item")
-    amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+def _rows(params: SketchParams, signed: bool, first: int = 0) -> list[Column]:
+    """Parameters of every row. A sketch is one line of counters, row after row, that begins at
+    the cell ``first``."""
     return [
-        F.struct(
-            _cell(item, d, params, first).alias("cell"),
-            (amount * sign(item, row) if signed else amount).alias("delta"),
+        row_struct(
+            row,
+            first=F.lit(first + d * params.width),
+            width=F.lit(params.width),
+            signed=F.lit(signed),
         )
         for d, row in enumerate(params.checked().rows)
     ]
 
 
-def _add_up(items: DataFrame, hits: list[Column]) -> DataFrame:
-    """``(cell, counter)``; the shuffle moves at most one row per cell and map task."""
-    hit = items.select(F.explode(F.array(*hits)).alias("hit"))
-    return hit.groupBy("hit.cell").agg(F.sum("hit.delta").alias("counter"))
+def _cell(row: Column) -> Column:
+    return bucket(F.col("item"), row, row["width"]) + row["first"]
+
+
+def _sign(row: Column) -> Column:
+    return F.when(row["signed"], sign(F.col("item"), row)).otherwise(1)
+
+
+def _add_up(items: DataFrame, rows: list[Column], weight: str | None) -> DataFrame:
+    """``(cell, counter)``; the shuffle moves at most one row per cell and map task.
+
+    Rows are exploded as data. Hashes written out row by row would make code that the JIT
+    refuses from about ten rows on.
+    """
+    amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    hit = items.select("item", amount.alias("amount"), F.explode(F.array(*rows)).alias("row"))
+    row = F.col("row")
+    deltas = hit.select(_cell(row).alias("cell"), (F.col("amount") * _sign(row)).alias("delta"))
+    return deltas.groupBy("cell").agg(F.sum("delta").alias("counter"))
 
 
 def _to_table(cells: DataFrame, params: SketchParams) -> DataFrame:
@@ -60,12 +71,12 @@ def count_min_sketch(items: DataFrame, params: SketchParams, weight: str | None
 
     The shuffle moves at most depth * width counters per map task, whatever the input size.
     """
-    return _to_table(_add_up(items, _hits(params, weight, signed=False)), params)
+    return _to_table(_add_up(items, _rows(params, signed=False), weight), params)
 
 
 def count_sketch(items: DataFrame, params: SketchParams, weight: str | None = None) -> DataFrame:
     """``(d, col, counter)``: as Count-Min, but each row's sign hash decides between + and -."""
-    return _to_table(_add_up(items, _hits(params, weight, signed=True)), params)
+    return _to_table(_add_up(items, _rows(params, signed=True), weight), params)
 
 
 def sketch_pair(
@@ -73,8 +84,11 @@ def sketch_pair(
 ) -> DataFrame:
     """Both sketches from one pass, as ``(cell, counter)``: first the Count-Min rows, then the
     Count sketch rows."""
-    hits = _hits(count_min, weight, signed=False) + _hits(count, weight, signed=True, first=count_min.cells)
-    return _add_up(items, hits)
+    return _add_up(items, _pair_rows(count_min, count), weight)
+
+
+def _pair_rows(count_min: SketchParams, count: SketchParams) -> list[Column]:
+    return _rows(count_min, signed=False) + _rows(count, signed=True, first=count_min.cells)
 
 
 def pair_of(
@@ -90,26 +104,20 @@ def sketch_updates(items: DataFrame, count_min: SketchParams, count: SketchParam
     Summing ``delta`` per ``(kind, d, key)`` gives all three from one pass. ``kind`` is the
     position in ``KINDS``, since the state is smaller and faster with fixed-width keys.
     """
-    item = F.col("item").cast("int")
-
-    def update(kind: str, d: int, key: Column, delta: Column | int) -> Column:
-        return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"),
-            F.lit(d).alias("d"),
-            key.alias("key"),
-            (F.lit(delta) if isinstance(delta, int) else delta).alias("delta"),
-        )
-
-    updates = [update(EXACT, 0, item, 1)]
-    updates += [
-        update(COUNT_MIN, d, bucket(item, row, count_min.width), 1)
-        for d, row in enumerate(count_min.checked().rows)
-    ]
-    updates += [
-        update(COUNT, d, bucket(item, row, count.width), sign(item, row))
-        for d, row in enumerate(count.checked().rows)
+    sketches = {EXACT: SketchParams((HashRow(1, 0),), 1), COUNT_MIN: count_min, COUNT: count}
+    rows = [
+        row_struct(row, kind=F.lit(KINDS.index(kind)), d=F.lit(d), width=F.lit(params.width))
+        for kind, params in sketches.items()
+        for d, row in enumerate(params.checked().rows)
     ]
-    return items.select(F.explode(F.array(*updates)).alias("u")).select("u.*")
+    exploded = items.select(F.col("item").cast("int").alias("item"), F.explode(F.array(*rows)).alias("row"))
+    item, row, kind = F.col("item"), F.col("row"), F.col("row.kind")
+    return exploded.select(
+        kind.alias("kind"),
+        F.col("row.d").alias("d"),
+        F.when(kind == KINDS.index(EXACT), item).otherwise(bucket(item, row, row["width"])).alias("key"),
+        F.when(kind == KINDS.index(COUNT), sign(item, row)).otherwise(1).alias("delta"),
+    )
 
 
 def kind_name(kind: str = "kind") -> Column:
@@ -117,19 +125,9 @@ def kind_name(kind: str = "kind") -> Column:
     return F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col(kind) + 1)
 
 
-def _probes(params: SketchParams, signed: bool, first: int = 0) -> list[tuple[Column, Column]]:
-    """The cell an item meets in every row and the sign its counter is read with."""
-    item = F.col("item")
-    return [
-        (_cell(item, d, params, first), sign(item, row) if signed else F.lit(1))
-        for d, row in enumerate(params.checked().rows)
-    ]
-
-
-def _read_cells(
-    freq: DataFrame, cells: DataFrame, size: int, probes: list[tuple[Column, Column]]
-) -> DataFrame:
-    """Add ``_read``: the signed counters that every item meets, in the order of the probes."""
+def _read_cells(freq: DataFrame, cells: DataFrame, size: int, rows: list[Column]) -> DataFrame:
+    """Add ``_read``: the signed counters that every item meets, in the order of the rows."""
+    table = F.array(*rows)
     if size <= DENSE_CELLS:
         ids = freq.sparkSession.range(size, numPartitions=1).withColumnRenamed("id", "cell")
         filled = ids.join(cells, "cell", "left").select(
@@ -137,14 +135,15 @@ def _read_cells(
         )
         ordered = F.transform(F.sort_array(F.collect_list("entry")), lambda e: e["counter"])
         dense = filled.agg(ordered.alias("counters")).scalar()
-        read = F.array(*[F.col("_counters")[cell] * s for cell, s in probes])
+        read = F.transform(table, lambda row: F.col("_counters")[_cell(row)] * _sign(row))
         return freq.withColumn("_counters", dense).withColumn("_read", read).drop("_counters")
-    asked = F.array(*[F.struct(cell.alias("cell"), s.alias("sign")) for cell, s in probes])
-    probed = freq.select("*", F.posexplode(asked).alias("_row", "_probe")).withColumn("cell", F.col("_probe.cell"))
-    counter = F.coalesce("counter", F.lit(0)) * F.col("_probe.sign")
-    found = probed.join(cells, "cell", "left").groupBy(*freq.columns)
-    rows = F.sort_array(F.collect_list(F.struct("_row", counter.alias("counter"))))
-    return found.agg(F.transform(rows, lambda r: r["counter"]).alias("_read"))
+    probed = freq.select("*", F.posexplode(table).alias("_pos", "_row"))
+    row = F.col("_row")
+    asked = probed.select(*freq.columns, "_pos", _cell(row).alias("cell"), _sign(row).alias("_sign"))
+    counter = F.coalesce("counter", F.lit(0)) * F.col("_sign")
+    found = asked.join(cells, "cell", "left").groupBy(*freq.columns)
+    read = F.sort_array(F.collect_list(F.struct("_pos", counter.alias("counter"))))
+    return found.agg(F.transform(read, lambda r: r["counter"]).alias("_read"))
 
 
 def _count_estimate(depth: int, rows: str) -> Column:
@@ -159,7 +158,7 @@ def with_count_min_estimate(
     freq: DataFrame, sketch: DataFrame, params: SketchParams, name: str = "est"
 ) -> DataFrame:
     """Add the Count-Min estimate of every ``item``: its smallest counter, never below the truth."""
-    read = _read_cells(freq, _to_cells(sketch, params), params.cells, _probes(params, signed=False))
+    read = _read_cells(freq, _to_cells(sketch, params), params.cells, _rows(params, signed=False))
     return read.withColumn(name, F.array_min("_read")).drop("_read")
 
 
@@ -170,7 +169,7 @@ def with_count_sketch_estimate(
 
     With an even number of rows the two middle values are averaged, truncated toward zero.
     """
-    read = _read_cells(freq, _to_cells(sketch, params), params.cells, _probes(params, signed=True))
+    read = _read_cells(freq, _to_cells(sketch, params), params.cells, _rows(params, signed=True))
     return read.withColumn(name, _count_estimate(params.depth, "_read")).drop("_read")
 
 
@@ -178,8 +177,7 @@ def with_both_estimates(
     freq: DataFrame, pair: DataFrame, count_min: SketchParams, count: SketchParams
 ) -> DataFrame:
     """Add ``cm_est`` and ``cs_est`` of every ``item`` from a ``sketch_pair``."""
-    probes = _probes(count_min, signed=False) + _probes(count, signed=True, first=count_min.cells)
-    read = _read_cells(freq, pair, count_min.cells + count.cells, probes)
+    read = _read_cells(freq, pair, count_min.cells + count.cells, _pair_rows(count_min, count))
     split = read.withColumn("_cm", F.slice("_read", 1, count_min.depth)).withColumn(
         "_cs", F.slice("_read", count_min.depth + 1, count.depth)
     )
