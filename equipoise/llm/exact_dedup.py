@@ -71,9 +71,9 @@ def exact_groups(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Dat
     rows = with_maybe_repeated(docs, text_or_empty(), max_filter_bits)
     rows = rows.select(F.col("row.doc_id").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), "maybe")
     alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    copies = rows.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies"))
-    groups = copies.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    # Joined by text: adaptive execution splits the partition of a hot text.
+    copies = stored(rows.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies")), "copies")
+    groups = stored(copies.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
+    # Both sides are plain reads, so adaptive execution can split the partition of a hot text.
     members = copies.join(groups, "text_sha256").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return alone.unionByName(members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"))
