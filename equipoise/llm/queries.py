@@ -10,6 +10,7 @@ from equipoise.llm.common import table
 from equipoise.llm.exact_dedup import exact_groups
 from equipoise.llm.mixing import mix_digest
 from equipoise.llm.packing import packed_documents
+from equipoise.llm.repair import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,10 +27,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_token_ids": op8_token_ids,
 }
 
 ORACLE: dict[str, str] = {
