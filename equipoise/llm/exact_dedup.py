@@ -21,52 +21,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from equipoise.llm.bloom import MAX_BITS, blocks_for, repeated_filter, with_membership
 from equipoise.llm.common import boxed, stored, text_or_empty
 
-BLOCK_BITS = 32_768  # the width of Spark's bitmap aggregates
-BITS_PER_ROW = 32
-MAX_FILTER_BITS = 1 << 30
 
+def with_maybe_repeated(docs: DataFrame, text: Column, max_filter_bits: int = MAX_BITS) -> DataFrame:
+    """``(row, text, maybe)``; ``maybe`` is false only if no other row has the text."""
+    blocks = blocks_for(docs.count(), max_filter_bits)
+    key = F.xxhash64(text)
+    repeated = stored(repeated_filter(docs.select(key.alias("key")), blocks), "bloom")  # pass 1
+    return with_membership(boxed(docs, text=text, key=key), repeated, blocks, "maybe")  # pass 2
 
-def _blocks(rows: int, max_filter_bits: int) -> int:
-    return max(1, min(rows * BITS_PER_ROW, max_filter_bits) // BLOCK_BITS)
 
-
-def _block(key: Column, blocks: int) -> Column:
-    return F.shiftrightunsigned(key, 34) % F.lit(blocks)
-
-
-def _positions(key: Column) -> list[Column]:
-    mask = F.lit(BLOCK_BITS - 1).cast("bigint")
-    return [key.bitwiseAND(mask), F.shiftrightunsigned(key, 15).bitwiseAND(mask)]
-
-
-def _is_set(bits: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-    return F.getbit(byte.cast("bigint"), (position % 8).cast("int")) == 1
-
-
-def repeated_filter(keys: DataFrame, blocks: int) -> DataFrame:
-    """Pass 1: ``(block, bits)`` of the positions that at least two of the rows' ``key`` hashes hit."""
-    hits = keys.select(_block(F.col("key"), blocks).alias("block"), F.explode(F.array_distinct(F.array(*_positions(F.col("key"))))).alias("position"))
-    shared = hits.groupBy("block", "position").count().where("count > 1")
-    return shared.groupBy("block").agg(F.bitmap_construct_agg("position").alias("bits"))
-
-
-def with_maybe_repeated(docs: DataFrame, text: Column, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
-    """Pass 2: ``(row, text, maybe)``; ``maybe`` is false only if no other row has the text."""
-    blocks = _blocks(docs.count(), max_filter_bits)
-    repeated = stored(repeated_filter(docs.select(F.xxhash64(text).alias("key")), blocks), "bloom")
-    rows = boxed(docs, text=text, key=F.xxhash64(text))
-    rows = rows.withColumn("block", _block(F.col("key"), blocks))
-    # Bounded: at most max_filter_bits / 8 bytes.
-    rows = rows.join(F.broadcast(repeated), "block", "left")
-    first, second = _positions(F.col("key"))
-    maybe = F.coalesce(_is_set(F.col("bits"), first) & _is_set(F.col("bits"), second), F.lit(False))
-    return rows.select("row", "text", maybe.alias("maybe"))
-
-
-def exact_groups(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def exact_groups(docs: DataFrame, max_filter_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     rows = with_maybe_repeated(docs, text_or_empty(), max_filter_bits)
     rows = rows.select(F.col("row.doc_id").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), "maybe")
@@ -79,7 +46,7 @@ def exact_groups(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Dat
     return alone.unionByName(members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"))
 
 
-def drop_exact_duplicates(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, max_filter_bits: int = MAX_BITS) -> DataFrame:
     """The rows that stay, with all their columns. Rows with an equal text and id are ordered by
     their other columns, so reruns keep the same one."""
     rows = with_maybe_repeated(docs, text_or_empty(), max_filter_bits)

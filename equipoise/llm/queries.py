@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from equipoise.llm.common import table
 from equipoise.llm.exact_dedup import exact_groups
 from equipoise.llm.mixing import mix_digest
+from equipoise.llm.near_dedup import near_groups
 from equipoise.llm.packing import packed_documents
 from equipoise.llm.repair import round_trip
 
@@ -31,11 +32,16 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_token_ids": op8_token_ids,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
