@@ -11,7 +11,9 @@ from equipoise.llm.exact_dedup import exact_groups
 from equipoise.llm.mixing import mix_digest
 from equipoise.llm.near_dedup import near_groups
 from equipoise.llm.packing import packed_documents
+from equipoise.llm.quality import quality_digest
 from equipoise.llm.repair import round_trip
+from equipoise.llm.toxicity import toxicity_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,11 +38,21 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_token_ids": op8_token_ids,
+    "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
 }
 
