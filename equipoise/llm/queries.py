@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from equipoise.llm.common import table
+from equipoise.llm.digest import digest_documents
 from equipoise.llm.exact_dedup import exact_groups
 from equipoise.llm.mixing import mix_digest
 from equipoise.llm.near_dedup import near_groups
@@ -38,6 +39,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_digest": op6_digest,
     "op7_toxicity": op7_toxicity,
     "op8_token_ids": op8_token_ids,
     "op9_quality": op9_quality,

@@ -1,7 +1,8 @@
 """Toxicity by a classifier with a counterfactual penalty.
 
-Logistic regression on the words of a text and on their first five bytes (which generalises over
-endings), hashed into 2^18 buckets. In labelled texts, identity terms are swapped for one another;
+Logistic regression on the words of a text and on their first four to six bytes (which generalises
+over endings), hashed into 2^18 buckets. A smooth absolute penalty keeps few features, and toxic
+texts, being rare, weigh more. In labelled texts, identity terms are swapped for one another;
 the square of the score's change is penalised, so that naming a group does not move the score.
 
 The model is fitted on at most ``MAX_LABELLED`` labelled documents in hash order (documented bound),
@@ -32,9 +33,11 @@ from equipoise.llm.words import counted, mix, span_hashes, word_spans
 BITS = 18
 MAX_LABELLED = 12_000
 MIN_DOCS = 4
-PREFIX = 5
+PREFIXES = (4, 5, 6)
 PENALTY = 1.0
-STEPS, RATE, SHRINK = 200, 0.15, 1e-4
+STEPS, RATE = 200, 0.15
+SHRINK, SPARSE, SHARP = 1e-4, 1e-3, 20.0
+BALANCE = 0.7  # 1: both labels weigh the same in sum
 
 # Identity terms that may stand for one another, by kind.
 IDENTITY_TERMS = (
@@ -66,10 +69,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(bucket, text)``, each pair once."""
     raw, starts, ends, first = word_spans(texts, between="marks")
     rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    words = span_hashes(raw, starts, ends)
-    long = ends - starts > PREFIX
-    heads = mix(span_hashes(raw, starts[long], starts[long] + PREFIX))
-    kinds, rows, _ = counted(np.concatenate((words, heads)), np.concatenate((rows, rows[long])), BITS)
+    hashes, owners = [span_hashes(raw, starts, ends)], [rows]
+    for size in PREFIXES:
+        long = ends - starts > size
+        hashes.append(mix(span_hashes(raw, starts[long], starts[long] + size) + np.uint64(size)))
+        owners.append(rows[long])
+    kinds, rows, _ = counted(np.concatenate(hashes), np.concatenate(owners), BITS)
     return kinds.astype(np.int64), rows
 
 
@@ -92,17 +97,19 @@ def fit_counterfactual(rows: list[np.ndarray], labels: np.ndarray, pairs: list[t
     kept = seen >= min(MIN_DOCS, max(1, len(rows) // 4))
     x = Rows([r[kept[r]] for r in rows])
     a, b = (Rows([p[i] for p in pairs]) for i in (0, 1))
-    base = labels.mean()
+    share = labels.mean()
+    case = np.where(labels == 1, max(1.0, BALANCE * (1 - share) / share), 1.0)
+    case /= case.sum()
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        error = (sigmoid(x.dot(w) + w[-1]) - labels) / x.n
-        g = np.concatenate((x.back(error, width) + SHRINK * w[:-1], [error.sum()]))
+        error = (sigmoid(x.dot(w) + w[-1]) - labels) * case
+        g = np.concatenate((x.back(error, width) + SHRINK * w[:-1] + SPARSE * np.tanh(SHARP * w[:-1]), [error.sum()]))
         if pairs:
             change = 2 * penalty * (a.dot(w) - b.dot(w)) / len(pairs)
             g[:-1] += a.back(change, width) - b.back(change, width)
         return g
 
-    w = minimise(np.append(np.zeros(width), np.log(base / (1 - base))), gradient, steps, RATE)
+    w = minimise(np.zeros(width + 1), gradient, steps, RATE)
     return ToxicityModel(w[:-1], float(w[-1]))
 
 
