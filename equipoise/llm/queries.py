@@ -14,7 +14,9 @@ from equipoise.llm.near_dedup import near_groups
 from equipoise.llm.packing import packed_documents
 from equipoise.llm.quality import quality_digest
 from equipoise.llm.repair import round_trip
+from equipoise.llm.site_style import extract
 from equipoise.llm.toxicity import toxicity_digest
+from equipoise.llm.unigram import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
@@ -53,6 +63,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_token_counts": op2_token_counts,
+    "op3_html": op3_html,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_digest": op6_digest,
