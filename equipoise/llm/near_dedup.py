@@ -8,12 +8,13 @@ are alike if their weighted Jaccard similarity is 0.8 or more.
    counters: fixed size, so its broadcast (4 MB of log levels) is bounded; it never underestimates.
 2. Improved consistent weighted sampling (ICWS): 64 samples a text, in 16 bands of 4. Two texts of
    similarity 0.8 meet in a band with probability 0.9998, of 0.9 almost surely.
-3. Rows with equal texts become one node. In every bucket of a band the least node leads: the others
-   are compared with it, exactly, by weighted Jaccard. Those that are not alike stay and get the next
-   leader, until nobody is left. If a leader's similarity to an earlier one was above 0.6, members
-   that left are compared with it too: by the triangle inequality others cannot be alike. So a
-   bucket costs rows, never pairs, and large groups of copies cost one comparison per member.
-4. Links become classes by connected components.
+3. Rows with equal texts become one node. In every bucket of a band one member leads (another in
+   every band): the others are compared with it, exactly, by weighted Jaccard, and links become
+   classes by connected components. In two further rounds up to four members of a bucket's smaller
+   classes lead and are compared with the members of other classes. Members of one class are not
+   compared again, and a bucket costs rows per round, never pairs. Buckets of up to ten texts are
+   compared exhaustively this way. In larger ones whose members are mostly not alike (families of
+   texts of similarity 0.6 to 0.8), a link may be missed if neither end leads in any shared bucket.
 
 Cases: a null text counts as empty. Texts without words are alike only if identical. Rows that repeat
 text and id are copies like others. Of a class the row with the least ``doc_id`` stays (nulls last).
@@ -39,6 +40,8 @@ from equipoise.llm.words import counted, mix, shingles, word_hashes
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
+LEADERS = 4  # a bucket's leaders per round after the first
+ROUNDS = 3
 SKETCH_BITS = 22
 _CHUNKS = 64
 _LEVELS = 8  # per factor of two
@@ -204,53 +207,69 @@ def _candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def alike(docs: DataFrame, signed: DataFrame, levels: bytes, documents: int) -> DataFrame:
-    """Links ``(node, leader)`` of similarity 0.8 or more between different texts."""
+def _roots_of(links: DataFrame) -> DataFrame:
+    return stored(components(links.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "roots")
+
+
+def _leaders(rows: DataFrame) -> DataFrame:
+    """``(key, leader, leader_root)``: up to ``LEADERS`` members of every bucket, from its smaller
+    classes; buckets that are one class have none. Only minima and maxima are kept per bucket."""
+    sizes = rows.groupBy("key", "root").count()
+    largest = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    small = sizes.join(largest, "key").where("root <> top.root").select("key", "root", "count")
+    members = rows.join(small, ["key", "root"]).withColumn("hand", F.pmod(F.xxhash64("node"), F.lit(LEADERS)))
+    best = members.groupBy("key", "hand").agg(F.min(F.struct("count", "root", "node")).alias("best"))
+    return best.select("key", F.col("best.node").alias("leader"), F.col("best.root").alias("leader_root"))
+
+
+def alike(docs: DataFrame, signed: DataFrame, levels: bytes, documents: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``(node, leader)`` of similarity 0.8 or more between different texts, and their classes
+    ``(node, root)``."""
     nodes = signed.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").count().where("count > 1").select("key")
-    rows = rows.join(shared, "key").select("key", "node", F.lit(True).alias("open"), F.lit(False).alias("ring"))
-    rows = stored(rows, "buckets")
+    rows = stored(rows.join(shared, "key").select("key", "node"), "buckets")
     texts = stored(_candidate_texts(docs, rows.select("node").distinct()), "texts")
-    known = None
-    links = []
-    while not rows.isEmpty():
-        leaders = rows.where("open").groupBy("key").agg(F.min(F.struct("node", "ring")).alias("best"))
-        leaders = leaders.select("key", F.col("best.node").alias("leader"), F.col("best.ring").alias("of_ring"))
-        met = rows.join(leaders, "key").where("node <> leader and (open or of_ring)")
-        met = stored(met, "met")
-        pairs = met.select("node", "leader").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["node", "leader"], "left_anti")
+    tested = None
+    links = docs.sparkSession.createDataFrame([], "node binary, leader binary")
+    roots = links.select("node", F.col("leader").alias("root"))
+    # Round 1: one member leads every bucket, another in every band.
+    first = F.min(F.struct(F.xxhash64("node", "key").alias("draw"), "node"))
+    leaders = rows.groupBy("key").agg(first.alias("best")).select("key", F.col("best.node").alias("leader"), F.col("best.node").alias("leader_root"))
+    rows = rows.withColumn("root", F.col("node"))
+    for _ in range(ROUNDS):
+        if rows.isEmpty():
+            break
+        leaders = stored(leaders, "leaders")
+        met = rows.join(leaders, "key").where("node <> leader and root <> leader_root")
+        pairs = met.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["node", "leader"], "left_anti")
         new = stored(similarities(pairs, texts, levels, documents), "similar")
-        links.append(new.where(F.col("similarity") >= THRESHOLD - 1e-9).select("node", "leader"))
-        known = new if known is None else stored(known.unionByName(new), "known")
-        met = met.join(known, ["node", "leader"])
-        open_ = F.col("open") & (F.col("similarity") < THRESHOLD - 1e-9)
-        met = met.select("key", "node", open_.alias("open"), (open_ & (F.col("ring") | (F.col("similarity") > 2 * THRESHOLD - 1))).alias("ring"))
-        # Members that left before and were not compared this time may still meet a later leader.
-        idle = rows.join(leaders, "key").where("node <> leader and not (open or of_ring)").select("key", "node", "open", "ring")
-        rest = stored(met.unionByName(idle), "rest")
-        alive = rest.groupBy("key").agg(F.count_if("open").alias("n"), F.max("ring").alias("any_ring")).where("n > 1 or any_ring")
-        rows = stored(rest.join(alive, "key").where("open or any_ring").select("key", "node", "open", "ring"), "buckets")
-    out = docs.sparkSession.createDataFrame([], "node binary, leader binary")
-    for part in links:
-        out = out.unionByName(part)
-    return out
+        pairs = new.select("node", "leader")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = links.unionByName(new.where(F.col("similarity") >= THRESHOLD - 1e-9).select("node", "leader"))
+        roots = _roots_of(links)
+        # A leader has met its whole bucket and leaves; a bucket that is one class is done.
+        rest = rows.select("key", "node").join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
+        rest = stored(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rest")
+        open_ = rest.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
+        rows = stored(rest.join(open_, "key"), "buckets")
+        leaders = _leaders(rows)
+    return links, roots
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signed rows ``(doc_id, node)``, links, and ``(node, root)`` of linked nodes."""
     levels, documents = document_frequencies(docs)
     signed = stored(signatures(docs, levels, documents), "signed")
-    links = stored(alike(docs, signed, levels, documents).distinct(), "alike")
-    roots = stored(components(links.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "roots")
+    links, roots = alike(docs, signed, levels, documents)
     return signed.select("doc_id", "node"), links, roots
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, class_id`` (the least id of its class), ``class_size``,
-    ``n_links`` (other texts it was found alike with) and ``kept``."""
+    ``n_links`` (other texts that it was compared with and found alike; members of one class are not all compared) and ``kept``."""
     rows, links, roots = _classes(docs)
     ends = links.select("node").unionByName(links.select(F.col("leader").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     nodes = stored(roots.join(ends, "node"), "nodes")
