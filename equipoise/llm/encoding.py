@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
-BATCH_BYTES = 16 << 20
+WIDE_BYTES, NARROW_BYTES = 16 << 20, 2 << 20  # for encoders; for NumPy over single bytes
 
 
 def public_path(name: str) -> str:
@@ -30,10 +30,10 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that a piece holds few bytes of text, or one row."""
+def slices(batch: pa.RecordBatch, column: int, limit: int = NARROW_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that a piece holds about ``limit`` bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = np.cumsum(sizes) // BATCH_BYTES
+    group = np.cumsum(sizes) // limit
     edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)])) if len(group) else [0]
     for a, b in zip(edges[:-1], edges[1:]):
         yield batch.slice(a, b - a)

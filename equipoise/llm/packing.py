@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from equipoise.llm.common import stored, text_or_empty
-from equipoise.llm.encoding import ByteEncoder, public_path, slices, take_ragged
+from equipoise.llm.encoding import ByteEncoder, WIDE_BYTES, public_path, slices, take_ragged
 
 CAPACITY = 1024
 END_ID = 2
@@ -94,7 +94,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, v
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for big in batches:
-            for batch in slices(big, 1):
+            for batch in slices(big, 1, WIDE_BYTES):
                 encoder = encoder or ByteEncoder(public_path(vocabulary))
                 ids, offsets = encoder(batch.column(1))
                 sizes = np.diff(offsets) + 1

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from equipoise.llm.common import stored, text_or_empty
-from equipoise.llm.encoding import WordEncoder, public_path, slices
+from equipoise.llm.encoding import WordEncoder, WIDE_BYTES, public_path, slices
 
 VOCABULARY = "word_bpe_49k.json"
 TERMINALS = 49_408
@@ -170,7 +170,7 @@ def encode_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = E
         held = 0
         end = np.array([end_id], np.uint32)
         for big in batches:
-            for batch in slices(big, 1):
+            for batch in slices(big, 1, WIDE_BYTES):
                 encoder = encoder or WordEncoder(public_path(vocabulary))
                 ids, offsets = encoder(batch.column(1))
                 for i, name in enumerate(batch.column(0).to_pylist()):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equipoise.llm.common import text_or_empty
-from equipoise.llm.encoding import public_path, slices
+from equipoise.llm.encoding import WIDE_BYTES, public_path, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, cache = None, {}
         for big in batches:
-            for batch in slices(big, 1):
+            for batch in slices(big, 1, WIDE_BYTES):
                 counter = counter or PieceCounter(ranked_vocabulary(public_path(vocabulary)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count_batch(counter, cache, batch.column(1)), pa.int64())], ["doc_id", "n_tokens"])
 
