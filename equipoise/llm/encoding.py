@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
-WIDE_BYTES, NARROW_BYTES = 16 << 20, 2 << 20  # for encoders; for NumPy over single bytes
+WIDE_BYTES, NARROW_BYTES = 4 << 20, 1 << 20  # for encoders; for NumPy over single bytes
 
 
 def public_path(name: str) -> str:
@@ -37,6 +37,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = NARROW_BYTES) -> Ite
     edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)])) if len(group) else [0]
     for a, b in zip(edges[:-1], edges[1:]):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def take_ragged(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -67,7 +67,7 @@ def document_frequencies(docs: DataFrame) -> tuple[bytes, int]:
         for big in batches:
             for batch in slices(big, 0):
                 kinds, _, _ = weighted_shingles(batch.column(0))
-                sketch += np.bincount((kinds & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint32)
+                np.add.at(sketch, (kinds & np.uint64(width - 1)).astype(np.int64), np.uint32(1))
         if sketch.any():
             yield _chunks(sketch.reshape(_CHUNKS, -1), range(_CHUNKS))
 
