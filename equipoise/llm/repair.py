@@ -170,7 +170,7 @@ def encode_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = E
         held = 0
         end = np.array([end_id], np.uint32)
         for big in batches:
-            for batch in slices(big, 1, WIDE_BYTES):
+            for batch in slices(big, 1, 3 * WIDE_BYTES):
                 encoder = encoder or WordEncoder(public_path(vocabulary))
                 ids, offsets = encoder(batch.column(1))
                 for i, name in enumerate(batch.column(0).to_pylist()):

@@ -4,7 +4,8 @@ Pages of a host share a layout. Their DOMs are merged into one tree of element p
 the tree counts which sequences of children (presentation) and which texts (content) the pages show.
 The entropy of these, over the pages that have the path, is its importance: what looks and reads the
 same on every page is template. A branch whose composite importance, presentation of the element and
-mean content of the leaves below, is low on a host with enough pages is removed from each of its pages.
+content of its most telling leaf, is low on a host with enough pages is removed from each of its pages;
+so nothing goes that has anything of its own below it.
 
 Beside that a page is read for what it says itself: elements and names that mean menus, headers,
 footers, sidebars, notices, adverts, forms or comments go, and if it names its article or main part,
@@ -92,7 +93,6 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
     blocks: list[Block] = []
     elements: list[list] = []
     text: list[str] = []
-    skip = ""
 
     def flush() -> None:
         if text:
@@ -102,19 +102,17 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
                 top = stack[-1] if stack else ["", (), False, 0, []]
                 blocks.append(Block(words, top[1], top[2], top[3]))
 
-    for token in _TOKEN.findall(page):
+    at = 0
+    while at < len(page):
+        token = _TOKEN.match(page, at)[0]
+        at += len(token)
         if token[0] != "<" or token == "<":
-            if not skip:
-                text.append(html.unescape(token))
+            text.append(html.unescape(token))
             continue
         name = _NAME.match(token)
         if not name:
             continue
         tag = name[1].lower()
-        if skip:
-            if token[1] == "/" and tag == skip:
-                skip = ""
-            continue
         if token[1] == "/":
             if tag in BLOCK:
                 flush()
@@ -132,7 +130,9 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
                 text.append(" ")
             continue
         if tag in RAW:
-            skip = "" if token.endswith("/>") else tag
+            if not token.endswith("/>"):
+                end = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(page, at)
+                at = end.end() if end else len(page)
             text.append(" ")
             continue
         if tag in BLOCK:
@@ -222,7 +222,7 @@ def removed_paths(pages: DataFrame) -> DataFrame:
     parts = F.split("path", ">")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ">"))
     content = tree.where("kind = 1").select("host", F.explode(above).alias("path"), "m", "importance")
-    content = content.groupBy("host", "path").agg((F.sum(F.col("m") * F.col("importance")) / F.sum("m")).alias("content"))
+    content = content.groupBy("host", "path").agg(F.max("importance").alias("content"))
     style = tree.where("kind = 0").select("host", "path", "m", F.col("importance").alias("style"))
     joined = style.join(content, ["host", "path"]).join(hosts, "host")
     composite = PRESENTATION_WEIGHT * F.col("style") + (1 - PRESENTATION_WEIGHT) * F.col("content")

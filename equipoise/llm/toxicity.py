@@ -31,7 +31,7 @@ from equipoise.llm.linear import Rows, minimise, sigmoid
 from equipoise.llm.words import counted, mix, span_hashes, word_spans
 
 BITS = 18
-MAX_LABELLED = 12_000
+MAX_LABELLED = 9_000
 MIN_DOCS = 4
 PREFIXES = (4, 5, 6)
 PENALTY = 1.0
