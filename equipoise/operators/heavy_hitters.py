@@ -36,13 +36,13 @@ def heavy_hitters(freq: DataFrame, k: int) -> DataFrame:
 
 
 def heavy_hitter_listing(
-    freq: DataFrame, sketch: DataFrame, params: SketchParams, k: int, max_listed: int = 10
+    freq: DataFrame, sketch: DataFrame, params: SketchParams, k: int, max_listed: int | None = None
 ) -> DataFrame:
     """``(item, freq, cm_est)`` of the k heavy hitters with the smallest ids, in id order.
 
-    A listing is for reading, so it is empty when ``k`` exceeds ``max_listed``.
+    ``max_listed`` rows at most, if given.
     """
-    listed = heavy_hitters(freq, k).orderBy("item").limit(k if k <= max_listed else 0)
+    listed = heavy_hitters(freq, k).orderBy("item").limit(k if max_listed is None else min(k, max_listed))
     return with_count_min_estimate(listed, sketch, params, "cm_est").orderBy("item")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegralType, TimestampType
 
 # Rows that a counting pass may bring to the driver.
 _BUCKETS = 4096
@@ -16,7 +17,8 @@ _ROW_BITS = 33
 
 
 def ordered_prefix(rows: DataFrame, t: int, order_by: str | Sequence[str]) -> DataFrame:
-    """The ``t`` rows that come first by one or more integer columns, which must order all rows.
+    """The ``t`` rows that come first by one or more columns, which must order all rows: integers,
+    dates or timestamps. Other types raise ``ValueError``.
 
     Finds the value of the t-th row by counting ever finer ranges, at most ``_BUCKETS`` counts
     per pass, and keeps what is not beyond it: passes read the ordering columns only, and the
@@ -26,18 +28,31 @@ def ordered_prefix(rows: DataFrame, t: int, order_by: str | Sequence[str]) -> Da
     columns = [order_by] if isinstance(order_by, str) else list(order_by)
     keep, tied, left = F.lit(False), F.lit(True), t
     for name in columns:
-        found = _range_of_row(rows.where(tied).select(F.col(name).cast("bigint")), left)
+        value = _integer_key(rows, name)
+        found = _range_of_row(rows.where(tied).select(value.cast("bigint").alias(name)), left)
         if found is None:
             return rows
         cut, before, held = found
         if before + held == left:
-            return rows.where(keep | (tied & (F.col(name) <= cut)))
-        keep = keep | (tied & (F.col(name) < cut))
-        tied = tied & (F.col(name) == cut)
+            return rows.where(keep | (tied & (value <= cut)))
+        keep = keep | (tied & (value < cut))
+        tied = tied & (value == cut)
         left -= before
     raise ValueError(f"{columns} leave {held} rows tied at row {t}; add a column that tells them apart")
 
 
+def _integer_key(rows: DataFrame, name: str) -> Column:
+    """The column as whole numbers in the same order; search and filter use this one key."""
+    kind = rows.schema[name].dataType
+    if isinstance(kind, IntegralType):
+        return F.col(name)
+    if isinstance(kind, DateType):
+        return F.unix_date(name)
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(name)
+    raise ValueError(f"{name} is {kind.simpleString()}; order by integers, dates or timestamps")
+
+
 def _range_of_row(column: DataFrame, t: int) -> tuple[int, int, int] | None:
     """Upper end of a value range that holds row ``t``, the rows below it and the rows in it.
 

@@ -137,13 +137,15 @@ def _read_cells(freq: DataFrame, cells: DataFrame, size: int, rows: list[Column]
         dense = filled.agg(ordered.alias("counters")).scalar()
         read = F.transform(table, lambda row: F.col("_counters")[_cell(row)] * _sign(row))
         return freq.withColumn("_counters", dense).withColumn("_read", read).drop("_counters")
-    probed = freq.select("*", F.posexplode(table).alias("_pos", "_row"))
+    # Items are probed once each, so that rows that repeat an item stay apart.
+    probed = freq.select("item").distinct().select("item", F.posexplode(table).alias("_pos", "_row"))
     row = F.col("_row")
-    asked = probed.select(*freq.columns, "_pos", _cell(row).alias("cell"), _sign(row).alias("_sign"))
+    asked = probed.select("item", "_pos", _cell(row).alias("cell"), _sign(row).alias("_sign"))
     counter = F.coalesce("counter", F.lit(0)) * F.col("_sign")
-    found = asked.join(cells, "cell", "left").groupBy(*freq.columns)
+    found = asked.join(cells, "cell", "left").groupBy("item")
     read = F.sort_array(F.collect_list(F.struct("_pos", counter.alias("counter"))))
-    return found.agg(F.transform(read, lambda r: r["counter"]).alias("_read"))
+    reads = found.agg(F.transform(read, lambda r: r["counter"]).alias("_read"))
+    return freq.join(reads, "item").select(*freq.columns, "_read")
 
 
 def _count_estimate(depth: int, rows: str) -> Column:

@@ -24,7 +24,6 @@ from equipoise.operators.sketches import (
 )
 from equipoise.plans import reports, views
 from equipoise.session import shared_dir, spread
-from equipoise.sources.mixture import mixture_counts, mixture_points
 from equipoise.sources.sinks import clustered_point_lines
 from equipoise.sources.text import parse_clustered_points, parse_items, parse_points
 from equipoise.streaming.bounded import count_prefix, frequencies_of
@@ -36,7 +35,6 @@ CENTERS = views.CENTERS
 CM, CS, CS_EVEN = views.COUNT_MIN_PARAMS, views.COUNT_PARAMS, views.EVEN_COUNT_PARAMS
 ROUND_DIGITS = 6
 FAIR_ROUNDS = 3
-MIXTURE_CLUSTERS = 7
 TRAINED_CLUSTERS = 4
 TRAINING_ROUNDS = 5
 
@@ -245,12 +243,6 @@ def _cluster_series(spark: SparkSession, sf: str) -> DataFrame:
     return summary.select("series", "n", *bounds)
 
 
-def _synthetic_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    # As many points as there are orders.
-    n = views.table(spark, sf, "orders", "o_orderkey").count()
-    return mixture_counts(mixture_points(spark, n, MIXTURE_CLUSTERS))
-
-
 # Items
 
 
@@ -389,7 +381,6 @@ QUERIES: dict[str, Query] = {
     "fair_vs_standard": _fair_vs_standard,
     "save_points": _save_points,
     "cluster_series": _cluster_series,
-    "synthetic_mixture_counts": _synthetic_mixture,
     "items_parse": _parse_items,
     "item_frequencies": _freq,
     "item_totals": _item_totals,

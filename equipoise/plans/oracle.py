@@ -196,14 +196,6 @@ _PHI = """coalesce(avg(CASE WHEN grp = 'A' THEN dist END), 0) AS mean_a,
     coalesce(avg(CASE WHEN grp = 'B' THEN dist END), 0) AS mean_b"""
 
 
-def _even(rank: str, total: str) -> str:
-    k = MIXTURE_CLUSTERS
-    return (
-        f"CASE WHEN {rank} < {total} % {k} * ({total} // {k} + 1) THEN {rank} // ({total} // {k} + 1) "
-        f"ELSE ({rank} - {total} % {k} * ({total} // {k} + 1)) // greatest({total} // {k}, 1) + {total} % {k} END"
-    )
-
-
 _THREE_DECIMALS = "CAST(round(CAST(CAST({0} AS VARCHAR) AS DECIMAL(30, 18)), 3) AS VARCHAR)"
 
 ORACLE: dict[str, str] = {
@@ -274,15 +266,6 @@ ORACLE: dict[str, str] = {
         round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y
         FROM near GROUP BY series"""
     ),
-    "synthetic_mixture_counts": f"""WITH sizes AS (
-            SELECT count(*) AS n, CAST(floor(count(*) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS n_a FROM orders),
-        ranks AS (SELECT i, n, n_a FROM sizes, LATERAL (SELECT unnest(range(n)) AS i)),
-        placed AS (
-            SELECT CASE WHEN i < n_a THEN 'A' ELSE 'B' END AS grp,
-                   CAST(CASE WHEN i < n_a THEN {_even("i", "n_a")}
-                        ELSE {_even("(i - n_a)", "(n - n_a)")} END AS INTEGER) AS cluster
-            FROM ranks)
-        SELECT cluster, grp, count(*) AS n FROM placed GROUP BY cluster, grp""",
     "items_parse": f"WITH {_ITEMS} SELECT seq, item FROM items",
     "item_frequencies": f"WITH {_ITEMS} SELECT item, count(*) AS freq FROM items GROUP BY item",
     "item_totals": f"WITH {_ITEMS} SELECT count(*) AS processed, count(DISTINCT item) AS distinct_items FROM items",

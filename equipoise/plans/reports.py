@@ -77,7 +77,7 @@ class StreamReport(NamedTuple):
 
 
 def stream_report(
-    counters: DataFrame, k: int, count_min: SketchParams, count: SketchParams, max_listed: int = 10
+    counters: DataFrame, k: int, count_min: SketchParams, count: SketchParams, max_listed: int | None = None
 ) -> StreamReport:
     """Heavy hitters and sketch errors from the counters that a stream left behind."""
     freq = frequencies_of(counters)

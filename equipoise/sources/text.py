@@ -61,8 +61,8 @@ def parse_points(lines: DataFrame, line_col: str = "value", has_cluster_id: str
         last_is_id = integer_or_null(F.element_at(tokens, -1)).isNotNull()
         group_at = F.when(last_is_id, size - 1).otherwise(size)
     # Two tokens take a comma that is not at the end; asking for that spares the filter a split.
-    two_tokens = F.contains(F.rtrim(F.col(line_col), F.lit(",")), F.lit(","))
-    split = lines.where(two_tokens).select(*rest, comma_tokens(F.col(line_col)).alias("_tokens"))
+    two_tokens = F.contains(F.rtrim(F.col(line_col).cast("string"), F.lit(",")), F.lit(","))
+    split = lines.where(two_tokens).select(*rest, comma_tokens(F.col(line_col).cast("string")).alias("_tokens"))
     located = split.withColumn("_at", group_at)
     numbers = F.transform(F.slice(tokens, F.lit(1), F.col("_at") - 1), lambda t: t.try_cast("double"))
     message = F.concat(F.lit("not a finite coordinate in: "), F.concat_ws(",", tokens))
@@ -82,7 +82,7 @@ def parse_clustered_points(lines: DataFrame, line_col: str = "value") -> DataFra
     """
     tokens = F.col("_tokens")
     size = F.size(tokens)
-    parsed = lines.withColumn("_tokens", comma_tokens(F.col(line_col))).select(
+    parsed = lines.withColumn("_tokens", comma_tokens(F.col(line_col).cast("string"))).select(
         *lines.columns,
         F.get(tokens, F.lit(0)).try_cast("double").alias("x"),
         F.get(tokens, F.lit(1)).try_cast("double").alias("y"),
@@ -113,7 +113,7 @@ def rejected_lines(parsed: DataFrame, line_col: str = "value") -> DataFrame:
 def parse_items(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """``item int`` from one decimal integer per line; anything else fails the job."""
     rest = [c for c in lines.columns if c != line_col]
-    token = F.col(line_col)
+    token = F.col(line_col).cast("string")  # message queues deliver bytes
     message = F.concat(F.lit("not a 32-bit integer: "), token)
     item = integer_or_null(token)
     return lines.select(

@@ -57,3 +57,11 @@ def test_target_must_be_positive(spark):
         ordered_prefix(spark.range(3), 0, "id")
     with pytest.raises(ValueError):
         arrival_prefix(spark.range(3), 0)
+
+
+def test_order_columns_must_be_whole_numbers(spark):
+    halves = spark.range(6).selectExpr("(id + 0.5) * 1.0D AS v")
+    with pytest.raises(ValueError, match="double"):
+        ordered_prefix(halves, 3, "v")
+    times = spark.range(20).selectExpr("timestamp_millis(id * 300) AS ts")
+    assert ordered_prefix(times, 7, "ts").count() == 7

@@ -183,7 +183,7 @@ def test_listing_shows_the_smallest_ids(spark):
     listed = hh.heavy_hitter_listing(freq, sketch, COUNT_MIN_PARAMS, 2).collect()
     assert [(r.item, r.freq) for r in listed] == [(10, 5), (20, 3)]
     assert all(r.cm_est >= r.freq for r in listed)
-    assert hh.heavy_hitter_listing(freq, sketch, COUNT_MIN_PARAMS, 3, max_listed=2).collect() == []
+    assert hh.heavy_hitter_listing(freq, sketch, COUNT_MIN_PARAMS, 3, max_listed=2).count() == 2
 
 
 @pytest.mark.parametrize("dense", [0, 1_000_000])
@@ -220,3 +220,12 @@ def test_no_items(spark):
     assert tuple(frequency_totals(empty).first()) == (0, 0)
     row = hh.heavy_hitter_errors(empty, 2, COUNT_MIN_PARAMS, COUNT_PARAMS).first()
     assert tuple(row) == (0, 0, 0, None, None)
+
+
+def test_repeated_items_keep_their_rows_in_large_sketches(spark, monkeypatch):
+    freq = spark.createDataFrame([(5, 1), (5, 1), (9, 2)], "item int, freq bigint")
+    sketch = sketches.count_min_sketch(freq, COUNT_MIN_PARAMS, weight="freq")
+    small = sorted(sketches.with_count_min_estimate(freq, sketch, COUNT_MIN_PARAMS).collect())
+    monkeypatch.setattr(sketches, "DENSE_CELLS", 1)
+    large = sorted(sketches.with_count_min_estimate(freq, sketch, COUNT_MIN_PARAMS).collect())
+    assert small == large and len(large) == 3
