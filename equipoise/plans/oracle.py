@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from equipoise.functions.hashing import HASH_PRIME, SketchParams
 from equipoise.plans import views
-from equipoise.plans.catalog import CENTERS, CM, CS, CS_EVEN, FAIR_ROUNDS, MIXTURE_CLUSTERS
+from equipoise.plans.catalog import CENTERS, CM, CS, CS_EVEN, FAIR_ROUNDS
 
 TOKENS = (
     "CASE WHEN text = '' THEN [''] WHEN rtrim(text, ' ') = '' THEN [] "
