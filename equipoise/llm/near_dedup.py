@@ -10,11 +10,13 @@ are alike if their weighted Jaccard similarity is 0.8 or more.
    similarity 0.8 meet in a band with probability 0.9998, of 0.9 almost surely.
 3. Rows with equal texts become one node. In every bucket of a band one member leads (another in
    every band): the others are compared with it, exactly, by weighted Jaccard, and links become
-   classes by connected components. In two further rounds up to four members of a bucket's smaller
-   classes lead and are compared with the members of other classes. Members of one class are not
-   compared again, and a bucket costs rows per round, never pairs. Buckets of up to ten texts are
-   compared exhaustively this way. In larger ones whose members are mostly not alike (families of
-   texts of similarity 0.6 to 0.8), a link may be missed if neither end leads in any shared bucket.
+   classes by connected components. This costs a bucket rows, never pairs, and joins most copies.
+4. Buckets that still hold several classes are compared in full, again by weighted Jaccard: all
+   members outside of a bucket's largest class with all its members, in blocks of bounded size, one
+   pair of blocks a task. A block pair returns at most one link for each class it joins on, so pairs
+   are never rows. Buckets of the same members are compared once.
+
+So every two texts that share a bucket end in one class if they are alike; no bucket is too large.
 
 Cases: a null text counts as empty. Texts without words are alike only if identical. Rows that repeat
 text and id are copies like others. Of a class the row with the least ``doc_id`` stays (nulls last).
@@ -40,12 +42,12 @@ from equipoise.llm.words import counted, mix, shingles, word_hashes
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
-LEADERS = 4  # a bucket's leaders per round after the first
-ROUNDS = 3
+BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20  # of texts that are compared with another block at once
 SKETCH_BITS = 22
 _CHUNKS = 64
 _LEVELS = 8  # per factor of two
 _SEED = 0x5DEECE66D
+_COLUMNS = 1024  # of the matrices of a block
 
 
 def text_node(text: Column) -> Column:
@@ -204,73 +206,152 @@ def _candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = docs.select(text_or_empty().alias("text")).select("text", text_node(F.col("text")).alias("node"))
     rows = with_membership(rows.withColumn("key", F.xxhash64("node")), wanted, blocks, "maybe").where("maybe")
     # One text per node, combined in the map tasks.
-    return rows.groupBy("node").agg(F.first("text").alias("text"))
+    return rows.groupBy("node").agg(F.first("text").alias("text")).withColumn("bytes", F.octet_length("text"))
 
 
 def _roots_of(links: DataFrame) -> DataFrame:
     return stored(components(links.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "roots")
 
 
-def _leaders(rows: DataFrame) -> DataFrame:
-    """``(key, leader, leader_root)``: up to ``LEADERS`` members of every bucket, from its smaller
-    classes; buckets that are one class have none. Only minima and maxima are kept per bucket."""
-    sizes = rows.groupBy("key", "root").count()
-    largest = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    small = sizes.join(largest, "key").where("root <> top.root").select("key", "root", "count")
-    members = rows.join(small, ["key", "root"]).withColumn("hand", F.pmod(F.xxhash64("node"), F.lit(LEADERS)))
-    best = members.groupBy("key", "hand").agg(F.min(F.struct("count", "root", "node")).alias("best"))
-    return best.select("key", F.col("best.node").alias("leader"), F.col("best.root").alias("leader_root"))
+def _features(texts: pa.Array, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(feature, text, weight)``. The n-th occurrence of a shingle is a feature of its own, so what
+    two texts have in common weighs as much as their common features."""
+    parts, at = [], 0
+    for batch in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0):
+        kinds, rows, counts = weighted_shingles(batch.column(0))
+        nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        names = mix(np.repeat(kinds, counts) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        parts.append((names, np.repeat(rows + at, counts), np.repeat(weights(kinds, np.ones(len(kinds))), counts)))
+        at += len(batch)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _block_similarities(left: pa.Array, right: pa.Array, weights: Weights) -> np.ndarray:
+    """Weighted Jaccard of every left with every right text, ``[left, right]``."""
+    sides = [(*_features(texts, weights), len(texts)) for texts in (left, right)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    totals, held = [], []
+    for names, rows, weight, n in sides:
+        totals.append(np.bincount(rows, weight, n))
+        order = np.argsort(names, kind="stable")
+        order = order[np.isin(names[order], common)]
+        held.append((np.searchsorted(common, names[order]), rows[order], weight[order], n))
+    both = np.zeros((len(left), len(right)))
+    for at in range(0, len(common), _COLUMNS):
+        dense = []
+        for k, (column, rows, weight, n) in enumerate(held):
+            a, b = np.searchsorted(column, (at, at + _COLUMNS))
+            part = np.zeros((n, _COLUMNS))
+            part[rows[a:b], column[a:b] - at] = 1.0 if k else weight[a:b]
+            dense.append(part)
+        both += dense[0] @ dense[1].T
+    return both / np.maximum(totals[0][:, None] + totals[1][None, :] - both, 1e-300)
+
+
+def _joining(pairs: np.ndarray, classes: np.ndarray) -> list[int]:
+    """Which of the pairs join two classes that no earlier pair has joined."""
+    parent = list(range(int(classes.max()) + 1))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for k, (a, b) in enumerate(classes[pairs].tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return kept
+
+
+def _links_in_blocks(rows: DataFrame, texts: DataFrame, levels: bytes, documents: int, block_rows: int) -> DataFrame:
+    """Links ``(node, leader)`` that join the classes of every bucket; ``rows`` is (key, node, root)."""
+    shared = rows.sparkSession.sparkContext.broadcast(levels)
+    rows = stored(rows.join(texts.select("node", "bytes"), "node"), "open")
+    # Per bucket: its size, its largest class, and a name of its set of members.
+    one, two = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
+    classes = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two"))
+    buckets = classes.groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"), F.max(F.struct("n", "root", "bytes")).alias("top")
+    )
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / block_rows), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
 
+    cut = buckets.where("top.n < n").select(
+        "key", "n", "one", "two", F.col("top.root").alias("top"), blocks(F.col("n"), F.col("bytes")).alias("blocks"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rest_blocks")
+    )
+    cut = cut.groupBy("n", "one", "two").agg(F.min(F.struct("key", "top", "blocks", "rest_blocks")).alias("cut")).select("cut.*")
+    placed = stored(rows.join(cut, "key"), "placed")
+    whole = placed.select("key", "node", "root", F.lit(False).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("i"), F.pmod(one, F.col("blocks")).cast("int").alias("j"))
+    rest = placed.where("root <> top").select(
+        "key", "node", "root", F.lit(True).alias("rest"), F.pmod(one, F.col("rest_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
+    )
 
-def alike(docs: DataFrame, signed: DataFrame, levels: bytes, documents: int) -> tuple[DataFrame, DataFrame]:
-    """Links ``(node, leader)`` of similarity 0.8 or more between different texts, and their classes
-    ``(node, root)``."""
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        rest = group["rest"].to_numpy().astype(bool)
+        left, right = np.flatnonzero(rest), np.flatnonzero(~rest)
+        links = pa.table({"node": pa.array([], pa.binary()), "leader": pa.array([], pa.binary())})
+        if not len(left) or not len(right):
+            return links
+        text = group["text"].combine_chunks()
+        alike = _block_similarities(text.take(pa.array(left)), text.take(pa.array(right)), Weights(shared.value, documents)) >= THRESHOLD - 1e-9
+        roots = np.unique(np.array(group["root"].to_pylist(), object), return_inverse=True)[1]
+        alike &= roots[left][:, None] != roots[right][None, :]
+        a, b = np.nonzero(alike)
+        pairs = np.stack((left[a], right[b]), 1)
+        if not len(pairs):
+            return links
+        pairs = pairs[_joining(pairs, roots)]
+        node = group["node"].combine_chunks()
+        return pa.table({"node": node.take(pa.array(pairs[:, 0])).cast(pa.binary()), "leader": node.take(pa.array(pairs[:, 1])).cast(pa.binary())})
+
+    sides = whole.unionByName(rest).join(texts.select("node", "text"), "node")
+    found = sides.groupBy("key", "i", "j").applyInArrow(compare, "node binary, leader binary")
+    return found.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
+
+
+def alike(docs: DataFrame, signed: DataFrame, levels: bytes, documents: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Links ``(node, leader)`` of similarity 0.8 or more between different texts, enough to join
+    every class, and the classes ``(node, root)``."""
     nodes = signed.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").count().where("count > 1").select("key")
     rows = stored(rows.join(shared, "key").select("key", "node"), "buckets")
     texts = stored(_candidate_texts(docs, rows.select("node").distinct()), "texts")
-    tested = None
-    links = docs.sparkSession.createDataFrame([], "node binary, leader binary")
-    roots = links.select("node", F.col("leader").alias("root"))
-    # Round 1: one member leads every bucket, another in every band.
+    # One member leads every bucket, another in every band.
     first = F.min(F.struct(F.xxhash64("node", "key").alias("draw"), "node"))
-    leaders = rows.groupBy("key").agg(first.alias("best")).select("key", F.col("best.node").alias("leader"), F.col("best.node").alias("leader_root"))
-    rows = rows.withColumn("root", F.col("node"))
-    for _ in range(ROUNDS):
-        if rows.isEmpty():
-            break
-        leaders = stored(leaders, "leaders")
-        met = rows.join(leaders, "key").where("node <> leader and root <> leader_root")
-        pairs = met.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["node", "leader"], "left_anti")
-        new = stored(similarities(pairs, texts, levels, documents), "similar")
-        pairs = new.select("node", "leader")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(new.where(F.col("similarity") >= THRESHOLD - 1e-9).select("node", "leader"))
-        roots = _roots_of(links)
-        # A leader has met its whole bucket and leaves; a bucket that is one class is done.
-        rest = rows.select("key", "node").join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
-        rest = stored(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rest")
-        open_ = rest.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
-        rows = stored(rest.join(open_, "key"), "buckets")
-        leaders = _leaders(rows)
-    return links, roots
-
-
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    leaders = stored(rows.groupBy("key").agg(first.alias("best")).select("key", F.col("best.node").alias("leader")), "leaders")
+    met = rows.join(leaders, "key").where("node <> leader")
+    pairs = met.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
+    links = stored(similarities(pairs, texts, levels, documents).where(F.col("similarity") >= THRESHOLD - 1e-9).select("node", "leader"), "links")
+    roots = _roots_of(links)
+    # A leader has met its whole bucket and leaves; a bucket that is one class is done.
+    rest = rows.join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
+    rest = stored(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rest")
+    open_ = rest.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
+    more = stored(_links_in_blocks(rest.join(open_, "key"), texts, levels, documents, block_rows), "links")
+    links = links.unionByName(more).distinct()
+    return links, _roots_of(links)
+
+
+def _classes(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signed rows ``(doc_id, node)``, links, and ``(node, root)`` of linked nodes."""
     levels, documents = document_frequencies(docs)
     signed = stored(signatures(docs, levels, documents), "signed")
-    links, roots = alike(docs, signed, levels, documents)
+    links, roots = alike(docs, signed, levels, documents, block_rows)
     return signed.select("doc_id", "node"), links, roots
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: ``doc_id, class_id`` (the least id of its class), ``class_size``,
-    ``n_links`` (other texts that it was compared with and found alike; members of one class are not all compared) and ``kept``."""
-    rows, links, roots = _classes(docs)
+    ``n_links`` (links by which its text was joined; members of one class are not all compared) and
+    ``kept``."""
+    rows, links, roots = _classes(docs, block_rows)
     ends = links.select("node").unionByName(links.select(F.col("leader").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     nodes = stored(roots.join(ends, "node"), "nodes")
     # Copies are counted per id first; adaptive execution splits the partition of a hot text.

@@ -98,6 +98,36 @@ def test_near_groups(spark, sample):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(ids) for ids in classes.values())
 
 
+def test_near_family_in_blocks(spark):
+    """A family whose members are mostly 0.6 to 0.9 alike, in buckets of several blocks."""
+    rng = random.Random(11)
+    base = words(rng, 300).split()
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for at in rng.sample(range(300), rng.choice([2, 5, 8, 10])):
+            text[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(text), None))
+    rows += [(200 + i, " ".join(["again"] * n), None) for i, n in enumerate([40, 41, 48, 56, 200])]
+    want = {}
+    for (i, _, _), c in zip(rows, near_classes(rows)):
+        want.setdefault(c, set()).add(i)
+    assert 2 < len(want) < len(rows)
+    for block_rows in (7, 512):
+        got = {}
+        for r in near_dedup.near_groups(docs_of(spark, rows), block_rows).collect():
+            got.setdefault(r.class_id, set()).add(r.doc_id)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_block_similarities():
+    texts = ["a b c d e f", "a b c d e g", "a a a a a a a a", "a a a a a a", "z"]
+    weights = near_dedup.Weights(bytes(1 << near_dedup.SKETCH_BITS), 5)
+    got = near_dedup._block_similarities(pa.array(texts), pa.array(texts), weights)
+    assert got.diagonal() == pytest.approx(1)
+    assert got[0, 1] == pytest.approx(1 / 3) and got[2, 3] == pytest.approx(1 / 2) and got[0, 4] == 0
+
+
 def test_mix(spark, sample):
     rows = [r for r in sample if r[0] not in (None, 5)]
     got = mixing.mix_digest(spark, docs_of(spark, rows)).collect()
