@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Centres live on the driver and travel with every task, so their total size is checked.
-MAX_CENTER_VALUES = 50_000_000
+# Centres live on the driver and travel with every task, which sums three groups for each of
+# them: at the limit some 250 MB.
+MAX_CENTER_VALUES = 5_000_000
 
 # Doubles in one block of the points-by-centres matrix; 4 MB stays inside a core's cache share.
 _BLOCK_VALUES = 500_000
@@ -23,7 +24,10 @@ def center_matrix(centers: Centers) -> np.ndarray:
     A frame must have ``center_id`` 0..K-1 and ``coords``.
     """
     if isinstance(centers, DataFrame):
-        rows = centers.select("center_id", "coords").limit(MAX_CENTER_VALUES + 1).toPandas()
+        # Known before anything is pulled: the values, not the rows, are what is bounded.
+        size = centers.agg(F.coalesce(F.sum(F.size("coords").cast("bigint")), F.lit(0))).first()[0]
+        _check_size(size)
+        rows = centers.select("center_id", "coords").toPandas()
         rows = rows.sort_values("center_id")
         if list(rows["center_id"]) != list(range(len(rows))):
             raise ValueError("center_id must number the centres 0..K-1")
@@ -31,13 +35,17 @@ def center_matrix(centers: Centers) -> np.ndarray:
     matrix = np.array([np.asarray(c, dtype=np.float64) for c in centers], dtype=np.float64)
     if matrix.ndim != 2 or matrix.size == 0:
         raise ValueError("centres must be a non-empty list of points of one dimension")
-    if matrix.size > MAX_CENTER_VALUES:
-        raise ValueError(f"centres hold {matrix.size} values, more than {MAX_CENTER_VALUES}")
+    _check_size(matrix.size)
     if not np.isfinite(matrix).all():
         raise ValueError("centres must be finite")
     return matrix
 
 
+def _check_size(values: int) -> None:
+    if values > MAX_CENTER_VALUES:
+        raise ValueError(f"centres hold {values} values, more than {MAX_CENTER_VALUES}")
+
+
 def squared_distance(coords: Column, center: Sequence[float]) -> Column:
     """Squared Euclidean distance to a given point, unrolled over the dimensions."""
     total = None

@@ -13,9 +13,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from equipoise.functions.geometry import Centers, center_matrix
-from equipoise.operators.moments import CODE_A, CODE_B, MomentTable
+from equipoise.operators.moments import CODE_A, CODE_B, MomentTable, PackedPoints, costs_around
 
+# Rounds and first weight of the line search.
 LINE_SEARCH_ROUNDS = 10
+FIRST_WEIGHT = 0.5
+
+# Costs around the means that keep less than this of the costs around the old centres are not
+# taken by subtraction: too few of a double's 16 digits would be left.
+LEAST_SHARE = 1e-6
 
 
 @dataclass(frozen=True)
@@ -41,7 +47,7 @@ def line_search(
     Bisects the weight gamma of group A until both groups pay the same, for a fixed number of
     rounds, and returns the distances of the last weight tried.
     """
-    gamma = step = 0.5
+    gamma = step = FIRST_WEIGHT
     x = np.zeros_like(ell)
     for _ in range(LINE_SEARCH_ROUNDS):
         pull_a, pull_b = gamma * alpha, (1.0 - gamma) * beta
@@ -55,8 +61,11 @@ def line_search(
     return x
 
 
-def finish_step(moments: MomentTable, centers: np.ndarray) -> FairStep:
-    """Turn the moments of a round into new centres."""
+def finish_step(moments: MomentTable, centers: np.ndarray, points: DataFrame | PackedPoints) -> FairStep:
+    """Turn the moments of a round into new centres.
+
+    Centres far from their points, as a bad start may have them, cost a second pass over the points.
+    """
     n_a, n_b = moments.n[CODE_A], moments.n[CODE_B]
     mean_a = _means(moments.sums[CODE_A], n_a)
     mean_b = _means(moments.sums[CODE_B], n_b)
@@ -68,8 +77,11 @@ def finish_step(moments: MomentTable, centers: np.ndarray) -> FairStep:
     )
     share_a, share_b = max(1, n_a.sum()), max(1, n_b.sum())
     # Around its own mean a group costs less than around the old centre by n * |mean - centre|^2.
-    fixed_a = float((moments.cost[CODE_A] - n_a * _row_squares(mean_a - centers)).sum() / share_a)
-    fixed_b = float((moments.cost[CODE_B] - n_b * _row_squares(mean_b - centers)).sum() / share_b)
+    costs = moments.cost[[CODE_A, CODE_B]]
+    own = costs - np.stack([n_a * _row_squares(mean_a - centers), n_b * _row_squares(mean_b - centers)])
+    if (own.sum(axis=1) < LEAST_SHARE * costs.sum(axis=1)).any():
+        own = costs_around(points, centers, np.stack([mean_a, mean_b]))
+    fixed_a, fixed_b = float(own[CODE_A].sum() / share_a), float(own[CODE_B].sum() / share_b)
     ell = np.sqrt(_row_squares(mean_a - mean_b))
     x = line_search(fixed_a, fixed_b, n_a / share_a, n_b / share_b, ell)
     toward_b = np.divide(x, ell, out=np.zeros_like(ell), where=ell > 0)[:, None]
@@ -89,7 +101,7 @@ def _row_squares(rows: np.ndarray) -> np.ndarray:
 def fair_step(points: DataFrame, centers: Centers) -> FairStep:
     """Run one round on ``(coords, grp)`` points from given centres."""
     matrix = center_matrix(centers)
-    return finish_step(MomentTable.of(points, matrix).only_two_groups(), matrix)
+    return finish_step(MomentTable.of(points, matrix).only_two_groups(), matrix, points)
 
 
 def fair_moments(points: DataFrame, centers: Centers) -> DataFrame:

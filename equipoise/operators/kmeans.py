@@ -69,5 +69,5 @@ def fair_kmeans(
         moments = MomentTable.of(points, matrix).only_two_groups()
         if round_no == 0 and not (moments.n[CODE_A].any() and moments.n[CODE_B].any()):
             return standard_kmeans(points.points, k, max_iter, seed)
-        matrix = finish_step(moments, matrix).centers
+        matrix = finish_step(moments, matrix, points).centers
     return centers_frame(points.points.sparkSession, matrix)

@@ -128,6 +128,40 @@ def point_moments(points: DataFrame, centers: Centers) -> DataFrame:
     return _merge(source.mapInArrow(partial, _partial_schema(dim)), dim)
 
 
+def costs_around(points: DataFrame | PackedPoints, centers: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Summed squared distances to ``means[group, cluster]``, the clusters being those of
+    ``centers``: ``[group, cluster]``. One pass over the points."""
+    k, dim = centers.shape
+    flat = np.concatenate([means, np.zeros((3 - len(means), k, dim))]).transpose(1, 0, 2).reshape(-1, dim)
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(3 * k)
+        for batch in batches:
+            for x, codes in rows_of(batch):
+                key = nearest_rows(x, centers)[0] * 3 + codes
+                gap = x - flat[key]
+                total += np.bincount(key, np.einsum("ij,ij->i", gap, gap), minlength=3 * k)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["key", "cost"])
+
+    if isinstance(points, PackedPoints):
+        source = points.blocks
+
+        def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for coords, codes in zip(batch.column(0), batch.column(1)):
+                yield np.frombuffer(coords.as_buffer(), np.float64).reshape(-1, dim), np.frombuffer(codes.as_buffer(), np.int8)
+    else:
+        source = points.select("coords", group_code().alias("code"))
+
+        def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield coords_to_numpy(batch.column(0), dim), batch.column(1).to_numpy(zero_copy_only=False)
+
+    rows = source.mapInArrow(partial, "key int, cost double").groupBy("key").agg(F.sum("cost").alias("cost")).toArrow()
+    out = np.zeros(3 * k)  # at most a few values per centre
+    out[rows["key"].to_numpy()] = rows["cost"].to_numpy()
+    return out.reshape(k, 3).T
+
+
 class _Accumulator:
     """Running sums of one task, indexed by cluster * 3 + group code."""
 

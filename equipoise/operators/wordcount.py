@@ -29,11 +29,12 @@ def word_count(
     """``(word, n)`` over all documents.
 
     ``direct`` is one shuffle of pre-aggregated counts, in which a frequent word costs one row
-    per map task; it is the plan to use. ``salted`` and ``partition`` count in two rounds, the
-    first keyed by a salt or by the input partition, and exist to compare the plans.
+    per map task; it is the plan to use. ``partition`` counts within each input partition first,
+    which is what the aggregate does before its shuffle, so its plan is the same. ``salted``
+    counts in two shuffled rounds, the first keyed by a salt, and exists to compare the plans.
     """
     text = F.col(text_col)
-    if strategy == "direct":
+    if strategy in ("direct", "partition"):
         words = documents.select(F.explode(space_tokens(text)).alias("word"))
         return words.groupBy("word").agg(F.count("*").alias("n"))
     if strategy == "salted":
@@ -44,9 +45,6 @@ def word_count(
         hashed = documents.select(F.xxhash64(text).alias("doc_hash"), text.alias("text"))
         words = hashed.select("doc_hash", F.explode(space_tokens(F.col("text"))).alias("word"))
         key = F.pmod(F.xxhash64("doc_hash", "word"), F.lit(num_salts))
-    elif strategy == "partition":
-        words = documents.select(F.explode(space_tokens(text)).alias("word"))
-        key = F.spark_partition_id()
     else:
         raise ValueError(f"strategy must be one of {STRATEGIES}: {strategy!r}")
     first = words.withColumn("round_key", key).groupBy("round_key", "word").agg(F.count("*").alias("n"))

@@ -23,7 +23,7 @@ from equipoise.operators.sketches import (
     with_count_sketch_estimate,
 )
 from equipoise.plans import reports, views
-from equipoise.session import shared_dir, spread
+from equipoise.session import shared_dir
 from equipoise.sources.sinks import clustered_point_lines
 from equipoise.sources.text import parse_clustered_points, parse_items, parse_points
 from equipoise.streaming.bounded import count_prefix, frequencies_of
@@ -92,7 +92,7 @@ def _point_lines(spark: SparkSession, sf: str, cluster: Column | None = None) ->
     columns = [F.format_string("%.6f", "x"), F.format_string("%.6f", "y"), F.col("grp")]
     if cluster is not None:
         columns.append(cluster)
-    points = spread(views.points_xy(spark, sf))
+    points = views.points_xy(spark, sf)
     return points.select("point_id", F.concat_ws(",", *columns).alias("value"))
 
 

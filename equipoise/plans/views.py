@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equipoise.functions.hashing import HashRow, SketchParams
-from equipoise.session import spread
 
 # Fixed values of the catalogue: centres, a second set to compare with, hash parameters.
 CENTERS = ((10.0, 5.0), (25.0, 20.0), (40.0, 40.0), (55.0, 10.0))
@@ -37,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def points_xy(spark: SparkSession, sf_dir: str, keep_foreign: bool = False) -> DataFrame:

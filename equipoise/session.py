@@ -38,14 +38,3 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="equipoise-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Rebalance a scan that would leave most of the cluster idle.
-
-    A single small file is one task however many cores there are. Spark cuts splits small enough
-    to give every core one, down to 4 MB, so half as many splits as cores means little data (or
-    files that cannot be split); a large table comes back unchanged.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan

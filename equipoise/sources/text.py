@@ -15,11 +15,14 @@ CLUSTER_ID_RULES = ("auto", "yes", "no")
 
 
 def read_lines(spark: SparkSession, path: str, num_partitions: int | None = None) -> DataFrame:
-    """One row per line in column ``value``; ``num_partitions`` redistributes the lines."""
+    """One row per line in column ``value``, in at least ``num_partitions`` partitions: only a scan
+    of fewer splits is redistributed."""
     if num_partitions is not None and num_partitions < 1:
         raise ValueError("num_partitions must be at least 1")
     lines = spark.read.text(path)
-    return lines.repartition(num_partitions) if num_partitions else lines
+    if num_partitions and lines.rdd.getNumPartitions() < num_partitions:
+        return lines.repartition(num_partitions)
+    return lines
 
 
 def read_documents(spark: SparkSession, path: str, num_partitions: int | None = None) -> DataFrame:

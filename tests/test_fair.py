@@ -10,6 +10,7 @@ from equipoise.operators.fair_step import (
     fair_line_search,
     fair_moments,
     fair_step,
+    finish_step,
     line_search,
 )
 from equipoise.operators.kmeans import fair_kmeans, initial_centers, standard_kmeans
@@ -204,3 +205,25 @@ def test_bad_parameters(points_of):
     ):
         with pytest.raises(ValueError):
             call()
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e8])
+def test_fixed_costs_far_from_the_start(spark, offset):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2)) + offset
+    grp = ["A" if i % 3 else "B" for i in range(400)]
+    points = spark.createDataFrame([(x[i].tolist(), grp[i]) for i in range(400)], "coords array<double>, grp string")
+    start = np.array([[0.0, 0.0], [0.5 * offset + 1, 0.5 * offset + 1]])
+    near = ((x[:, None] - start[None]) ** 2).sum(-1).argmin(1)
+    want = []
+    for label in "AB":
+        cost, count = 0.0, 0
+        for cluster in range(2):
+            own = x[(near == cluster) & (np.array(grp) == label)]
+            cost += ((own - own.mean(0)) ** 2).sum() if len(own) else 0.0
+            count += len(own)
+        want.append(cost / count)
+    np.testing.assert_allclose(tuple(fair_fixed_costs(points, start).first()), want, rtol=1e-6)
+    with packed(points) as blocks:
+        step = finish_step(MomentTable.of(blocks, start), start, blocks)
+    np.testing.assert_allclose((step.fixed_a, step.fixed_b), want, rtol=1e-6)

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from equipoise.functions import geometry
 from equipoise.operators.series import series_points, series_summary
-from equipoise.session import shared_dir, spread
+from equipoise.session import shared_dir
 from equipoise.sources import mixture
 from equipoise.sources.mixture import mixture_counts, mixture_points
 from equipoise.sources.sinks import clustered_point_lines, write_clustered_points
@@ -106,10 +107,18 @@ def test_shared_dir_follows_the_session(spark):
     assert re.search(r"/work-[0-9a-f]{32}$", shared_dir(spark, "work"))
 
 
-def test_spread_leaves_wide_scans_alone(spark, monkeypatch):
-    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 16)
-    wide = spark.range(100, numPartitions=9)
-    assert spread(wide) is wide
-    narrow = spread(spark.range(100, numPartitions=8))
-    assert narrow.rdd.getNumPartitions() == 16
-    assert narrow.agg(F.sum("id")).first()[0] == 4950
+def test_number_of_splits_is_a_lower_bound(spark, tmp_path):
+    spark.range(60).selectExpr("cast(id as string) value").repartition(12).write.text(str(tmp_path / "lines"))
+    free = read_lines(spark, str(tmp_path / "lines")).rdd.getNumPartitions()
+    assert read_lines(spark, str(tmp_path / "lines"), 1).rdd.getNumPartitions() == free
+    assert read_lines(spark, str(tmp_path / "lines"), free + 5).rdd.getNumPartitions() == free + 5
+
+
+@pytest.mark.parametrize("rows, width", [(2, 30), (30, 2)])
+def test_large_centres_are_not_pulled(spark, monkeypatch, rows, width):
+    centers = spark.createDataFrame([(i, [float(i)] * width) for i in range(rows)], "center_id int, coords array<double>")
+    assert geometry.center_matrix(centers).shape == (rows, width)
+    monkeypatch.setattr(geometry, "MAX_CENTER_VALUES", 59)
+    monkeypatch.setattr(type(centers), "toPandas", lambda self: pytest.fail("pulled"))
+    with pytest.raises(ValueError, match="60 values"):
+        geometry.center_matrix(centers)
