@@ -124,8 +124,7 @@ def _parse_tolerant(spark: SparkSession, sf: str) -> DataFrame:
     lines = _point_lines(spark, sf, cluster)
     broken = F.when(F.col("point_id") % 11 == 0, F.concat(F.lit("x"), F.col("value"))).otherwise(F.col("value"))
     parsed = parse_clustered_points(lines.withColumn("value", broken))
-    status = F.coalesce("reason", F.lit("good")).alias("status")
-    return parsed.groupBy(status).agg(F.count("*").alias("n"))
+    return parsed.select("point_id", _round("x", F.col("x")), _round("y", F.col("y")), "grp", "cluster", "reason")
 
 
 def _group_counts(spark: SparkSession, sf: str) -> DataFrame:

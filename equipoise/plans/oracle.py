@@ -211,9 +211,11 @@ ORACLE: dict[str, str] = {
         round(avg(length(word)), 6) AS avg_len FROM ({_word_counts()})""",
     "points_parse_strict": f"WITH {_points()} SELECT point_id, round(x, 6) AS x, round(y, 6) AS y, grp FROM points",
     "points_parse_cluster_id": f"WITH {_points()} SELECT point_id, round(x, 6) AS x, round(y, 6) AS y, grp FROM points",
-    "points_parse_tolerant": """SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'x is not a finite number'
-        WHEN o_orderkey % 4 IN (0, 1) THEN 'good' ELSE 'cluster is not an integer' END AS status,
-        count(*) AS n FROM orders GROUP BY status""",
+    "points_parse_tolerant": f"""WITH {_points()} SELECT point_id,
+        CASE WHEN point_id % 11 <> 0 THEN round(x, 6) END AS x, round(y, 6) AS y, grp,
+        CASE point_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 12 END AS cluster,
+        CASE WHEN point_id % 11 = 0 THEN 'x is not a finite number'
+        WHEN point_id % 4 > 1 THEN 'cluster is not an integer' END AS reason FROM points""",
     "group_counts": f"""WITH {_points(foreign=True)} SELECT count(*) AS n,
         count(*) FILTER (WHERE grp = 'A') AS na, count(*) FILTER (WHERE grp = 'B') AS nb FROM points""",
     "nearest_center": _given("SELECT point_id, cluster, round(dist, 6) AS dist FROM near"),
