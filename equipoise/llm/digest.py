@@ -12,7 +12,9 @@ in the map tasks). Texts are dealt by ranges of ``doc_id`` once, for the neighbo
 stays in its task, in batches of bounded size.
 
 Cases: a null text counts as empty. A text of up to 32 windows uses all of them, one shorter than a
-window is padded to one window, an empty text has an empty digest, which is like nothing but itself.
+window is padded to one window; a text of which no window has enough points (few runs, or one level
+throughout) uses each of its different windows once. So only an empty text has an empty digest, which
+is like nothing but itself.
 Rows of equal id are ordered by their texts' hashes. The next of the last document is the first; of
 a single one, itself. An empty table gives an empty result.
 """
@@ -106,16 +108,34 @@ def digests(texts: list[bytes], rank: np.ndarray) -> list[list[int]]:
         runs = np.arange(len(best))
         fits = runs + SPREAD - 1 - starts[text_of[runs]] < counts[text_of[runs]] if len(levels) >= SPREAD else np.zeros(len(best), bool)
         points = np.bincount(best[fits] & ((1 << 40) - 1), minlength=len(levels))
-        chosen = np.flatnonzero(inside & ((points >= POINTS) | (counts[text_of] <= SPREAD)))
+        scored = inside & (points >= POINTS)
+        short = counts <= SPREAD
+        plain = ~short & (np.bincount(text_of[scored], minlength=len(own)) == 0)
+        chosen = np.flatnonzero(scored | (inside & (short | plain)[text_of]))
         weights = mix(np.arange(1, WINDOW + 1, dtype=np.uint64))
+        hashed = np.empty(len(chosen), np.uint64)
         for at in range(0, len(chosen), 50_000):
             part = chosen[at : at + 50_000]
-            hashed = mix((raw[part[:, None] + np.arange(WINDOW)].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64))
-            bits = np.stack([(hashed >> np.uint64(11 * k)) & np.uint64(FILTER_BITS - 1) for k in range(HASHES)], axis=1).astype(np.int64)
+            hashed[at : at + 50_000] = mix((raw[part[:, None] + np.arange(WINDOW)].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64))
+        keep = _first_of_each(hashed, text_of[chosen], plain)
+        chosen, hashed = chosen[keep], hashed[keep]
+        for at in range(0, len(chosen), 50_000):
+            part, some = chosen[at : at + 50_000], hashed[at : at + 50_000]
+            bits = np.stack([(some >> np.uint64(11 * k)) & np.uint64(FILTER_BITS - 1) for k in range(HASHES)], axis=1).astype(np.int64)
             _insert(out, own, text_of[part], bits)
     return [[int.from_bytes(np.packbits(f).tobytes(), "big") for f, _ in chain] for chain in out]
 
 
+def _first_of_each(hashed: np.ndarray, texts: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Which windows stay: of a plain text the first of each content, of others all."""
+    keep = ~plain[texts]
+    some = np.flatnonzero(~keep)
+    order = some[np.lexsort((some, hashed[some], texts[some]))]
+    if len(order):
+        keep[order] = np.concatenate(([True], (hashed[order[1:]] != hashed[order[:-1]]) | (texts[order[1:]] != texts[order[:-1]])))
+    return keep
+
+
 def _insert(out: list, own: list[int], rows: np.ndarray, bits: np.ndarray) -> None:
     edges = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1], [True]))) if len(rows) else np.zeros(1, np.int64)
     for a, b in zip(edges[:-1], edges[1:]):

@@ -265,6 +265,20 @@ def test_digests(spark, sample):
     assert one.near_next == pytest.approx(1.0)
 
 
+def test_every_text_has_features():
+    rng = random.Random(7)
+    rank = np.array(rng.sample(range(digest.LEVELS), digest.LEVELS))
+    texts = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz   ", k=n)) for n in range(1, 201) for _ in range(2)]
+    prints = digest.digests([b"", *texts], rank)
+    assert prints[0] == [] and all(prints[1:])
+    assert prints[1:] == [digest.digests([t], rank)[0] for t in texts]
+    assert all(digest.likeness(a, b) < 0.5 for a, b, s, t in zip(prints[1:], prints[2:], texts, texts[1:]) if s != t)
+    assert digest.likeness(prints[0], prints[131]) == 0
+    # One level throughout: windows in order of their runs, none with enough points.
+    flat, other = digest.digests([b"x" * 5000, b"yz" * 2500], rank)
+    assert len(flat) == len(other) == 1 and digest.likeness(flat, other) < 0.5
+
+
 def test_ordinal_regression_recovers_grades():
     rng = np.random.default_rng(3)
     truth = rng.normal(size=20)
