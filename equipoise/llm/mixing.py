@@ -4,12 +4,15 @@ A document may belong to several sources. Documents are counted by membership pa
 their sources), so the flow network has a node per pattern and per source, not per document. A
 pattern offers its words once at cost 1, a second time at cost 2, and so on: costs are convex, so
 repeats are used only where fresh words cannot meet a quota. Each pattern's flow is then turned into
-whole documents: all of them as often as the flow allows, and the rest by a prefix in seeded order,
-closed by the largest documents that still fit the gap.
+whole documents: all of them as often as the flow allows, and the rest in seeded order. A document
+that exceeds what is left is taken at once if it is larger than all before it, else it is passed by;
+this goes on until no document fits, so the words left are fewer than any document not taken has.
 
-Only sums per pattern reach the driver, at most ``MAX_PATTERNS`` of them (more raise an error). The
+Only sums per pattern reach the driver, at most ``MAX_PATTERNS`` of them (more raise an error). A
 prefix is found by a histogram of 65,536 hash ranges per pattern, counted before the shuffle, then
-inside the one range where it ends: no pattern is sorted as a whole, however hot it is.
+inside the one range where it ends: no pattern is sorted as a whole, however hot it is. Each search
+halves what is left or passes by a group of repeated rows that is too large together, so their number
+is at most the logarithm of the words and the count of such groups.
 
 Cases: a null text has no words, a null source is a source of its own and sorts last. Rows that
 repeat id and text share one fate. An empty table gives an empty result, a source without words the
@@ -31,7 +34,6 @@ WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
 MAX_COPIES = 2
 MAX_PATTERNS = 100_000
-CLOSING_ROUNDS = 4
 BIN_SHIFT = 47  # 63 hash bits: 2^16 ranges
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,55 +135,76 @@ def _pattern_key(pattern: Column) -> Column:
     return F.to_json(F.struct(pattern.alias("p")), {"ignoreNullFields": "false"})
 
 
-def _prefixes(items: DataFrame, rests: DataFrame) -> DataFrame:
-    """The longest prefix in seeded order of at most ``rest`` words: ``(key, last, used)``."""
-    ranges = items.groupBy("key", F.shiftright("spot", BIN_SHIFT).alias("bin")).agg(F.sum("size").alias("words"))
+def _fitting(items: DataFrame, left: DataFrame) -> DataFrame:
+    """Documents behind ``after`` that are not taken and not larger than ``rest``."""
+    rows = items.join(F.broadcast(left), "key")
+    return rows.where((F.col("spot") > F.col("after")) & (F.col("size") > 0) & (F.col("size") <= F.col("rest")) & ~F.array_contains("extra", F.col("spot")))
+
+
+def _ranges(items: DataFrame, left: DataFrame) -> DataFrame:
+    """``(key, words, cut)``: words of all that fit, and the hash range where they exceed ``rest``."""
+    ranges = _fitting(items, left).groupBy("key", F.shiftright("spot", BIN_SHIFT).alias("bin")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("key").orderBy("bin")
     # At most 65,536 rows per pattern.
-    ranges = ranges.withColumn("before", F.sum("words").over(upto) - F.col("words")).join(F.broadcast(rests), "key")
-    cut = ranges.where("before <= rest and before + words > rest").select("key", "bin", "before", "rest")
-    inside = items.withColumn("bin", F.shiftright("spot", BIN_SHIFT)).join(F.broadcast(cut), ["key", "bin"])
-    inside = inside.groupBy("key", "bin", "before", "rest", "spot").agg(F.sum("size").alias("words"))
-    steps = Window.partitionBy("key").orderBy("spot")
-    inside = inside.withColumn("end", F.col("before") + F.sum("words").over(steps))
-    best = inside.where("end <= rest").groupBy("key").agg(F.max("spot").alias("last"), F.max("end").alias("used"))
-    start = F.shiftleft(F.col("bin"), BIN_SHIFT) - 1
-    return cut.join(best, "key", "left").select("key", F.coalesce("last", start).alias("last"), F.coalesce("used", "before").alias("used"))
+    ranges = ranges.withColumn("before", F.sum("words").over(upto) - F.col("words"))
+    over = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
+    return ranges.groupBy("key").agg(F.sum("words").alias("words"), F.max(F.when(over, F.struct("bin", "before"))).alias("cut"))
+
+
+def _ends(items: DataFrame, left: DataFrame) -> DataFrame:
+    """``(key, last, used, next)``: the prefix's end in its range, its words, and what follows it."""
+    inside = _fitting(items, left).where(F.shiftright("spot", BIN_SHIFT) == F.col("bin"))
+    inside = inside.groupBy("key", "before", "rest", "spot").agg(F.sum("size").alias("words"))
+    inside = inside.withColumn("end", F.col("before") + F.sum("words").over(Window.partitionBy("key").orderBy("spot")))
+    fits = F.col("end") <= F.col("rest")
+    return inside.groupBy("key").agg(
+        F.max(F.when(fits, F.col("spot"))).alias("last"), F.max(F.when(fits, F.col("end"))).alias("used"), F.min(F.when(~fits, F.struct("spot", "words"))).alias("next")
+    )
 
 
 def choose(items: DataFrame, flow: Mapping[str, tuple[int, int]]) -> DataFrame:
-    """How often each document of a pattern is taken: ``(key, copies, last, extra)``.
+    """How often each document of a pattern is taken: ``(key, copies, spans, extra)``.
 
     ``flow`` maps a pattern to its words and to the words the mix takes from it. A document is taken
-    ``copies`` times, and once more if its spot is at most ``last`` or among ``extra``.
+    ``copies`` times, and once more if its spot is among ``extra`` or in one of ``spans``: behind
+    ``after``, up to ``last``, for documents of at most ``most`` words.
     """
     spark = items.sparkSession
-    plan = {k: [taken // words if words else 0, -1, []] for k, (words, taken) in flow.items()}
+    plan = {k: (taken // words if words else 0, [], []) for k, (words, taken) in flow.items()}
     gaps = {k: taken - words * (taken // words) for k, (words, taken) in flow.items() if words}
-    gaps = {k: rest for k, rest in gaps.items() if rest}
-    schema = "key string, copies bigint, last bigint, extra array<bigint>"
-    if gaps:
-        rests = spark.createDataFrame(list(gaps.items()), "key string, rest bigint")
-        for key, last, used in _prefixes(items, rests).collect():
-            plan[key][1] = last
-            gaps[key] -= used
-    for _ in range(CLOSING_ROUNDS):
-        gaps = {k: rest for k, rest in gaps.items() if rest}
-        if not gaps:
-            break
-        left = spark.createDataFrame([(k, rest, plan[k][1], plan[k][2]) for k, rest in gaps.items()], "key string, rest bigint, last bigint, extra array<bigint>")
-        free = items.join(F.broadcast(left), "key").where((F.col("spot") > F.col("last")) & ~F.array_contains("extra", F.col("spot")) & (F.col("size") > 0) & (F.col("size") <= F.col("rest")))
-        found = free.groupBy("key").agg(F.max(F.struct("size", "spot")).alias("best")).select("key", "best.*").collect()
-        for key, size, spot in found:
-            plan[key][2].append(spot)
-            gaps[key] -= size
-        gaps = {key: gaps[key] for key, _, _ in found}
-    return spark.createDataFrame([(k, c, last, extra) for k, (c, last, extra) in plan.items()], schema)
+    after = dict.fromkeys(gaps, -1)
+    state = "key string, rest bigint, after bigint, extra array<bigint>"
+    while gaps := {k: rest for k, rest in gaps.items() if rest}:
+        left = [(k, rest, after[k], plan[k][2]) for k, rest in gaps.items()]
+        found = {k: (words, cut) for k, words, cut in _ranges(items, spark.createDataFrame(left, state)).collect()}
+        cuts = [(*row, *found[row[0]][1]) for row in left if row[0] in found and found[row[0]][1]]
+        ends = {}
+        if cuts:
+            ends = {row[0]: row[1:] for row in _ends(items, spark.createDataFrame(cuts, state + ", bin bigint, before bigint")).collect()}
+        for k, rest, start, extra in left:
+            words, cut = found.get(k, (0, None))
+            if not cut:  # all that fit, or none
+                plan[k][1].append((start, (1 << 63) - 1, rest))
+                gaps[k] = 0
+                continue
+            last, used, (spot, more) = ends[k]
+            last = max(start, (cut.bin << BIN_SHIFT) - 1) if last is None else last
+            used = cut.before if used is None else used
+            if used < more <= rest:
+                extra.append(spot)
+                gaps[k] -= more
+            else:
+                plan[k][1].append((start, last, rest))
+                gaps[k] -= used
+                after[k] = spot
+    schema = "key string, copies bigint, spans array<struct<after:bigint,last:bigint,most:bigint>>, extra array<bigint>"
+    return spark.createDataFrame([(k, *row) for k, row in plan.items()], schema)
 
 
 def copies_of() -> Column:
-    """Times a document is taken, given the columns of ``choose``."""
-    more = (F.col("spot") <= F.col("last")) | F.array_contains("extra", F.col("spot"))
+    """Times a document is taken, given its size and spot and the columns of ``choose``."""
+    spot, size = F.col("spot"), F.col("size")
+    more = F.exists("spans", lambda s: (spot > s["after"]) & (spot <= s["last"]) & (size <= s["most"])) | F.array_contains("extra", spot)
     return F.col("copies") + F.when(more, 1).otherwise(0)
 
 
@@ -219,6 +242,6 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     text = text_or_empty()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     spot = F.xxhash64(F.lit(seed), F.col("doc_id"), text).bitwiseAND(F.lit((1 << 63) - 1))
-    rows = docs.select(row.alias("row"), _pattern_key(F.array_sort(F.array_distinct(F.array("source")))).alias("key"), spot.alias("spot"))
+    rows = docs.select(row.alias("row"), _pattern_key(F.array_sort(F.array_distinct(F.array("source")))).alias("key"), word_count(text).alias("size"), spot.alias("spot"))
     rows = rows.join(F.broadcast(choice), "key").select("row", copies_of().cast("int").alias("times")).where("times > 0")
     return rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

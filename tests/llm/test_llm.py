@@ -149,6 +149,25 @@ def test_mix(spark, sample):
     assert all(copies[r.doc_id] * r.size == r.taken for r in got if r.size)
 
 
+def test_no_document_that_fits_is_left(spark):
+    rng = random.Random(3)
+    sizes = {"long": [50] * 100 + [10_000], "mixed": [rng.choice([3, 40, 300, 9_000]) for _ in range(300)], "steps": list(range(1, 200)), "none": [500, 600]}
+    rests = {"long": 7_500, "mixed": 20_011, "steps": 10_007, "none": 499}
+    rows = [(k, n, rng.getrandbits(63)) for k, own in sizes.items() for n in own]
+    # The long document comes behind 200 words, where it exceeds the rest.
+    spots = sorted(s for k, n, s in rows if k == "long")
+    rows = [r for r in rows if r[0] != "long"] + [("long", 10_000 if i == 4 else 50, s) for i, s in enumerate(spots)]
+    rows += [("again", 60, 7)] * 3 + [("again", 50, 9), ("again", 45, 11)]
+    sizes["again"], rests["again"] = [60] * 3 + [50, 45], 100
+    items = spark.createDataFrame(rows, "key string, size bigint, spot bigint")
+    choice = mixing.choose(items, {k: (sum(own), sum(own) + rests[k]) for k, own in sizes.items()})
+    got = items.join(choice, "key").select("key", "size", mixing.copies_of().alias("n")).collect()
+    for k, rest in rests.items():
+        gap = rest - sum(r.size * (r.n - 1) for r in got if r.key == k)
+        out = [r.size for r in got if r.key == k and r.n == 1]
+        assert 0 <= gap and all(n > gap for n in out), (k, gap)
+
+
 def test_flow_of_overlapping_sources():
     # "ab" can serve both; fresh words are used before any repeat.
     flow = mixing.route({("a",): 10, ("b",): 10, ("a", "b"): 10}, {"a": 20, "b": 10}, 2)
