@@ -38,13 +38,14 @@ PRESENTATION_WEIGHT = 0.3
 
 # HTML's void, raw-text and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math select button object".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
 # Elements and names of what is no main text.
+MUTE = frozenset("noscript template svg select button object annotation annotation-xml".split())  # inline, without text of the page
 BOILERPLATE = frozenset("nav footer aside form menu dialog head search fieldset".split())
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot sponsor sponsored sponsors promo promos promotion banner banners cookie cookies "
@@ -90,6 +91,8 @@ def _describe(tag: str, token: str, inside_region: bool) -> tuple[str, bool, int
 def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
     """Blocks of a page in order, and ``(path, children)`` of every element."""
     stack: list[list] = []  # tag, path, noise, region, children
+    mute = None  # depth of the outermost open element of MUTE
+    last_end = {}  # of elements of MUTE: where the last end tag is
     blocks: list[Block] = []
     elements: list[list] = []
     text: list[str] = []
@@ -99,7 +102,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
             words = " ".join("".join(text).split())
             text.clear()
             if words:
-                top = stack[-1] if stack else ["", (), False, 0, []]
+                inside = stack[:mute]
+                top = inside[-1] if inside else ["", (), False, 0, []]
                 blocks.append(Block(words, top[1], top[2], top[3]))
 
     at = 0
@@ -107,23 +111,30 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
         token = _TOKEN.match(page, at)[0]
         at += len(token)
         if token[0] != "<" or token == "<":
-            text.append(html.unescape(token))
+            if mute is None:
+                text.append(html.unescape(token))
             continue
         name = _NAME.match(token)
         if not name:
             continue
         tag = name[1].lower()
         if token[1] == "/":
-            if tag in BLOCK:
+            if tag in BLOCK and mute is None:
                 flush()
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
+                    if mute is not None and depth <= mute:
+                        if tag in BLOCK:
+                            flush()
+                        mute = None
                     del stack[depth:]
                     break
-                if stack[depth][0] in BLOCK and tag not in BLOCK:
+                if stack[depth][0] in BLOCK and tag not in BLOCK and tag not in MUTE:
                     break
             continue
         if tag in VOID:
+            if mute is not None:
+                continue
             if tag == "hr":
                 flush()
             elif tag == "br":
@@ -135,6 +146,18 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
                 at = end.end() if end else len(page)
             text.append(" ")
             continue
+        if tag in MUTE:
+            if tag not in last_end:
+                last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+            text.append(" ")
+            # Without an end it would hold all that follows; then it holds nothing.
+            if token.endswith("/>") or last_end[tag] < at:
+                continue
+            mute = len(stack) if mute is None else mute
+        if mute is not None:
+            if not token.endswith("/>"):
+                stack.append([tag, stack[-1][1] if stack else (), True, 0, []])
+            continue
         if tag in BLOCK:
             flush()
             if tag in CLOSES_P:

@@ -267,6 +267,20 @@ def test_main_text(spark):
     assert all(got[10 + i].text == f"Story number {i} is here" for i in range(6))
 
 
+def test_embedded_elements_end_with_their_parents():
+    def text(body):
+        return site_style.main_text(f"<article>{body}</article>", frozenset()).split("\n")
+
+    for tag in ("button", "object", "math", "template", "svg", "select", "noscript"):
+        assert text(f"<p>one <{tag}> two</p><p>three</p>") == ["one two", "three"]
+        hidden = "x" if tag == "math" else ""
+        assert text(f"<p>one <{tag}>x</{tag}> two</p>") == [f"one {hidden} two".replace("  ", " ")]
+        if tag != "math":
+            assert text(f"<p>one <{tag}>x<{tag}>y</{tag}>z<div>w</{tag}> two</p><p>three</p>") == ["one two", "three"]
+            assert text(f"<p>one <{tag}>x</p><p>two</p><p>three <{tag}>y</{tag}></p>") == ["one", "two", "three"]
+    assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then</p>") == ["if x=1 then"]
+
+
 def test_digests(spark, sample):
     rows = [r for r in sample if r[0] not in (None, 5)]
     got = {r.doc_id: r for r in digest.digest_documents(docs_of(spark, rows)).collect()}
