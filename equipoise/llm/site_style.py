@@ -8,8 +8,10 @@ content of its most telling leaf, is low on a host with enough pages is removed
 so nothing goes that has anything of its own below it.
 
 Beside that a page is read for what it says itself: elements and names that mean menus, headers,
-footers, sidebars, notices, adverts, forms or comments go, and if it names its article or main part,
-only that is read. Paragraphs of a named article are never removed for repeating on a host.
+footers, sidebars, notices, adverts, forms or comments go. A name other than of comments needs the
+support of the text below it: a branch of ``LONG_BRANCH`` words or more, of which few are links, stays.
+If articles, or else main parts, hold most of the page's words that are not noise, only they are
+read. Paragraphs of a part that is read alone are never removed for repeating on a host.
 
 Counts are combined before the shuffle, so a host that holds a third of all pages costs a row per
 path and map task. A host's removed paths occur on at least half of its pages, so they number at most
@@ -35,6 +37,9 @@ LEAST_PAGES = 4
 SHARE_OF_PAGES = 0.5
 LEAST_IMPORTANCE = 0.3
 PRESENTATION_WEIGHT = 0.3
+LONG_BRANCH = 40
+LINK_SHARE = 0.3
+ARTICLE, MAIN = 2, 1
 
 # HTML's void, raw-text and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,8 +59,10 @@ NOISE_NAMES = frozenset(
     "recommendations share sharing social newsletter subscribe subscription signup login register popup modal overlay lightbox widget widgets "
     "pagination pager skip copyright legal disclaimer search searchbox form teaser outbrain taboola".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt b i em strong a span".split())
+SPARED = PROSE | {"article", "main", "body", "html"}  # within an article or main part
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|<[/]?[a-zA-Z][^>]*(?:>|$)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -64,33 +71,40 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Block:
-    """A run of text between block borders: its words, path, and what its ancestors say of it."""
+    """A run of text between block borders: its words, path, and what its ancestors say of it.
+    ``named`` counts the words and the linked words of each branch around it that is noise by name."""
 
-    __slots__ = ("text", "path", "noise", "region")
+    __slots__ = ("text", "path", "noise", "region", "named")
 
-    def __init__(self, text: str, path: tuple[str, ...], noise: bool, region: int):
-        self.text, self.path, self.noise, self.region = text, path, noise, region
+    def __init__(self, text: str, path: tuple[str, ...], noise: bool, region: int, named: tuple[list[int], ...]):
+        self.text, self.path, self.noise, self.region, self.named = text, path, noise, region, named
 
+    def dropped(self) -> bool:
+        """Noise, or below a name that the branch's text does not contradict."""
+        return self.noise or any(words < LONG_BRANCH or linked > LINK_SHARE * words for words, linked in self.named)
 
-def _describe(tag: str, token: str, inside_region: bool) -> tuple[str, bool, int]:
-    """Label of an element in the tree, whether it is noise by itself, and the region it opens: 2 for
-    an article, 1 for a main part."""
+
+def _describe(tag: str, token: str, inside_region: bool) -> tuple[str, bool, bool, int]:
+    """Label of an element in the tree, whether it is noise by itself and whether by its name alone,
+    and the region it opens: ``ARTICLE`` or ``MAIN``."""
     attributes = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(token)}
     names = set(_WORDS.findall(attributes.get("class", ""))) | set(_WORDS.findall(attributes.get("id", "")))
     role = attributes.get("role", "")
     noise = tag in BOILERPLATE or role in NOISE_ROLES or "hidden" in attributes
+    named = False
     if tag not in ("html", "body", "article", "main"):
-        noise = noise or bool(names & NOISE_NAMES)
+        noise = noise or bool(names & COMMENT_NAMES)
+        named = bool(names & NOISE_NAMES)
     if tag == "header" or "header" in names and tag != "body":
         noise = noise or not inside_region
-    region = 2 if tag == "article" or attributes.get("itemprop") == "articlebody" else 1 if tag == "main" or role == "main" else 0
+    region = ARTICLE if tag == "article" or attributes.get("itemprop") == "articlebody" else MAIN if tag == "main" or role == "main" else 0
     label = tag + "".join("." + n for n in sorted(names)[:4])
-    return label, noise, region
+    return label, noise, named and not noise, region
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
     """Blocks of a page in order, and ``(path, children)`` of every element."""
-    stack: list[list] = []  # tag, path, noise, region, children
+    stack: list[list] = []  # tag, path, noise, region, children, named
     mute = None  # depth of the outermost open element of MUTE
     last_end = {}  # of elements of MUTE: where the last end tag is
     blocks: list[Block] = []
@@ -103,8 +117,10 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
             text.clear()
             if words:
                 inside = stack[:mute]
-                top = inside[-1] if inside else ["", (), False, 0, []]
-                blocks.append(Block(words, top[1], top[2], top[3]))
+                top = inside[-1] if inside else ["", (), False, 0, [], ()]
+                for counts in top[5]:
+                    counts[0] += words.count(" ") + 1
+                blocks.append(Block(words, top[1], top[2], top[3], top[5]))
 
     at = 0
     while at < len(page):
@@ -112,7 +128,11 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
         at += len(token)
         if token[0] != "<" or token == "<":
             if mute is None:
-                text.append(html.unescape(token))
+                token = html.unescape(token)
+                text.append(token)
+                if stack and stack[-1][5] and any(e[0] == "a" for e in stack):
+                    for counts in stack[-1][5]:
+                        counts[1] += len(token.split())
             continue
         name = _NAME.match(token)
         if not name:
@@ -156,7 +176,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
             mute = len(stack) if mute is None else mute
         if mute is not None:
             if not token.endswith("/>"):
-                stack.append([tag, stack[-1][1] if stack else (), True, 0, []])
+                stack.append([tag, stack[-1][1] if stack else (), True, 0, [], ()])
             continue
         if tag in BLOCK:
             flush()
@@ -165,11 +185,11 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
             if tag in ("li", "dd", "dt", "tr", "td", "th"):
                 _close(stack, {"li"} if tag == "li" else {"dd", "dt"} if tag in ("dd", "dt") else {"td", "th"} if tag != "tr" else {"tr"}, {"ul", "ol", "dl", "table"})
         parent = stack[-1] if stack else None
-        label, noise, region = _describe(tag, token, bool(parent and parent[3]))
+        label, noise, named, region = _describe(tag, token, bool(parent and parent[3]))
         path = (parent[1] if parent else ()) + (label,)
         if parent:
             parent[4].append(label)
-        item = [tag, path, noise or bool(parent and parent[2]), max(region, parent[3] if parent else 0), []]
+        item = [tag, path, noise or bool(parent and parent[2]), region | (parent[3] if parent else 0), [], (parent[5] if parent else ()) + (([0, 0],) if named else ())]
         elements.append(item)
         stack.append(item)
     flush()
@@ -185,21 +205,23 @@ def _close(stack: list[list], tags: set[str], stop: set[str]) -> None:
             return
 
 
+def _template(path: tuple[str, ...], removed: frozenset[str], spare: frozenset[str] = frozenset()) -> bool:
+    """Whether a removed branch holds the path; branches of ``spare`` elements do not count."""
+    return any(">".join(path[:depth]) in removed and path[depth - 1].split(".")[0] not in spare for depth in range(1, len(path) + 1))
+
+
 def main_text(page: str, removed: frozenset[str]) -> str:
     """The page's article, one line per block. ``removed`` holds the paths of the host's template."""
     blocks, _ = parse(page)
-    blocks = [b for b in blocks if not b.noise]
-    region = max((b.region for b in blocks), default=0)
+    blocks = [b for b in blocks if not b.dropped()]
+    sizes = [(b.region, 0 if _template(b.path, removed, SPARED if b.region else frozenset()) else len(b.text.split())) for b in blocks]
+    half = sum(n for _, n in sizes) / 2
+    region = next((r for r in (ARTICLE, MAIN) if sum(n for own, n in sizes if own & r) > half), 0)
     kept = []
     for block in blocks:
-        if block.region < region:
+        if region and not block.region & region:
             continue
-        path = block.path
-        for depth in range(1, len(path) + 1):
-            tag = path[depth - 1]
-            if ">".join(path[:depth]) in removed and not (region and tag.split(".")[0] in PROSE | {"article", "main", "body", "html"}):
-                break
-        else:
+        if not _template(block.path, removed, SPARED if region else frozenset()):
             kept.append(block.text)
     return "\n".join(kept)
 

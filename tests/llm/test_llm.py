@@ -281,6 +281,20 @@ def test_embedded_elements_end_with_their_parents():
     assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then</p>") == ["if x=1 then"]
 
 
+def test_region_and_names_are_judged_by_their_text():
+    story = " ".join(f"word{i}" for i in range(60))
+    card = "<article><p>A short card</p></article>"
+    read = lambda page: site_style.main_text(page, frozenset())
+    assert read(f"<main><p>{story}</p></main>{card}") == story
+    assert read(f"<div><p>{story}</p></div>{card}") == f"{story}\nA short card"
+    assert read(f"<p>card</p><main><article><p>{story}</p></article></main>") == story
+    for name in ("id='discussion'", "class='legal'", "class='share-price'"):
+        assert read(f"<article><p>Start</p><section {name}><p>{story}</p></section></article>") == f"Start\n{story}"
+        assert read(f"<article><p>Start</p><section {name}><p>few words</p></section></article>") == "Start"
+    links = " ".join(f"<a href=x>word{i} more</a>" for i in range(40))
+    assert read(f"<article><p>Start</p><div class=related>{links}</div><div class=comments>{story}</div></article>") == "Start"
+
+
 def test_digests(spark, sample):
     rows = [r for r in sample if r[0] not in (None, 5)]
     got = {r.doc_id: r for r in digest.digest_documents(docs_of(spark, rows)).collect()}
