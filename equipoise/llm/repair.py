@@ -3,7 +3,7 @@
 Documents are dealt by ranges of ``doc_id``, so blocks follow one another in id order. A block holds
 whole documents. Re-Pair replaces frequent pairs of ids by nonterminals, round by round: each round
 counts all pairs, turns the most frequent ones into rules and replaces their occurrences from left
-to right, until no pair is frequent enough or the 16-bit symbols are used up. Beside the symbols a
+to right, until no pair occurs ``MIN_PAIRS`` times in the block or the 16-bit symbols are used up. Beside the symbols a
 block stores its rules, the expansion length of every symbol, and the documents' lengths, so any
 range of ids can be decoded without the rest of the block.
 
@@ -35,7 +35,6 @@ TERMINALS = 49_408
 END_ID = 1
 BLOCK_IDS = 1 << 20
 PART_ROWS = 16_000
-ROUNDS = 12
 RULES_A_ROUND = 1024
 MIN_PAIRS = 16
 
@@ -46,15 +45,13 @@ BLOCK = (
 STEP = 256  # every so many symbols a checkpoint notes the ids before them
 
 
-def compress(ids: np.ndarray, terminals: int = TERMINALS, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, min_pairs: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, terminals: int = TERMINALS, rules_a_round: int = RULES_A_ROUND, min_pairs: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray]:
     """``(symbols, rules)``: rule k stands for symbol ``terminals + k`` and names two symbols."""
     symbols = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     made = 0
     room = (1 << 16) - terminals
-    for _ in range(rounds):
-        if len(symbols) < 2 or made >= room:
-            break
+    while len(symbols) > 1 and made < room:
         pairs = (symbols[:-1] << np.uint32(16)) | symbols[1:]
         ordered = np.sort(pairs)
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))

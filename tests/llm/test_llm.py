@@ -228,6 +228,13 @@ def test_repair_and_random_access():
                 assert (repair.decode_range(block, a, n) == ids[a : a + n]).all()
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    ids = np.full(1 << 18, 7, np.uint32)  # a rule a round
+    symbols, rules = repair.compress(ids)
+    assert max(Counter(zip(symbols.tolist(), symbols[1:].tolist())).values(), default=0) < repair.MIN_PAIRS
+    assert (repair.expand(symbols, rules) == ids).all()
+
+
 def test_encoders_agree_with_the_tokenizers():
     rng = random.Random(2)
     texts = ["", " ", "a  b", "don't I'LL", "<|endoftext|>x", "a\n b \n c ", "é Å İ ΣΑΣ", "½ ² 12a", "漢字 😀"]
