@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from equipoise.llm import filter_audit as audit_of_filters
+from equipoise.llm import source_audit as audit_of_sources
 from equipoise.llm.common import table
 from equipoise.llm.digest import digest_documents
 from equipoise.llm.exact_dedup import exact_groups
@@ -13,6 +15,7 @@ from equipoise.llm.mixing import mix_digest
 from equipoise.llm.near_dedup import near_groups
 from equipoise.llm.packing import packed_documents
 from equipoise.llm.quality import quality_digest
+from equipoise.llm.quality_rules import rules_digest
 from equipoise.llm.repair import round_trip
 from equipoise.llm.site_style import extract
 from equipoise.llm.toxicity import toxicity_digest
@@ -61,6 +64,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of the learned decision list."""
+    return rules_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of each order of five filters removes, for every source."""
+    return audit_of_filters.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of a language, and the terms each source uses most."""
+    return audit_of_sources.source_audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -72,6 +90,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_ids": op8_token_ids,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_source_audit": op13_source_audit,
 }
 
 ORACLE: dict[str, str] = {
@@ -84,4 +105,6 @@ ORACLE: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op12_filter_audit": audit_of_filters.SQL,
+    "op13_source_audit": audit_of_sources.SQL,
 }
