@@ -308,8 +308,9 @@ def _heavy_hitter_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 def _run_counters(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_dir(spark, "counters")
-    counters = running_counters(views.item_stream(spark, sf), CM, CS)
-    start_counters(counters, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    counters = running_counters(views.item_replay(spark, sf, f"{folder}/items"), CM, CS)
+    # Snapshots are taken on the way, as a long stream takes them.
+    start_counters(counters, f"{folder}/out", f"{folder}/checkpoint", snapshot_every=2).awaitTermination()
     return latest_counters(spark, f"{folder}/out")
 
 
@@ -325,7 +326,7 @@ def _stream_sketches(spark: SparkSession, sf: str) -> DataFrame:
 def _run_prefix(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_dir(spark, "prefix")
     return count_prefix(
-        views.item_stream(spark, sf),
+        views.item_replay(spark, sf, f"{folder}/items"),
         _half(spark, sf),
         CM,
         CS,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equipoise.functions.hashing import HashRow, SketchParams
+from equipoise.sources.replay import replay, stage_in_order
 
 # Fixed values of the catalogue: centres, a second set to compare with, hash parameters.
 CENTERS = ((10.0, 5.0), (25.0, 20.0), (40.0, 40.0), (55.0, 10.0))
@@ -23,6 +24,7 @@ SKETCH_WIDTH = 97
 EVEN_SKETCH_WIDTH = 100
 EVEN_SKETCH_DEPTH = 4
 TOP_K = 10
+REPLAY_FILES = 6
 
 COUNT_MIN_PARAMS = SketchParams(tuple(HashRow(*r) for r in COUNT_MIN_ROWS), SKETCH_WIDTH)
 COUNT_PARAMS = SketchParams(tuple(HashRow(*r) for r in COUNT_ROWS), SKETCH_WIDTH)
@@ -105,3 +107,9 @@ def item_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         else reader.parquet(path)
     )
     return events.select(F.col("event_id").alias("seq"), item_of(F.col("user_id")).alias("item"))
+
+
+def item_replay(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """``items`` as a stream of ``REPLAY_FILES`` micro-batches, each a stretch of the sequence."""
+    stage_in_order(items(spark, sf_dir), "seq", REPLAY_FILES, folder)
+    return replay(spark, folder, "seq bigint, item int")

@@ -3,6 +3,11 @@
 A streaming ``limit`` would send all T items through one task. Here every micro-batch adds a
 small table of aggregated updates; only the batch that crosses T is cut, and the sketches of
 the parts add up to the sketch of the prefix.
+
+A batch is read once: what it adds and how many items it held come out of one job, the number as
+an observed metric. A line per batch, written behind its updates, makes them count, so updates of a
+batch that turned out to cross T are replaced before anyone reads them. When T is no farther away
+than the largest batch so far, the batch is kept and counted first instead.
 """
 
 from __future__ import annotations
@@ -10,20 +15,18 @@ from __future__ import annotations
 import threading
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from equipoise.functions.hashing import SketchParams
 from equipoise.operators.frequencies import item_frequencies
 from equipoise.operators.prefix import arrival_prefix, ordered_prefix
 from equipoise.operators.sketches import COUNT, COUNT_MIN, EXACT, count_min_sketch, count_sketch
+from equipoise.session import read_if_there
 
 # Fixed value: the default length of a micro-batch.
 DEFAULT_TRIGGER = {"processingTime": "100 milliseconds"}
 
-_PROCESSED = "processed"
-
 
 def count_prefix(
     items: DataFrame,
@@ -47,24 +50,35 @@ def count_prefix(
     progress: dict[str, int] = {}
     reached = threading.Event()
 
+    def cut(batch: DataFrame, left: int) -> DataFrame:
+        return ordered_prefix(batch, left, order_by) if order_by else arrival_prefix(batch, left)
+
+    def add(batch: DataFrame, batch_id: int, left: int) -> int:
+        path = f"{out}/updates/batch_id={batch_id}"
+        if progress["largest"] < left:
+            n = _write_updates(batch, count_min, count, path)
+            if n <= left:
+                return n
+        # The batch that crosses T, or one that may: counted and cut from one kept copy.
+        batch = batch.persist()
+        try:
+            n = batch.count()
+            if n:
+                _write_updates(cut(batch, left) if n > left else batch, count_min, count, path)
+            return min(n, left)
+        finally:
+            batch.unpersist()
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if "done" not in progress or progress["next_batch"] != batch_id:
-            progress["done"] = _processed_before(spark, out, batch_id)
-        done = progress["done"]
-        if done < t:
-            # Counted, cut and aggregated: three uses of one read.
-            batch = batch.persist()
-            try:
-                n = batch.count()
-                taken = batch
-                if n > t - done:
-                    taken = ordered_prefix(batch, t - done, order_by) if order_by else arrival_prefix(batch, t - done)
-                    n = t - done
-                if n:
-                    _write_batch(taken, n, count_min, count, f"{out}/batch_id={batch_id}")
-            finally:
-                batch.unpersist()
-            progress["done"] = done + n
+        if progress.get("next_batch") != batch_id:
+            progress["done"], progress["largest"] = _processed_before(spark, out, batch_id)
+        if progress["done"] < t:
+            n = add(batch, batch_id, t - progress["done"])
+            if n:
+                line = spark.range(1, numPartitions=1).select(F.lit(n).cast("bigint").alias("n"))
+                line.write.mode("overwrite").parquet(f"{out}/done/batch_id={batch_id}")
+            progress["done"] += n
+            progress["largest"] = max(progress["largest"], n)
         progress["next_batch"] = batch_id + 1
         if progress["done"] >= t:
             reached.set()
@@ -85,48 +99,50 @@ def count_prefix(
     return prefix_counters(spark, out)
 
 
-def _write_batch(
-    items: DataFrame, n: int, count_min: SketchParams, count: SketchParams, path: str
-) -> None:
+def batch_updates(items: DataFrame, count_min: SketchParams, count: SketchParams) -> DataFrame:
+    """``(kind, d, key, delta)`` of a batch. Sketches are built from its frequency table, whose
+    shuffle the three parts share, so the items are read once."""
+
     def part(kind: str, table: DataFrame, d: Column | str, key: str, delta: str) -> DataFrame:
         return table.select(F.lit(kind).alias("kind"), d, F.col(key).alias("key"), F.col(delta).alias("delta"))
 
-    zero = F.lit(0).alias("d")
-    total = items.sparkSession.range(1).select(F.lit(0).alias("key"), F.lit(n).cast("bigint").alias("n"))
+    freq = item_frequencies(items)
     # Counted apart: the few sketch cells stay in a small hash table beside the many items.
-    updates = (
-        part(EXACT, item_frequencies(items), zero, "item", "freq")
-        .unionByName(part(COUNT_MIN, count_min_sketch(items, count_min), "d", "col", "counter"))
-        .unionByName(part(COUNT, count_sketch(items, count), "d", "col", "counter"))
-        .unionByName(part(_PROCESSED, total, zero, "key", "n"))
+    return (
+        part(EXACT, freq, F.lit(0).alias("d"), "item", "freq")
+        .unionByName(part(COUNT_MIN, count_min_sketch(freq, count_min, weight="freq"), "d", "col", "counter"))
+        .unionByName(part(COUNT, count_sketch(freq, count, weight="freq"), "d", "col", "counter"))
     )
-    updates.write.mode("overwrite").parquet(path)
 
 
-def _batches(spark: SparkSession, out: str) -> DataFrame | None:
-    schema = "kind string, d int, key int, delta bigint, batch_id bigint"
-    try:
-        return spark.read.schema(schema).parquet(out)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def _write_updates(items: DataFrame, count_min: SketchParams, count: SketchParams, path: str) -> int:
+    """Write the updates of a batch; the number of its items."""
+    seen = Observation()
+    observed = items.observe(seen, F.count(F.lit(1)).alias("n"))
+    batch_updates(observed, count_min, count).write.mode("overwrite").parquet(path)
+    return seen.get["n"]
+
+
+def _done(spark: SparkSession, out: str) -> DataFrame | None:
+    return read_if_there(spark, f"{out}/done", "n bigint, batch_id bigint")
 
 
-def _processed_before(spark: SparkSession, out: str, batch_id: int) -> int:
-    batches = _batches(spark, out)
-    if batches is None:
-        return 0
-    earlier = batches.where((F.col("kind") == _PROCESSED) & (F.col("batch_id") < batch_id))
-    return earlier.agg(F.coalesce(F.sum("delta"), F.lit(0))).first()[0]
+def _processed_before(spark: SparkSession, out: str, batch_id: int) -> tuple[int, int]:
+    """Items of all earlier batches, and of the largest of them."""
+    done = _done(spark, out)
+    if done is None:
+        return 0, 0
+    n = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))
+    return tuple(done.where(F.col("batch_id") < batch_id).agg(*n).first())
 
 
 def prefix_counters(spark: SparkSession, out: str) -> DataFrame:
     """``(kind, d, key, counter)`` of everything processed so far."""
-    batches = _batches(spark, out)
-    if batches is None:
+    done = _done(spark, out)
+    if done is None:
         return spark.createDataFrame([], "kind string, d int, key int, counter bigint")
-    counted = batches.where(F.col("kind") != _PROCESSED)
+    updates = spark.read.schema("kind string, d int, key int, delta bigint, batch_id bigint").parquet(f"{out}/updates")
+    counted = updates.join(done.select("batch_id"), "batch_id", "left_semi")
     return counted.groupBy("kind", "d", "key").agg(F.sum("delta").alias("counter"))
 
 

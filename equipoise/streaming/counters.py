@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from equipoise.functions.hashing import SketchParams
 from equipoise.operators.sketches import kind_name, sketch_updates
+from equipoise.streaming.versions import SNAPSHOT_EVERY, CounterVersions
 
 
 def running_counters(items: DataFrame, count_min: SketchParams, count: SketchParams) -> DataFrame:
@@ -22,21 +23,19 @@ def running_counters(items: DataFrame, count_min: SketchParams, count: SketchPar
 
 
 def start_counters(
-    counters: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+    counters: DataFrame,
+    out: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    snapshot_every: int = SNAPSHOT_EVERY,
 ) -> StreamingQuery:
-    """Write the counters that each micro-batch changed below ``out``.
-
-    A batch that is replayed after a failure overwrites its own folder.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
+    """Keep the counters that micro-batches change below ``out``, as ``CounterVersions``."""
+    versions = CounterVersions(out, snapshot_every)
     writer = counters.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
+    return writer.foreachBatch(versions.write).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def latest_counters(spark: SparkSession, out: str) -> DataFrame:
-    """``(kind, d, key, counter)`` as of the last batch written."""
-    versions = spark.read.parquet(out)
-    return versions.groupBy("kind", "d", "key").agg(F.max_by("counter", "batch_id").alias("counter"))
+    """``(kind, d, key, counter)`` as of the last batch written: the last snapshot and what came
+    after it."""
+    return CounterVersions(out).latest(spark)
