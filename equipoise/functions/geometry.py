@@ -92,6 +92,47 @@ def nearest_rows(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nda
     return index, sq_dist
 
 
+def nearest_sq_dists(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distance to the nearest centre of every row, without settling which of two centres
+    that are equally near up to rounding it is."""
+    sq_dist = np.empty(len(x))
+    origin = centers.mean(axis=0)
+    c = centers - origin
+    # One more coordinate carries the centres' squares, so the product alone ranks them.
+    ranking = np.vstack([-2.0 * c.T, np.einsum("ij,ij->i", c, c)])
+    step = max(64, _BLOCK_VALUES // len(centers))
+    lifted = np.ones((min(step, len(x)), x.shape[1] + 1))
+    for lo in range(0, len(x), step):
+        raw = x[lo : lo + step]
+        rows = lifted[: len(raw)]
+        np.subtract(raw, origin, out=rows[:, :-1])
+        gap = raw - centers[(rows @ ranking).argmin(axis=1)]
+        sq_dist[lo : lo + step] = np.einsum("ij,ij->i", gap, gap)
+    return sq_dist
+
+
+def second_distances(x: np.ndarray, centers: np.ndarray, nearest: np.ndarray) -> np.ndarray:
+    """A lower bound of each row's distance to any centre but its nearest one."""
+    lower = np.full(len(x), np.inf)
+    k, d = centers.shape
+    if k == 1:
+        return lower
+    origin = centers.mean(axis=0)
+    c = centers - origin
+    c_sq = np.einsum("ij,ij->i", c, c)
+    slack = 16.0 * (d + 8) * np.finfo(np.float64).eps
+    step = max(64, _BLOCK_VALUES // k)
+    for lo in range(0, len(x), step):
+        xs = x[lo : lo + step] - origin
+        x_sq = np.einsum("ij,ij->i", xs, xs)
+        ranked = xs @ (-2.0 * c.T)
+        ranked += c_sq
+        ranked[np.arange(len(xs)), nearest[lo : lo + step]] = np.inf
+        found = ranked.min(axis=1) + x_sq - slack * (x_sq + c_sq.max())
+        lower[lo : lo + step] = np.sqrt(np.maximum(found, 0.0))
+    return lower
+
+
 def _direct_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     total = np.zeros((len(x), len(centers)))
     for j in range(x.shape[1]):

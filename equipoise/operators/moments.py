@@ -5,7 +5,7 @@ All clustering results of a round are sums over points, so they fold from these
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.functions.geometry import Centers, center_matrix, nearest_rows
+from equipoise.functions.geometry import Centers, center_matrix, nearest_rows, nearest_sq_dists
 from equipoise.operators.assignment import assign, coords_to_numpy, uses_literals
 from equipoise.operators.objectives import GROUP_A, GROUP_B
 
@@ -89,10 +89,8 @@ def block_moments(blocks: DataFrame, centers: Centers, tasks: int | None = None)
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = _Accumulator(matrix)
-        for batch in batches:
-            for coords, codes in zip(batch.column(0), batch.column(1)):
-                x = np.frombuffer(coords.as_buffer(), dtype=np.float64).reshape(-1, dim)
-                total.add(x, np.frombuffer(codes.as_buffer(), dtype=np.int8))
+        for x, codes in rows_of_blocks(batches, dim):
+            total.add(x, codes)
         yield total.to_arrow()
 
     partials = blocks.mapInArrow(partial, _partial_schema(dim))
@@ -101,6 +99,108 @@ def block_moments(blocks: DataFrame, centers: Centers, tasks: int | None = None)
     return _merge(partials, dim)
 
 
+def rows_of_blocks(batches: Iterable[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(coordinates, group codes)`` of every block."""
+    for batch in batches:
+        for coords, codes in zip(batch.column(0), batch.column(1)):
+            x = np.frombuffer(coords.as_buffer(), dtype=np.float64).reshape(-1, dim)
+            yield x, np.frombuffer(codes.as_buffer(), dtype=np.int8)
+
+
+def joint_moments(points: PackedPoints, sets: Sequence[np.ndarray]) -> list[MomentTable]:
+    """Moments for several sets of centres from one pass over the blocks.
+
+    The clusters of all sets are numbered through, so that their sums travel and add up as those
+    of one set.
+    """
+    dim = points.dim
+    sizes = [len(m) for m in sets]
+    firsts = [sum(sizes[:i]) for i in range(len(sets))]
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [_Accumulator(m) for m in sets]
+        for x, codes in rows_of_blocks(batches, dim):
+            for total in totals:
+                total.add(x, codes)
+        for first, total in zip(firsts, totals):
+            yield total.to_arrow(first)
+
+    partials = points.blocks.mapInArrow(partial, _partial_schema(dim))
+    if points.tasks * 3 * sum(sizes) * (2 + dim) > _DRIVER_VALUES:
+        partials = _merge(partials, dim)
+    table = MomentTable.collect(partials, sum(sizes), dim)
+    return [
+        MomentTable(table.n[:, a : a + k], table.cost[:, a : a + k], table.sums[:, a : a + k])
+        for a, k in zip(firsts, sizes)
+    ]
+
+
+@dataclass(frozen=True)
+class GroupCosts:
+    """Points and summed cost of each group (A, B, other) for one set of centres."""
+
+    n: np.ndarray
+    cost: np.ndarray
+
+    @property
+    def delta(self) -> float | None:
+        """The standard objective, over all labels."""
+        return float(self.cost.sum() / self.n.sum()) if self.n.any() else None
+
+    @property
+    def phi(self) -> float:
+        """The fair objective: what the worse-off group pays."""
+        return float((self.cost / np.maximum(self.n, 1))[[CODE_A, CODE_B]].max())
+
+
+def joint_costs(points: PackedPoints, sets: Sequence[np.ndarray]) -> list[GroupCosts]:
+    """What several sets of centres cost each group, from one pass that keeps no sums of
+    coordinates and settles no ties between centres."""
+    dim = points.dim
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, cost = np.zeros(3, np.int64), np.zeros((len(sets), 3))
+        for x, codes in rows_of_blocks(batches, dim):
+            n += np.bincount(codes, minlength=3)
+            for i, matrix in enumerate(sets):
+                cost[i] += np.bincount(codes, nearest_sq_dists(x, matrix), minlength=3)
+        ids, codes = np.divmod(np.arange(3 * len(sets)), 3)
+        columns = [ids.astype(np.int32), codes.astype(np.int8), n[codes], cost.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "code", "n", "cost"])
+
+    partials = points.blocks.mapInArrow(partial, "id int, code tinyint, n bigint, cost double")
+    if points.tasks * len(sets) * 12 > _DRIVER_VALUES:
+        partials = partials.groupBy("id", "code").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"))
+    rows = partials.toArrow()
+    n, cost = np.zeros((len(sets), 3), np.int64), np.zeros((len(sets), 3))
+    key = (rows["id"].to_numpy(), rows["code"].to_numpy())
+    np.add.at(n, key, rows["n"].to_numpy())
+    np.add.at(cost, key, rows["cost"].to_numpy())
+    return [GroupCosts(*x) for x in zip(n, cost)]
+
+
+def group_sizes(points: PackedPoints) -> np.ndarray:
+    """Points of each group (A, B, other). Reads the codes only, and builds the blocks if this is
+    the first pass over them."""
+
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(3, np.int64)
+        for batch in batches:
+            for codes in batch.column(0):
+                n += np.bincount(np.frombuffer(codes.as_buffer(), np.int8), minlength=3)
+        yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in n], ["a", "b", "other"])
+
+    counts = points.blocks.select("codes").mapInArrow(partial, "a bigint, b bigint, other bigint")
+    return np.array(counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("a", "b", "other")]).first(), np.int64)
+
+
+def only_two_groups(sizes: np.ndarray) -> np.ndarray:
+    """The sizes themselves, where only the groups A and B make sense."""
+    if sizes[CODE_OTHER]:
+        raise ValueError(f"group label must be A or B: {sizes[CODE_OTHER]} points have another")
+    return sizes
+
+
 def point_moments(points: DataFrame, centers: Centers) -> DataFrame:
     """``(cluster, code, chunk, n, v0, v1, ...)`` of the clusters and groups that hold points.
 
@@ -172,7 +272,9 @@ class _Accumulator:
         self.sums = np.zeros((1 + matrix.shape[1], keys))
 
     def add(self, x: np.ndarray, codes: np.ndarray) -> None:
-        index, sq_dist = nearest_rows(x, self.matrix)
+        self.add_assigned(x, codes, *nearest_rows(x, self.matrix))
+
+    def add_assigned(self, x: np.ndarray, codes: np.ndarray, index: np.ndarray, sq_dist: np.ndarray) -> None:
         key = index * 3 + codes
         keys = len(self.n)
         self.n += np.bincount(key, minlength=keys)
@@ -180,7 +282,8 @@ class _Accumulator:
         for j in range(x.shape[1]):
             self.sums[1 + j] += np.bincount(key, x[:, j], minlength=keys)
 
-    def to_arrow(self) -> pa.RecordBatch:
+    def to_arrow(self, offset: int = 0) -> pa.RecordBatch:
+        """The sums as rows; clusters are numbered from ``offset``."""
         key = np.flatnonzero(self.n)
         names = _sum_columns(len(self.sums) - 1)
         width = len(names)
@@ -191,7 +294,7 @@ class _Accumulator:
         values = values.reshape(chunks, width, len(key)).transpose(1, 0, 2).reshape(width, -1)
         first = np.repeat(np.arange(chunks) == 0, len(key))
         columns = [
-            pa.array(np.tile(key // 3, chunks).astype(np.int32)),
+            pa.array(np.tile(offset + key // 3, chunks).astype(np.int32)),
             pa.array(np.tile(key % 3, chunks).astype(np.int8)),
             pa.array(np.repeat(np.arange(chunks), len(key)).astype(np.int32)),
             pa.array(np.where(first, np.tile(self.n[key], chunks), 0)),
@@ -266,6 +369,5 @@ class MomentTable:
 
     def only_two_groups(self) -> MomentTable:
         """Itself, where only the groups A and B make sense."""
-        if self.n[CODE_OTHER].any():
-            raise ValueError(f"group label must be A or B: {self.n[CODE_OTHER].sum()} points have another")
+        only_two_groups(self.n.sum(axis=1))
         return self

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equipoise.functions.geometry import center_matrix
 from equipoise.operators import fair_step as fair
 from equipoise.operators import heavy_hitters as hh
 from equipoise.operators import objectives as obj
 from equipoise.operators import wordcount as wc
 from equipoise.operators.assignment import assign
 from equipoise.operators.frequencies import frequency_totals, item_frequencies
-from equipoise.operators.kmeans import fair_kmeans, initial_centers, standard_kmeans
+from equipoise.operators.kmeans import fair_kmeans, sampled_centers, standard_lloyd
 from equipoise.operators.prefix import ordered_prefix
 from equipoise.operators.series import series_summary
 from equipoise.operators.sketches import (
@@ -213,20 +215,56 @@ def _fair_lloyd(spark: SparkSession, sf: str) -> DataFrame:
     return _center_columns(centers)
 
 
+def _start(spark: SparkSession, sf: str) -> np.ndarray:
+    """A start that SQL can recompute: it depends on the rows alone."""
+    found = sampled_centers(views.points(spark, sf), TRAINED_CLUSTERS, key=views.start_key())
+    return center_matrix(found)
+
+
 def _fair_kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    return _center_columns(fair_kmeans(views.points(spark, sf), TRAINED_CLUSTERS, TRAINING_ROUNDS))
+    points, start = views.points(spark, sf), _start(spark, sf)
+    return _center_columns(fair_kmeans(points, len(start), TRAINING_ROUNDS, start=start))
 
 
 def _standard_kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    return _center_columns(standard_kmeans(views.points(spark, sf), TRAINED_CLUSTERS, TRAINING_ROUNDS))
+    return _center_columns(standard_lloyd(views.points(spark, sf), _start(spark, sf), TRAINING_ROUNDS, tol=0.0))
 
 
 def _initial_centers(spark: SparkSession, sf: str) -> DataFrame:
-    return _center_columns(initial_centers(views.points(spark, sf), TRAINED_CLUSTERS))
+    return _center_columns(sampled_centers(views.points(spark, sf), TRAINED_CLUSTERS, key=views.start_key()))
+
+
+def _standard_lloyd(spark: SparkSession, sf: str) -> DataFrame:
+    return _center_columns(standard_lloyd(views.points(spark, sf), CENTERS, FAIR_ROUNDS, tol=0.0))
 
 
 def _fair_vs_standard(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.fair_vs_standard(views.points(spark, sf), TRAINED_CLUSTERS, TRAINING_ROUNDS)
+    report = reports.fair_vs_standard(views.points(spark, sf), len(CENTERS), FAIR_ROUNDS, start=CENTERS, tol=0.0)
+    return report.select("method", _round("fair_objective"))
+
+
+def _clustered_group_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    points, start = views.points(spark, sf, keep_foreign=True), _start(spark, sf)
+    totals, clusters = reports.clustered_group_statistics(points, len(start), TRAINING_ROUNDS, start=start)
+    whole = [totals.select(F.col(c)).scalar().alias(f"tot_{c}") for c in ("n", "na", "nb")]
+    objectives = [_round(c, totals.select(c).scalar()) for c in ("delta", "phi")]
+    return _center_columns(clusters, "na", "nb", *whole, *objectives)
+
+
+def _fair_step_lone_groups(spark: SparkSession, sf: str) -> DataFrame:
+    step = fair.fair_center_step(views.points(spark, sf), views.LONE_CENTERS)
+    return _center_columns(step)
+
+
+def _fair_moments_lone_groups(spark: SparkSession, sf: str) -> DataFrame:
+    moments = fair.fair_moments(views.points(spark, sf), views.LONE_CENTERS)
+    means = [_round(f"m{axis}_{g}", F.col(f"mean_{g}")[j]) for g in "ab" for j, axis in enumerate("xy")]
+    return moments.select("cluster", "n_a", "n_b", *means)
+
+
+def _fair_fixed_costs_shifted(spark: SparkSession, sf: str) -> DataFrame:
+    costs = fair.fair_fixed_costs(views.shifted_points(spark, sf), CENTERS)
+    return costs.select(_round("fixed_a"), _round("fixed_b"))
 
 
 def _save_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -378,7 +416,12 @@ QUERIES: dict[str, Query] = {
     "fair_kmeans": _fair_kmeans,
     "standard_kmeans": _standard_kmeans,
     "initial_centers": _initial_centers,
+    "standard_lloyd": _standard_lloyd,
     "fair_vs_standard": _fair_vs_standard,
+    "clustered_group_statistics": _clustered_group_statistics,
+    "fair_step_lone_groups": _fair_step_lone_groups,
+    "fair_moments_lone_groups": _fair_moments_lone_groups,
+    "fair_fixed_costs_shifted": _fair_fixed_costs_shifted,
     "save_points": _save_points,
     "cluster_series": _cluster_series,
     "items_parse": _parse_items,

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from equipoise.functions.hashing import HASH_PRIME, SketchParams
+from equipoise.operators.kmeans import OVERSAMPLING
 from equipoise.plans import views
-from equipoise.plans.catalog import CENTERS, CM, CS, CS_EVEN, FAIR_ROUNDS
+from equipoise.plans.catalog import CENTERS, CM, CS, CS_EVEN, FAIR_ROUNDS, TRAINED_CLUSTERS, TRAINING_ROUNDS
 
 TOKENS = (
     "CASE WHEN text = '' THEN [''] WHEN rtrim(text, ' ') = '' THEN [] "
@@ -26,13 +27,14 @@ def _word_counts(source: str = "documents") -> str:
     return f"SELECT word, count(*) AS n FROM (SELECT unnest({TOKENS}) AS word FROM {source}) GROUP BY word"
 
 
-def _points(foreign: bool = False) -> str:
+def _points(foreign: bool = False, shift: float = 0.0) -> str:
     pending = "WHEN o_orderstatus = 'P' THEN 'C' " if foreign else ""
+    away = f" + CAST({shift} AS DOUBLE)" if shift else ""
     return f"""points AS (
         SELECT o_orderkey AS point_id,
                o_totalprice / CAST(10000 AS DOUBLE)
-                   + CAST(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 20 END AS DOUBLE) AS x,
-               CAST(o_custkey % 50 AS DOUBLE) AS y,
+                   + CAST(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 20 END AS DOUBLE){away} AS x,
+               CAST(o_custkey % 50 AS DOUBLE){away} AS y,
                CASE WHEN o_orderstatus = 'F' THEN 'A' {pending}ELSE 'B' END AS grp
         FROM orders)"""
 
@@ -103,11 +105,60 @@ def _fair_round(centers: str, tag: str) -> str:
         FROM found_{tag})"""
 
 
-def _fair(select: str, rounds: int = 1) -> str:
-    steps = [
-        _fair_round("centers" if r == 1 else f"next_r{r - 1}", f"r{r}") for r in range(1, rounds + 1)
+def _fair_rounds(start: str, rounds: int) -> str:
+    return ", ".join(_fair_round(start if r == 1 else f"next_r{r - 1}", f"r{r}") for r in range(1, rounds + 1))
+
+
+def _fair(
+    select: str, rounds: int = 1, centers: Sequence[Sequence[float]] = CENTERS, shift: float = 0.0
+) -> str:
+    return f"""WITH RECURSIVE {_points(shift=shift)}, {_centers(centers)},
+        {_fair_rounds("centers", rounds)} {select}"""
+
+
+def _lloyd_rounds(start: str, rounds: int) -> str:
+    """Rounds of standard Lloyd, ending in ``next_s<rounds>`` (center_id, cx, cy)."""
+    steps = []
+    for r in range(1, rounds + 1):
+        centers = start if r == 1 else f"next_s{r - 1}"
+        steps.append(
+            f"""{_near(centers, f"near_s{r}")},
+    next_s{r} AS (
+        SELECT center_id, coalesce(avg(x), cx) AS cx, coalesce(avg(y), cy) AS cy
+        FROM {centers} LEFT JOIN near_s{r} ON cluster = center_id GROUP BY center_id, cx, cy)"""
+        )
+    return ", ".join(steps)
+
+
+def _sampled_start(k: int) -> str:
+    """``start`` (center_id, cx, cy): candidates in hash order, weighted, reduced one by one."""
+    first = f"""candidates AS (
+        SELECT row_number() OVER (ORDER BY key) - 1 AS center_id, x AS cx, y AS cy FROM (
+            SELECT x, y, CAST('0x' || substr(md5('{views.START_SEED}:' || point_id), 1, 15) AS BIGINT) AS key
+            FROM points ORDER BY key LIMIT {OVERSAMPLING * k})),
+    {_near("candidates", "near_candidate")},
+    weighted AS (
+        SELECT center_id, cx, cy, count(point_id) AS w
+        FROM candidates LEFT JOIN near_candidate ON cluster = center_id GROUP BY center_id, cx, cy),
+    pick_1 AS (SELECT 0 AS n, cx, cy FROM weighted ORDER BY w DESC, weighted.center_id LIMIT 1)"""
+    picks = [
+        f"""pick_{i} AS (
+        SELECT {i - 1} AS n, cx, cy FROM (
+            SELECT c.center_id, c.cx, c.cy, any_value(w) * min((c.cx - p.cx) * (c.cx - p.cx) + (c.cy - p.cy) * (c.cy - p.cy)) AS worth
+            FROM weighted c CROSS JOIN ({" UNION ALL ".join(f"SELECT * FROM pick_{j}" for j in range(1, i))}) p
+            GROUP BY c.center_id, c.cx, c.cy)
+        ORDER BY worth DESC, center_id LIMIT 1)"""
+        for i in range(2, k + 1)
     ]
-    return f"WITH RECURSIVE {_points()}, {_centers(CENTERS)}, {', '.join(steps)} {select}"
+    start = " UNION ALL ".join(f"SELECT n AS center_id, cx, cy FROM pick_{j}" for j in range(1, k + 1))
+    return f"{first}, {', '.join(picks)}, start AS ({start})"
+
+
+def _trained(rounds: str, select: str, foreign: bool = False) -> str:
+    return f"WITH RECURSIVE {_points(foreign)}, {_sampled_start(TRAINED_CLUSTERS)}, {rounds} {select}"
+
+
+_CENTER_ROWS = "SELECT center_id AS cluster, round(cx, 6) AS cx, round(cy, 6) AS cy FROM {0}"
 
 
 _WIDE = """WITH coords AS (
@@ -259,6 +310,44 @@ ORACLE: dict[str, str] = {
         f"SELECT center_id AS cluster, round(cx, 6) AS cx, round(cy, 6) AS cy FROM next_r{FAIR_ROUNDS}",
         FAIR_ROUNDS,
     ),
+    "initial_centers": f"""WITH {_points()}, {_sampled_start(TRAINED_CLUSTERS)}
+        {_CENTER_ROWS.format("start")}""",
+    "standard_kmeans": _trained(
+        _lloyd_rounds("start", TRAINING_ROUNDS), _CENTER_ROWS.format(f"next_s{TRAINING_ROUNDS}")
+    ),
+    "fair_kmeans": _trained(
+        _fair_rounds("start", TRAINING_ROUNDS), _CENTER_ROWS.format(f"next_r{TRAINING_ROUNDS}")
+    ),
+    "standard_lloyd": f"""WITH {_points()}, {_centers(CENTERS)}, {_lloyd_rounds("centers", FAIR_ROUNDS)}
+        {_CENTER_ROWS.format(f"next_s{FAIR_ROUNDS}")}""",
+    "fair_vs_standard": f"""WITH RECURSIVE {_points()}, {_centers(CENTERS)},
+        {_lloyd_rounds("centers", FAIR_ROUNDS)}, {_fair_rounds("centers", FAIR_ROUNDS)},
+        {_near(f"next_s{FAIR_ROUNDS}", "standard_near")}, {_near(f"next_r{FAIR_ROUNDS}", "fair_near")}
+        SELECT 'standard' AS method, round(greatest(mean_a, mean_b), 6) AS fair_objective
+        FROM (SELECT {_PHI} FROM standard_near)
+        UNION ALL SELECT 'fair', round(greatest(mean_a, mean_b), 6) FROM (SELECT {_PHI} FROM fair_near)""",
+    "clustered_group_statistics": _trained(
+        f"""{_lloyd_rounds("start", TRAINING_ROUNDS)}, {_near(f"next_s{TRAINING_ROUNDS}")},
+        totals AS (
+            SELECT count(*) AS n, count(*) FILTER (WHERE grp = 'A') AS tot_na,
+                   count(*) FILTER (WHERE grp = 'B') AS tot_nb, avg(dist) AS delta, {_PHI} FROM near)""",
+        f"""SELECT center_id AS cluster, round(cx, 6) AS cx, round(cy, 6) AS cy,
+        count(*) FILTER (WHERE grp = 'A') AS na, count(*) FILTER (WHERE grp = 'B') AS nb,
+        any_value(n) AS tot_n, any_value(tot_na) AS tot_na, any_value(tot_nb) AS tot_nb,
+        round(any_value(delta), 6) AS delta, round(any_value(greatest(mean_a, mean_b)), 6) AS phi
+        FROM next_s{TRAINING_ROUNDS} LEFT JOIN near ON cluster = center_id CROSS JOIN totals
+        GROUP BY center_id, cx, cy""",
+        foreign=True,
+    ),
+    "fair_step_lone_groups": _fair(_CENTER_ROWS.format("next_r1"), centers=views.LONE_CENTERS),
+    "fair_moments_lone_groups": _fair(
+        """SELECT center_id AS cluster, n_a, n_b, round(ax, 6) AS mx_a, round(ay, 6) AS my_a,
+        round(bx, 6) AS mx_b, round(by_, 6) AS my_b FROM means_r1""",
+        centers=views.LONE_CENTERS,
+    ),
+    "fair_fixed_costs_shifted": _fair(
+        "SELECT round(fixed_a, 6) AS fixed_a, round(fixed_b, 6) AS fixed_b FROM fixed_r1", shift=views.SHIFT
+    ),
     "save_points": _given(
         f"""SELECT {_THREE_DECIMALS.format("x")} || ',' || {_THREE_DECIMALS.format("y")} || ',' || grp || ','
         || cluster AS line FROM near"""

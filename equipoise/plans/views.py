@@ -13,6 +13,10 @@ from equipoise.sources.replay import replay, stage_in_order
 # Fixed values of the catalogue: centres, a second set to compare with, hash parameters.
 CENTERS = ((10.0, 5.0), (25.0, 20.0), (40.0, 40.0), (55.0, 10.0))
 OTHER_CENTERS = ((12.0, 30.0), (30.0, 10.0), (45.0, 25.0))
+# Only points of A are near the first, only points of B near the third, and none near the last.
+LONE_CENTERS = ((0.0, 25.0), (30.0, 25.0), (90.0, 25.0), (-500.0, -500.0))
+SHIFT = 100_000.0
+START_SEED = 123
 COUNT_MIN_ROWS = (
     (1931, 4027), (7873, 12), (402, 8190), (5519, 3301), (8190, 777), (64, 5108), (3067, 0),
 )
@@ -65,6 +69,18 @@ def points(spark: SparkSession, sf_dir: str, keep_foreign: bool = False) -> Data
     return xy.select("point_id", F.array("x", "y").alias("coords"), "grp")
 
 
+def shifted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``points`` far away from the catalogue's centres."""
+    far = F.transform("coords", lambda v: v + SHIFT)
+    return points(spark, sf_dir).select("point_id", far.alias("coords"), "grp")
+
+
+def start_key() -> Column:
+    """A hash of the row's identifier that SQL can compute as well."""
+    digest = F.md5(F.concat(F.lit(f"{START_SEED}:"), F.col("point_id").cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(point_id, coords, grp, label)`` over embeddings: 64 dimensions, labels below 3 are group A."""
     return table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(

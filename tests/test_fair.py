@@ -13,17 +13,32 @@ from equipoise.operators.fair_step import (
     finish_step,
     line_search,
 )
-from equipoise.operators.kmeans import fair_kmeans, initial_centers, standard_kmeans
+from equipoise.operators.kmeans import (
+    fair_kmeans,
+    initial_centers,
+    sampled_centers,
+    standard_kmeans,
+    standard_lloyd,
+)
+from equipoise.operators.lloyd import anchored, bounded_moments
 from equipoise.operators.moments import (
     CODE_OTHER,
     MomentTable,
     block_moments,
+    group_sizes,
+    joint_costs,
+    joint_moments,
     pack_points,
     packed,
     point_moments,
 )
 from equipoise.operators.objectives import fair_objective
-from equipoise.plans.reports import clustered_group_statistics, fair_vs_standard, group_statistics
+from equipoise.plans.reports import (
+    clustered_group_statistics,
+    compare_training,
+    fair_vs_standard,
+    group_statistics,
+)
 from equipoise.sources.mixture import mixture_points
 
 
@@ -227,3 +242,111 @@ def test_fixed_costs_far_from_the_start(spark, offset):
     with packed(points) as blocks:
         step = finish_step(MomentTable.of(blocks, start), start, blocks)
     np.testing.assert_allclose((step.fixed_a, step.fixed_b), want, rtol=1e-6)
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    """Six clumps in three dimensions, most of the points repeated once, a third of them one point."""
+    rng = np.random.default_rng(8)
+    clumps = rng.uniform(-40, 40, (6, 3))
+    x = clumps[rng.integers(0, 6, 600)] + rng.normal(size=(600, 3)) * 3
+    x = np.concatenate([x, x[:300], np.tile(x[:1], (450, 1))])
+    grp = np.where(rng.random(len(x)) < 0.4, "A", "B")
+    rows = [(c.tolist(), str(g)) for c, g in zip(x, grp)]
+    return x, grp, spark.createDataFrame(rows, "coords array<double>, grp string").repartition(6).persist()
+
+
+def plain_lloyd(x, centers, rounds, tol=0.0):
+    for _ in range(rounds):
+        near = ((x[:, None] - centers[None]) ** 2).sum(-1).argmin(1)
+        new = np.array([x[near == i].mean(0) if (near == i).any() else c for i, c in enumerate(centers)])
+        move = np.sqrt(((new - centers) ** 2).sum(-1)).max()
+        centers = new
+        if move <= tol:
+            break
+    return centers
+
+
+@pytest.mark.parametrize("k, rounds", [(1, 3), (5, 12), (12, 12), (12, 0)])
+def test_lloyd_from_a_start(blobs, k, rounds):
+    x, _, points = blobs
+    start = np.vstack([x[: k - 1], [[900.0, 900.0, 900.0]]]) if k > 1 else x[:1]  # the last one stays empty
+    np.testing.assert_allclose(centers_of(standard_lloyd(points, start, rounds, 0.0)), plain_lloyd(x, start, rounds), rtol=1e-9)
+    np.testing.assert_allclose(centers_of(standard_lloyd(points, start, rounds, 0.3)), plain_lloyd(x, start, rounds, 0.3), rtol=1e-9)
+
+
+def test_bounds_skip_most_points_and_change_nothing(blobs):
+    x, _, points = blobs
+    rng = np.random.default_rng(1)
+    anchor = plain_lloyd(x, x[:12].copy(), 4)
+    with packed(points) as blocks:
+        held = anchored(blocks, anchor)
+        for move in (0.0, 0.05, 1.0, 30.0):
+            centers = anchor + rng.normal(size=anchor.shape) * move
+            found, compared = bounded_moments(blocks, held, centers)
+            want = MomentTable.of(blocks, centers)
+            assert (found.n == want.n).all()
+            np.testing.assert_allclose(found.cost, want.cost, rtol=1e-9)
+            np.testing.assert_allclose(found.sums, want.sums, rtol=1e-9, atol=1e-6)
+            assert compared < len(x) * {0.0: 0.05, 0.05: 0.3, 1.0: 1.01, 30.0: 1.01}[move]
+        # A point between two centres is compared, and goes to the first.
+        tied = np.vstack([x[0] - 1, x[0] + 1])
+        found, compared = bounded_moments(blocks, anchored(blocks, tied), tied)
+        assert compared >= 450 and (found.n == MomentTable.of(blocks, tied).n).all()
+
+
+def test_joint_passes_equal_single_ones(blobs):
+    x, grp, points = blobs
+    sets = [x[:4], x[10:17], x[20:21]]
+    with packed(points) as blocks:
+        for found, centers in zip(joint_moments(blocks, sets), sets):
+            want = MomentTable.of(blocks, centers)
+            assert (found.n == want.n).all()
+            np.testing.assert_allclose(found.sums, want.sums)
+        for found, centers in zip(joint_costs(blocks, sets), sets):
+            cost = ((x[:, None] - centers[None]) ** 2).sum(-1).min(1)
+            np.testing.assert_allclose(found.cost[:2], [cost[grp == "A"].sum(), cost[grp == "B"].sum()])
+            assert found.phi == pytest.approx(max(cost[grp == "A"].mean(), cost[grp == "B"].mean()))
+            assert found.delta == pytest.approx(cost.mean())
+        assert group_sizes(blocks).tolist() == [(grp == "A").sum(), (grp == "B").sum(), 0]
+
+
+@pytest.mark.parametrize("k", [1, 4, 9])
+def test_sampled_start_ignores_the_layout(blobs, k):
+    x, _, points = blobs
+    found = [centers_of(sampled_centers(points.repartition(n), k, 5)) for n in (1, 50)]
+    np.testing.assert_array_equal(found[0], found[1])
+    assert len(found[0]) == k and all((x == c).all(1).any() for c in found[0])
+    assert len({tuple(c) for c in found[0]}) == k
+    # The first candidate is the heaviest one: the point that a third of the rows repeat is near it.
+    if k > 1:
+        spread = ((x[:, None] - np.array(found[0])[None]) ** 2).sum(-1).min(1).mean()
+        assert spread < ((x - x.mean(0)) ** 2).sum(-1).mean()
+
+
+def test_start_of_few_points(points_of):
+    points = points_of([((0, 0), "A"), ((0, 0), "B"), ((4, 2), "B")])
+    assert sorted(map(tuple, centers_of(sampled_centers(points, 5)))) == [(0, 0), (4, 2)]
+    # A start is one of the points, a trained centre is their mean.
+    assert tuple(centers_of(initial_centers(points, 1))[0]) in {(0, 0), (4, 2)}
+    np.testing.assert_allclose(centers_of(standard_kmeans(points, 1, 5)), [(4 / 3, 2 / 3)])
+
+
+def test_trained_side_by_side(blobs):
+    x, _, points = blobs
+    start = x[[0, 5, 9, 14]]
+    found = compare_training(points, 4, 6, start=start, tol=0.0)
+    np.testing.assert_allclose(centers_of(found.centers["standard"]), plain_lloyd(x, start, 6), rtol=1e-9)
+    np.testing.assert_allclose(centers_of(found.centers["fair"]), centers_of(fair_kmeans(points, 4, 6, start=start)), rtol=1e-9)
+    for row in found.report.collect():
+        want = group_statistics(points, found.centers[row.method]).totals.first().phi
+        assert row.fair_objective == pytest.approx(want)
+    alone = compare_training(points.where("grp = 'A'"), 4, 3, start=start)
+    assert len({r.fair_objective for r in alone.report.collect()}) == 1
+
+
+def test_labels_are_checked_before_training(points_of):
+    points = points_of([((0, 0), "A"), ((1, 1), "C")])
+    for call in (lambda: fair_kmeans(points, 1, 0), lambda: compare_training(points, 1, 0)):
+        with pytest.raises(ValueError, match="A or B"):
+            call()
