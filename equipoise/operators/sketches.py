@@ -9,11 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.functions.hashing import HashRow, SketchParams, bucket, row_struct, sign
-
-# Up to this many counters (8 MB) a sketch becomes one array that travels with the query plan;
-# a larger one is joined.
-DENSE_CELLS = 1_000_000
+from equipoise.functions.hashing import HASH_PRIME, HashRow, SketchParams, bucket, row_struct, sign
 
 # Kinds of rows in the combined state of a stream; the state is keyed by their position.
 EXACT, COUNT_MIN, COUNT = KINDS = ("exact", "count_min", "count")
@@ -25,7 +21,7 @@ def _rows(params: SketchParams, signed: bool, first: int = 0) -> list[Column]:
     return [
         row_struct(
             row,
-            first=F.lit(first + d * params.width),
+            first=F.lit(first + d * params.width).cast("bigint"),
             width=F.lit(params.width),
             signed=F.lit(signed),
         )
@@ -57,13 +53,13 @@ def _add_up(items: DataFrame, rows: list[Column], weight: str | None) -> DataFra
 def _to_table(cells: DataFrame, params: SketchParams) -> DataFrame:
     return cells.select(
         F.floor(F.col("cell") / params.width).cast("int").alias("d"),
-        (F.col("cell") % params.width).alias("col"),
+        (F.col("cell") % params.width).cast("int").alias("col"),
         "counter",
     )
 
 
 def _to_cells(table: DataFrame, params: SketchParams, first: int = 0) -> DataFrame:
-    return table.select((F.col("d") * params.width + F.col("col") + first).alias("cell"), "counter")
+    return table.select((F.col("d").cast("bigint") * params.width + F.col("col") + first).alias("cell"), "counter")
 
 
 def count_min_sketch(items: DataFrame, params: SketchParams, weight: str | None = None) -> DataFrame:
@@ -125,27 +121,59 @@ def kind_name(kind: str = "kind") -> Column:
     return F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col(kind) + 1)
 
 
-def _read_cells(freq: DataFrame, cells: DataFrame, size: int, rows: list[Column]) -> DataFrame:
-    """Add ``_read``: the signed counters that every item meets, in the order of the rows."""
-    table = F.array(*rows)
-    if size <= DENSE_CELLS:
-        ids = freq.sparkSession.range(size, numPartitions=1).withColumnRenamed("id", "cell")
-        filled = ids.join(cells, "cell", "left").select(
-            F.struct("cell", F.coalesce("counter", F.lit(0)).alias("counter")).alias("entry")
+def _slots(params: SketchParams) -> int:
+    """Cells of a row that any item can hit: remainders lie between -8190 and 8190, so beyond
+    16,381 columns a row's middle stays empty."""
+    return min(params.width, 2 * HASH_PRIME - 1)
+
+
+def _slot(col: Column, width: Column, slots: Column) -> Column:
+    """The number of a column when the empty middle of its row is left out."""
+    return F.when(col < HASH_PRIME, col).otherwise(col - (width - slots))
+
+
+def _index_rows(params: SketchParams, signed: bool, first: int = 0) -> list[Column]:
+    """Parameters of every row for reading: ``start`` is the row's first slot."""
+    slots = _slots(params)
+    return [
+        row_struct(
+            row,
+            start=F.lit(first + d * slots),
+            slots=F.lit(slots),
+            width=F.lit(params.width),
+            signed=F.lit(signed),
         )
-        ordered = F.transform(F.sort_array(F.collect_list("entry")), lambda e: e["counter"])
-        dense = filled.agg(ordered.alias("counters")).scalar()
-        read = F.transform(table, lambda row: F.col("_counters")[_cell(row)] * _sign(row))
-        return freq.withColumn("_counters", dense).withColumn("_read", read).drop("_counters")
-    # Items are probed once each, so that rows that repeat an item stay apart.
-    probed = freq.select("item").distinct().select("item", F.posexplode(table).alias("_pos", "_row"))
-    row = F.col("_row")
-    asked = probed.select("item", "_pos", _cell(row).alias("cell"), _sign(row).alias("_sign"))
-    counter = F.coalesce("counter", F.lit(0)) * F.col("_sign")
-    found = asked.join(cells, "cell", "left").groupBy("item")
-    read = F.sort_array(F.collect_list(F.struct("_pos", counter.alias("counter"))))
-    reads = found.agg(F.transform(read, lambda r: r["counter"]).alias("_read"))
-    return freq.join(reads, "item").select(*freq.columns, "_read")
+        for d, row in enumerate(params.checked().rows)
+    ]
+
+
+def _to_slots(cells: DataFrame, params: SketchParams, first_cell: int = 0, first_slot: int = 0) -> DataFrame:
+    """``(slot, counter)`` of one sketch's part of ``(cell, counter)``."""
+    cell, width, slots = F.col("cell") - first_cell, F.lit(params.width), _slots(params)
+    row, col = F.floor(cell / params.width).cast("int"), (cell % width).cast("int")
+    reachable = cell.between(0, params.cells - 1) & ((col < HASH_PRIME) | (col > width - HASH_PRIME))
+    return cells.where(reachable).select((row * slots + _slot(col, width, F.lit(slots)) + first_slot).alias("slot"), "counter")
+
+
+def _read_cells(freq: DataFrame, slots: DataFrame, size: int, rows: list[Column]) -> DataFrame:
+    """Add ``_read``: the signed counters that every item meets, in the order of the rows.
+
+    The counters become one array that travels with the plan: at most 16,381 values a row of the
+    sketch, whatever its width.
+    """
+    ids = freq.sparkSession.range(size, numPartitions=1).withColumnRenamed("id", "slot")
+    filled = ids.join(slots, "slot", "left").select(
+        F.struct("slot", F.coalesce("counter", F.lit(0)).alias("counter")).alias("entry")
+    )
+    ordered = F.transform(F.sort_array(F.collect_list("entry")), lambda e: e["counter"])
+    dense = filled.agg(ordered.alias("counters")).scalar()
+
+    def counter(row: Column) -> Column:
+        col = bucket(F.col("item"), row, row["width"])
+        return F.col("_counters")[row["start"] + _slot(col, row["width"], row["slots"])] * _sign(row)
+
+    read = F.transform(F.array(*rows), counter)
+    return freq.withColumn("_counters", dense).withColumn("_read", read).drop("_counters")
 
 
 def _count_estimate(depth: int, rows: str) -> Column:
@@ -160,7 +188,8 @@ def with_count_min_estimate(
     freq: DataFrame, sketch: DataFrame, params: SketchParams, name: str = "est"
 ) -> DataFrame:
     """Add the Count-Min estimate of every ``item``: its smallest counter, never below the truth."""
-    read = _read_cells(freq, _to_cells(sketch, params), params.cells, _rows(params, signed=False))
+    slots = _to_slots(_to_cells(sketch, params), params)
+    read = _read_cells(freq, slots, params.depth * _slots(params), _index_rows(params, signed=False))
     return read.withColumn(name, F.array_min("_read")).drop("_read")
 
 
@@ -171,7 +200,8 @@ def with_count_sketch_estimate(
 
     With an even number of rows the two middle values are averaged, truncated toward zero.
     """
-    read = _read_cells(freq, _to_cells(sketch, params), params.cells, _rows(params, signed=True))
+    slots = _to_slots(_to_cells(sketch, params), params)
+    read = _read_cells(freq, slots, params.depth * _slots(params), _index_rows(params, signed=True))
     return read.withColumn(name, _count_estimate(params.depth, "_read")).drop("_read")
 
 
@@ -179,7 +209,10 @@ def with_both_estimates(
     freq: DataFrame, pair: DataFrame, count_min: SketchParams, count: SketchParams
 ) -> DataFrame:
     """Add ``cm_est`` and ``cs_est`` of every ``item`` from a ``sketch_pair``."""
-    read = _read_cells(freq, pair, count_min.cells + count.cells, _pair_rows(count_min, count))
+    first = count_min.depth * _slots(count_min)
+    slots = _to_slots(pair, count_min).unionByName(_to_slots(pair, count, count_min.cells, first))
+    rows = _index_rows(count_min, signed=False) + _index_rows(count, signed=True, first=first)
+    read = _read_cells(freq, slots, first + count.depth * _slots(count), rows)
     split = read.withColumn("_cm", F.slice("_read", 1, count_min.depth)).withColumn(
         "_cs", F.slice("_read", count_min.depth + 1, count.depth)
     )

@@ -17,7 +17,7 @@ from equipoise.operators.assignment import assign
 from equipoise.operators.frequencies import frequency_totals, item_frequencies
 from equipoise.operators.kmeans import fair_kmeans, sampled_centers, standard_lloyd
 from equipoise.operators.prefix import ordered_prefix
-from equipoise.operators.series import series_summary
+from equipoise.operators.series import series_sample, series_summary
 from equipoise.operators.sketches import (
     count_min_sketch,
     count_sketch,
@@ -35,6 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 CENTERS = views.CENTERS
 CM, CS, CS_EVEN = views.COUNT_MIN_PARAMS, views.COUNT_PARAMS, views.EVEN_COUNT_PARAMS
+CM_LARGE, CS_LARGE = views.LARGE_COUNT_MIN_PARAMS, views.LARGE_COUNT_PARAMS
 ROUND_DIGITS = 6
 FAIR_ROUNDS = 3
 TRAINED_CLUSTERS = 4
@@ -280,6 +281,14 @@ def _cluster_series(spark: SparkSession, sf: str) -> DataFrame:
     return summary.select("series", "n", *bounds)
 
 
+def _cluster_series_sample(spark: SparkSession, sf: str) -> DataFrame:
+    clustered = assign(views.points(spark, sf), CENTERS).select(
+        "point_id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"), "grp", "cluster"
+    )
+    sample = series_sample(clustered, views.SAMPLE_ROWS, key=views.start_key())
+    return sample.select("series", _round("x"), _round("y"))
+
+
 # Items
 
 
@@ -327,6 +336,17 @@ def _count_sketch_estimate_even(spark: SparkSession, sf: str) -> DataFrame:
     return with_count_sketch_estimate(_freq(spark, sf), sketch, CS_EVEN)
 
 
+def _count_min_estimate_large(spark: SparkSession, sf: str) -> DataFrame:
+    # Every event asks for its item, so items repeat.
+    items = views.items(spark, sf)
+    return with_count_min_estimate(items, count_min_sketch(items, CM_LARGE), CM_LARGE)
+
+
+def _count_sketch_estimate_large(spark: SparkSession, sf: str) -> DataFrame:
+    items = views.items(spark, sf)
+    return with_count_sketch_estimate(items, count_sketch(items, CS_LARGE), CS_LARGE)
+
+
 def _heavy_hitters(spark: SparkSession, sf: str) -> DataFrame:
     return hh.heavy_hitters(_freq(spark, sf), views.TOP_K)
 
@@ -424,6 +444,7 @@ QUERIES: dict[str, Query] = {
     "fair_fixed_costs_shifted": _fair_fixed_costs_shifted,
     "save_points": _save_points,
     "cluster_series": _cluster_series,
+    "cluster_series_sample": _cluster_series_sample,
     "items_parse": _parse_items,
     "item_frequencies": _freq,
     "item_totals": _item_totals,
@@ -433,6 +454,8 @@ QUERIES: dict[str, Query] = {
     "count_min_estimate": _count_min_estimate,
     "count_sketch_estimate": _count_sketch_estimate,
     "count_sketch_estimate_even": _count_sketch_estimate_even,
+    "count_min_estimate_large": _count_min_estimate_large,
+    "count_sketch_estimate_large": _count_sketch_estimate_large,
     "heavy_hitters": _heavy_hitters,
     "heavy_hitter_listing": _heavy_hitter_listing,
     "heavy_hitter_errors": _heavy_hitter_errors,

@@ -11,7 +11,17 @@ from collections.abc import Sequence
 from equipoise.functions.hashing import HASH_PRIME, SketchParams
 from equipoise.operators.kmeans import OVERSAMPLING
 from equipoise.plans import views
-from equipoise.plans.catalog import CENTERS, CM, CS, CS_EVEN, FAIR_ROUNDS, TRAINED_CLUSTERS, TRAINING_ROUNDS
+from equipoise.plans.catalog import (
+    CENTERS,
+    CM,
+    CM_LARGE,
+    CS,
+    CS_EVEN,
+    CS_LARGE,
+    FAIR_ROUNDS,
+    TRAINED_CLUSTERS,
+    TRAINING_ROUNDS,
+)
 
 TOKENS = (
     "CASE WHEN text = '' THEN [''] WHEN rtrim(text, ' ') = '' THEN [] "
@@ -130,12 +140,14 @@ def _lloyd_rounds(start: str, rounds: int) -> str:
     return ", ".join(steps)
 
 
+_KEY = f"CAST('0x' || substr(md5('{views.START_SEED}:' || point_id), 1, 15) AS BIGINT)"
+
+
 def _sampled_start(k: int) -> str:
     """``start`` (center_id, cx, cy): candidates in hash order, weighted, reduced one by one."""
     first = f"""candidates AS (
         SELECT row_number() OVER (ORDER BY key) - 1 AS center_id, x AS cx, y AS cy FROM (
-            SELECT x, y, CAST('0x' || substr(md5('{views.START_SEED}:' || point_id), 1, 15) AS BIGINT) AS key
-            FROM points ORDER BY key LIMIT {OVERSAMPLING * k})),
+            SELECT x, y, {_KEY} AS key FROM points ORDER BY key LIMIT {OVERSAMPLING * k})),
     {_near("candidates", "near_candidate")},
     weighted AS (
         SELECT center_id, cx, cy, count(point_id) AS w
@@ -357,6 +369,12 @@ ORACLE: dict[str, str] = {
         round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y
         FROM near GROUP BY series"""
     ),
+    "cluster_series_sample": _given(
+        f"""SELECT series, round(x, 6) AS x, round(y, 6) AS y FROM (
+            SELECT *, row_number() OVER (PARTITION BY series ORDER BY key) AS r FROM (
+                SELECT cluster || '-' || grp AS series, x, y, {_KEY} AS key FROM near))
+        WHERE r <= {views.SAMPLE_ROWS}"""
+    ),
     "items_parse": f"WITH {_ITEMS} SELECT seq, item FROM items",
     "item_frequencies": f"WITH {_ITEMS} SELECT item, count(*) AS freq FROM items GROUP BY item",
     "item_totals": f"WITH {_ITEMS} SELECT count(*) AS processed, count(DISTINCT item) AS distinct_items FROM items",
@@ -369,6 +387,10 @@ ORACLE: dict[str, str] = {
         SELECT item, freq, est FROM freq JOIN cs_est USING (item)""",
     "count_sketch_estimate_even": f"""WITH {_ITEMS}, {_FREQ}, {_cs_table(CS_EVEN)}, {_cs_est(CS_EVEN)}
         SELECT item, freq, est FROM freq JOIN cs_est USING (item)""",
+    "count_min_estimate_large": f"""WITH {_ITEMS}, {_FREQ}, {_cm_table(CM_LARGE)}, {_CM_EST}
+        SELECT seq, item, est FROM items JOIN cm_est USING (item)""",
+    "count_sketch_estimate_large": f"""WITH {_ITEMS}, {_FREQ}, {_cs_table(CS_LARGE)}, {_cs_est(CS_LARGE)}
+        SELECT seq, item, est FROM items JOIN cs_est USING (item)""",
     "heavy_hitters": f"WITH {_ITEMS}, {_FREQ}, {_RANKED} SELECT item, freq FROM hh",
     "heavy_hitter_listing": f"""WITH {_ITEMS}, {_FREQ}, {_cm_table(CM)}, {_CM_EST}, {_RANKED}
         SELECT item, freq, est AS cm_est FROM hh JOIN cm_est USING (item) ORDER BY item LIMIT {views.TOP_K}""",

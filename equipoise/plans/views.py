@@ -27,11 +27,15 @@ COUNT_ROWS = (
 SKETCH_WIDTH = 97
 EVEN_SKETCH_WIDTH = 100
 EVEN_SKETCH_DEPTH = 4
+LARGE_SKETCH_WIDTH = 1_000_003
 TOP_K = 10
+SAMPLE_ROWS = 25
 REPLAY_FILES = 6
 
 COUNT_MIN_PARAMS = SketchParams(tuple(HashRow(*r) for r in COUNT_MIN_ROWS), SKETCH_WIDTH)
 COUNT_PARAMS = SketchParams(tuple(HashRow(*r) for r in COUNT_ROWS), SKETCH_WIDTH)
+LARGE_COUNT_MIN_PARAMS = COUNT_MIN_PARAMS._replace(width=LARGE_SKETCH_WIDTH)
+LARGE_COUNT_PARAMS = COUNT_PARAMS._replace(width=LARGE_SKETCH_WIDTH)
 EVEN_COUNT_PARAMS = SketchParams(
     tuple(HashRow(*r) for r in COUNT_ROWS[:EVEN_SKETCH_DEPTH]), EVEN_SKETCH_WIDTH
 )

@@ -5,6 +5,8 @@ Parsers take a frame with a text column, replace it by the parsed columns and ke
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,26 @@ CLUSTER_ID_RULES = ("auto", "yes", "no")
 
 
 def read_lines(spark: SparkSession, path: str, num_partitions: int | None = None) -> DataFrame:
-    """One row per line in column ``value``, in at least ``num_partitions`` partitions: only a scan
-    of fewer splits is redistributed."""
-    if num_partitions is not None and num_partitions < 1:
+    """One row per line in column ``value``, in at least ``num_partitions`` splits of the scan.
+
+    The splits are planned by settings of this one read, in a session of its own, so nothing is
+    shuffled and other reads are planned as before. Compressed files cannot be split.
+    """
+    if num_partitions is None:
+        return spark.read.text(path)
+    if num_partitions < 1:
         raise ValueError("num_partitions must be at least 1")
-    lines = spark.read.text(path)
-    if num_partitions and lines.rdd.getNumPartitions() < num_partitions:
-        return lines.repartition(num_partitions)
-    return lines
+    planner = spark.newSession()
+    splits = max(num_partitions + 2, spark.sparkContext.defaultParallelism)  # it is rounded down
+    planner.conf.set("spark.sql.files.minPartitionNum", splits)
+    planner.conf.set("spark.sql.files.openCostInBytes", 1)
+    planner.conf.set("spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    name = f"lines_{uuid.uuid4().hex}"
+    planner.read.text(path).createGlobalTempView(name)  # what both sessions can see
+    try:
+        return spark.table(f"global_temp.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
 
 
 def read_documents(spark: SparkSession, path: str, num_partitions: int | None = None) -> DataFrame:

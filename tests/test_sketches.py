@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections import Counter
 from statistics import median
 
@@ -70,11 +71,11 @@ def test_counters_against_model(spark, items):
     assert got == dict(model_sketch(items, COUNT_PARAMS, True))
 
 
-@pytest.mark.parametrize("dense", [0, 1_000_000])
+@pytest.mark.parametrize("width", [1, 97, 16_381, 16_382, 1_000_003])
 @pytest.mark.parametrize("params", [COUNT_PARAMS, EVEN])
-def test_estimates_against_model(spark, monkeypatch, dense, params):
-    monkeypatch.setattr(sketches, "DENSE_CELLS", dense)
-    items = [i * 7919 + 1_700_000_000 for i in range(60) for _ in range(1 + i % 5)]
+def test_estimates_against_model(spark, width, params):
+    params = params._replace(width=width)
+    items = [(i * 7919 + 1_700_000_000) * (-1) ** i for i in range(60) for _ in range(1 + i % 5)]
     df = items_frame(spark, items)
     freq = item_frequencies(df)
     cm = {
@@ -95,11 +96,11 @@ def test_estimates_against_model(spark, monkeypatch, dense, params):
         assert cs[item] == int(median(signed))
 
 
-@pytest.mark.parametrize("dense", [0, 1_000_000])
-def test_unseen_items_meet_absent_cells(spark, monkeypatch, dense):
-    monkeypatch.setattr(sketches, "DENSE_CELLS", dense)
-    empty = sketches.count_min_sketch(items_frame(spark, []), COUNT_MIN_PARAMS)
-    found = sketches.with_count_min_estimate(freq_frame(spark, {5: 1}), empty, COUNT_MIN_PARAMS)
+@pytest.mark.parametrize("width", [97, 1_000_003])
+def test_unseen_items_meet_absent_cells(spark, width):
+    params = COUNT_MIN_PARAMS._replace(width=width)
+    empty = sketches.count_min_sketch(items_frame(spark, []), params)
+    found = sketches.with_count_min_estimate(freq_frame(spark, {5: 1}), empty, params)
     assert found.first().est == 0
 
 
@@ -186,21 +187,21 @@ def test_listing_shows_the_smallest_ids(spark):
     assert hh.heavy_hitter_listing(freq, sketch, COUNT_MIN_PARAMS, 3, max_listed=2).count() == 2
 
 
-@pytest.mark.parametrize("dense", [0, 1_000_000])
-def test_both_estimates_from_one_pass(spark, monkeypatch, dense):
-    monkeypatch.setattr(sketches, "DENSE_CELLS", dense)
+@pytest.mark.parametrize("width", [97, 1_000_003])
+def test_both_estimates_from_one_pass(spark, width):
+    count_min, even = COUNT_MIN_PARAMS._replace(width=width), EVEN._replace(width=width)
     df = items_frame(spark, [i * 7919 + 1_700_000_000 for i in range(50) for _ in range(1 + i % 3)])
     freq = item_frequencies(df)
-    cm, cs = sketches.count_min_sketch(df, COUNT_MIN_PARAMS), sketches.count_sketch(df, EVEN)
+    cm, cs = sketches.count_min_sketch(df, count_min), sketches.count_sketch(df, even)
     apart = sketches.with_count_sketch_estimate(
-        sketches.with_count_min_estimate(freq, cm, COUNT_MIN_PARAMS, "cm_est"), cs, EVEN, "cs_est"
+        sketches.with_count_min_estimate(freq, cm, count_min, "cm_est"), cs, even, "cs_est"
     )
     for pair in (
-        sketches.sketch_pair(df, COUNT_MIN_PARAMS, EVEN),
-        sketches.sketch_pair(freq, COUNT_MIN_PARAMS, EVEN, weight="freq"),
-        sketches.pair_of(cm, cs, COUNT_MIN_PARAMS, EVEN),
+        sketches.sketch_pair(df, count_min, even),
+        sketches.sketch_pair(freq, count_min, even, weight="freq"),
+        sketches.pair_of(cm, cs, count_min, even),
     ):
-        both = sketches.with_both_estimates(freq, pair, COUNT_MIN_PARAMS, EVEN)
+        both = sketches.with_both_estimates(freq, pair, count_min, even)
         assert sorted(map(tuple, both.collect())) == sorted(map(tuple, apart.collect()))
 
 
@@ -222,10 +223,26 @@ def test_no_items(spark):
     assert tuple(row) == (0, 0, 0, None, None)
 
 
-def test_repeated_items_keep_their_rows_in_large_sketches(spark, monkeypatch):
+@pytest.mark.parametrize("width", [97, 1_000_003])
+def test_repeated_items_keep_their_rows(spark, width):
+    params = COUNT_MIN_PARAMS._replace(width=width)
     freq = spark.createDataFrame([(5, 1), (5, 1), (9, 2)], "item int, freq bigint")
-    sketch = sketches.count_min_sketch(freq, COUNT_MIN_PARAMS, weight="freq")
-    small = sorted(sketches.with_count_min_estimate(freq, sketch, COUNT_MIN_PARAMS).collect())
-    monkeypatch.setattr(sketches, "DENSE_CELLS", 1)
-    large = sorted(sketches.with_count_min_estimate(freq, sketch, COUNT_MIN_PARAMS).collect())
-    assert small == large and len(large) == 3
+    sketch = sketches.count_min_sketch(freq, params, weight="freq")
+    found = sorted(map(tuple, sketches.with_count_min_estimate(freq, sketch, params).collect()))
+    assert found == [(5, 1, 2), (5, 1, 2), (9, 2, 2)]
+
+
+def test_cells_no_item_can_hit_are_left_out(spark):
+    """A foreign table may fill the middle of a wide row; it must not fall onto other cells."""
+    params = SketchParams((HashRow(1, 0),), 100_000)
+    filled = spark.createDataFrame([(0, c, 1 if c in (5, 99_995) else 100) for c in (5, 8191, 50_000, 91_809, 99_995)], "d int, col int, counter bigint")
+    found = sketches.with_count_min_estimate(freq_frame(spark, {5: 1, -5: 1, 6: 1}), filled, params)
+    assert {r.item: r.est for r in found.collect()} == {5: 1, -5: 1, 6: 0}
+
+
+def test_the_index_is_bounded_by_the_depth(spark):
+    wide = COUNT_MIN_PARAMS._replace(width=2**31 - 1)
+    found = sketches.with_count_min_estimate(freq_frame(spark, {5: 1}), sketches.count_min_sketch(items_frame(spark, [5]), wide), wide)
+    assert found.first().est == 1
+    sizes = {int(n) for n in re.findall(r"Range \(0, (\d+)", found._jdf.queryExecution().optimizedPlan().toString())}
+    assert sizes == {16_381 * wide.depth}

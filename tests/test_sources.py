@@ -2,14 +2,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from equipoise.functions import geometry
-from equipoise.operators.series import series_points, series_summary
+from equipoise.operators.series import series_points, series_sample, series_summary
 from equipoise.session import shared_dir
 from equipoise.sources import mixture
 from equipoise.sources.mixture import mixture_counts, mixture_points
@@ -107,11 +109,44 @@ def test_shared_dir_follows_the_session(spark):
     assert re.search(r"/work-[0-9a-f]{32}$", shared_dir(spark, "work"))
 
 
-def test_number_of_splits_is_a_lower_bound(spark, tmp_path):
-    spark.range(60).selectExpr("cast(id as string) value").repartition(12).write.text(str(tmp_path / "lines"))
-    free = read_lines(spark, str(tmp_path / "lines")).rdd.getNumPartitions()
-    assert read_lines(spark, str(tmp_path / "lines"), 1).rdd.getNumPartitions() == free
-    assert read_lines(spark, str(tmp_path / "lines"), free + 5).rdd.getNumPartitions() == free + 5
+@pytest.mark.parametrize("files, lines", [(1, 2_000), (12, 60), (3, 30_000)])
+def test_number_of_splits_is_a_lower_bound(spark, tmp_path, files, lines):
+    path = str(tmp_path / "lines")
+    spark.range(lines).selectExpr("cast(id as string) value").repartition(files).write.text(path)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    for splits in (1, 5, 12, 40):
+        found = read_lines(spark, path, splits)
+        assert found.rdd.getNumPartitions() >= splits
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.sparkSession is spark and spark.conf.get("spark.sql.files.openCostInBytes") == before
+        assert sorted(int(r.value) for r in found.collect()) == list(range(lines))
+    assert not spark.catalog.listTables("global_temp")
+
+
+def test_a_scan_of_enough_splits_is_not_cut_further(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.range(400_000).selectExpr("cast(id as string) value").coalesce(1).write.text(path)
+    few, many = (read_lines(spark, path, n).rdd.getNumPartitions() for n in (4, 30))
+    assert 4 <= few <= 8 and 30 <= many <= 36
+
+
+def test_series_sample(spark):
+    rows = [(float(i % 700), float(-i), "A" if i % 3 else "B", 0 if i % 10 else 1) for i in range(3_000)]
+    rows += [(5.0, 5.0, "A", 0)] * 1_500 + [(1.0, 2.0, None, 2)]
+    points = spark.createDataFrame(rows, "x double, y double, grp string, cluster int")
+    found = [sorted(map(tuple, series_sample(points.repartition(n), 20, seed=4).collect())) for n in (1, 9)]
+    assert found[0] == found[1]
+    sizes = Counter(r[0] for r in found[0])
+    assert sizes == {"0-A": 20, "0-B": 20, "1-A": 20, "1-B": 20, "2": 1}
+    assert {r[1:] for r in found[0]} <= {r[:2] for r in rows}
+    # The rows with the smallest keys, by a key that tells them apart.
+    keyed = points.withColumn("id", F.monotonically_increasing_id()).persist()
+    got = series_sample(keyed, 7, key=-F.col("id"))
+    want = keyed.withColumn("r", F.row_number().over(Window.partitionBy("cluster", "grp").orderBy(F.desc("id")))).where("r <= 7")
+    assert sorted(map(tuple, got.select("x", "y").collect())) == sorted(map(tuple, want.select("x", "y").collect()))
+    assert series_sample(points.limit(0), 3).count() == 0
+    with pytest.raises(ValueError):
+        series_sample(points, 0)
 
 
 @pytest.mark.parametrize("rows, width", [(2, 30), (30, 2)])

@@ -60,7 +60,7 @@ def test_lines_agree_with_file_scan(spark, tmp_path):
     from_file = read_documents(spark, str(tmp_path / "docs.txt"), num_partitions=2)
     from_cell = wc.documents_by_line(frame(spark, [text]))
     assert sorted(r.text for r in from_file.collect()) == sorted(r.text for r in from_cell.collect())
-    assert from_file.rdd.getNumPartitions() == 2
+    assert from_file.rdd.getNumPartitions() >= 2
 
 
 def test_report(spark):
