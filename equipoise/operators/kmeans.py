@@ -13,9 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equipoise.functions.geometry import Centers, center_matrix
+from equipoise.operators.assignment import coords_to_numpy
 from equipoise.operators.fair_step import finish_step
 from equipoise.operators.lloyd import lloyd_rounds
-from equipoise.operators.moments import CODE_A, CODE_B, MomentTable, PackedPoints, group_sizes, only_two_groups, packed
+from equipoise.operators.moments import (
+    CODE_A,
+    CODE_B,
+    MomentTable,
+    PackedPoints,
+    group_sizes,
+    only_two_groups,
+    packed,
+    rows_of_blocks,
+)
 from equipoise.operators.objectives import centers_frame
 
 # The seed of the centre initialisation and the move that counts as standing still.
@@ -81,28 +91,46 @@ def initial_centers(points: DataFrame, k: int, seed: int = DEFAULT_SEED) -> Data
     return centers_frame(points.sparkSession, _train(points, k, 0, seed))
 
 
-def _candidates(points: DataFrame, key: Column, most: int) -> np.ndarray:
+def _hashes(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of every row's values; zeros of either sign are alike."""
+    bits = (x + 0.0).view(np.uint64)
+    out = np.full(len(x), (seed * 2 + 1) % (1 << 64), np.uint64)
+    for j in range(x.shape[1]):
+        out = (out ^ bits[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _candidates(points: PackedPoints, key: Column | None, seed: int, most: int) -> np.ndarray:
     """The ``most`` points of the smallest keys, one for each key.
 
     A task keeps its own smallest keys and passes nothing else on, so a point that a third of all
     rows repeat is one candidate and costs one row a task.
     """
+    dim = points.dim
+
+    def smallest(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, held = np.empty(0, np.int64), np.empty((0, dim))
+        for more, x in parts:
+            keys, first = np.unique(np.concatenate((keys, more)), return_index=True)
+            keys, held = keys[:most], np.concatenate((held, x))[first[:most]]
+        offsets = pa.array(np.arange(len(held) + 1, dtype=np.int32) * dim)
+        coords = pa.ListArray.from_arrays(offsets, pa.array(held.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), coords], ["key", "coords"])
+
+    def of_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from smallest((_hashes(x, seed), x) for x, _ in rows_of_blocks(batches, dim))
 
-    def smallest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            _, first = np.unique(table["key"].to_numpy(), return_index=True)
-            held = table.take(pa.array(first[:most]))
-        if held is not None:
-            yield from held.combine_chunks().to_batches()
+    def of_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from smallest((b.column(0).to_numpy(zero_copy_only=False), coords_to_numpy(b.column(1), dim)) for b in batches)
 
-    rows = points.select(key.cast("bigint").alias("key"), "coords").mapInArrow(smallest, "key bigint, coords array<double>")
-    found: dict[int, list[float]] = {}
-    for row in rows.orderBy("key", "coords").dropDuplicates(["key"]).orderBy("key").limit(most).collect():
-        found[row.key] = row.coords
-    return np.array([found[k] for k in sorted(found)], dtype=np.float64)
+    kept = "key bigint, coords array<double>"
+    if key is None:
+        found = points.blocks.mapInArrow(of_blocks, kept)
+    else:
+        found = points.points.select(key.cast("bigint").alias("key"), "coords").mapInArrow(of_rows, kept)
+    rows = found.groupBy("key").agg(F.min("coords").alias("coords")).orderBy("key").limit(most).collect()
+    return np.array([row.coords for row in rows], dtype=np.float64)
 
 
 def _reduced(candidates: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
@@ -127,16 +155,15 @@ def sampled_centers(
     are partitioned.
 
     Candidates are the ``OVERSAMPLING * k`` points whose hash comes first, weighted by the points
-    nearest to each: one pass to find them, one to count, and the rest on few rows. ``key`` replaces
-    the hash of the coordinates; rows of one key must be the same point. Fewer than ``k`` different
-    candidates give fewer centres.
+    nearest to each: one pass over the blocks to find them, one to count, and the rest on few rows.
+    ``key`` replaces the hash of the coordinates by a bigint of the rows, which are then read again;
+    rows of one key must be the same point. Fewer than ``k`` different candidates give fewer centres.
     """
     _check(k, 0)
     if not isinstance(points, PackedPoints):
         with packed(points) as blocks:
             return sampled_centers(blocks, k, seed, key)
-    hashed = F.xxhash64(F.lit(seed), F.col("coords")) if key is None else key
-    candidates = _candidates(points.points, hashed, OVERSAMPLING * k)
+    candidates = _candidates(points, key, seed, OVERSAMPLING * k)
     weights = MomentTable.of(points, center_matrix(candidates)).n.sum(axis=0)
     return centers_frame(points.points.sparkSession, _reduced(candidates, weights, k))
 

@@ -34,6 +34,8 @@ from equipoise.operators.moments import (
 SETTLED = 0.5
 # Share of points compared again from which anchoring anew pays.
 STALE = 0.4
+# Writing anchored blocks costs a few plain rounds, so as many must be left.
+WORTH_ROUNDS = 5
 # Bounds closer than this, relative to their size, count as meeting: rounding stays far below.
 MARGIN = 1e-9
 
@@ -114,8 +116,8 @@ def lloyd_rounds(points: PackedPoints, start: np.ndarray, max_iter: int, tol: fl
     """Centres after at most ``max_iter`` rounds; ends when none moves farther than ``tol``."""
     centers, held, anchor_next = start, None, False
     try:
-        for _ in range(max_iter):
-            if anchor_next:
+        for done in range(max_iter):
+            if anchor_next and max_iter - done >= WORTH_ROUNDS:
                 if held is not None:
                     held.frame.unpersist()
                 held = anchored(points, centers)
