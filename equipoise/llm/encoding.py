@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
+_BETWEEN = "\u3000"  # a space beyond the letters of the quick path
 WIDE_BYTES, NARROW_BYTES = 4 << 20, 1 << 20  # for encoders; for NumPy over single bytes
 
 
@@ -79,6 +80,9 @@ class _Encoder:
         self._sizes = np.array([len(b) for b, _ in table], np.int64)
         self._fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={b: r for r, (b, _) in enumerate(table)}, special_tokens={})
 
+    def _spell_all(self, words: list[str]) -> list[str]:
+        return [self._spelled(w) for w in words]
+
     def _words_to_ids(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """One run of the merge loop over all words; pieces never cross words, so their byte
         lengths tell where each word ends."""
@@ -94,7 +98,7 @@ class _Encoder:
         parts = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         codes = parts.flatten().dictionary_encode()
         first = np.asarray(parts.offsets)[:-1] - parts.offsets[0].as_py()
-        ids, offsets = self._words_to_ids([self._spelled(w) for w in codes.dictionary.to_pylist()])
+        ids, offsets = self._words_to_ids(self._spell_all(codes.dictionary.to_pylist()))
         index = codes.indices.to_numpy().astype(np.int64)
         index, ids, offsets = self._with_first(texts, whole, parts, first, index, ids, offsets)
         out, ends = take_ragged(ids, offsets, index)
@@ -159,8 +163,12 @@ class WordEncoder(_Encoder):
         basic += [(bytes([b]), 0) for b in range(256) if bytes([b]) not in known]  # never met: the merge loop wants all bytes
         self._ranked(basic + [(body(p), vocab[p]) for p in pieces], "[^ ]+ ")
         self._words = regex.compile(WORD_PATTERN)
+        self._inner_spaces = regex.compile(f"[^\\S {_BETWEEN}]+")
         self._whole = "[^\\x{0}-\\x{24f}\\x{2010}-\\x{203a}]|<\\|"
 
-    def _spelled(self, word: str) -> str:
-        words = self._words.findall(unicodedata.normalize("NFC", word).lower())
-        return "".join([w + " " for w in words])
+    def _spell_all(self, words: list[str]) -> list[str]:
+        """All words at once: joined by a space that none of them holds, and every piece that the
+        pattern finds followed by its end mark."""
+        joined = unicodedata.normalize("NFC", _BETWEEN.join(words)).lower()
+        marked = self._words.sub(r"\g<0> ", joined)
+        return self._inner_spaces.sub("", marked).split(_BETWEEN) if words else []

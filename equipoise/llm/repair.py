@@ -37,6 +37,7 @@ BLOCK_IDS = 1 << 20
 PART_ROWS = 16_000
 RULES_A_ROUND = 1024
 MIN_PAIRS = 16
+MAX_BROADCAST_BLOCKS = 2_000_000
 
 BLOCK = (
     "part int, block int, n_ids bigint, n_docs bigint, doc_ids binary, doc_nulls binary, doc_lengths binary, "
@@ -45,40 +46,71 @@ BLOCK = (
 STEP = 256  # every so many symbols a checkpoint notes the ids before them
 
 
+def _places(kinds: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pair stands in the sorted ``kinds``, and whether it does: by a table of hashes, and by
+    search for the few kinds that meet in one slot."""
+    hashed = lambda v: (v * np.uint32(2_654_435_761)) >> np.uint32(12)
+    own, asked = hashed(kinds), hashed(pairs)
+    table = np.zeros(1 << 20, np.int32)
+    table[own] = np.arange(len(kinds), dtype=np.int32)
+    at = table[asked]
+    found = kinds[at] == pairs
+    lost = own[table[own] != np.arange(len(kinds))]
+    if len(lost):
+        shared = np.zeros(1 << 20, bool)
+        shared[lost] = True
+        again = np.flatnonzero(~found & shared[asked])
+        at[again] = np.minimum(np.searchsorted(kinds, pairs[again]), len(kinds) - 1)
+        found[again] = kinds[at[again]] == pairs[again]
+    return at, found
+
+
 def compress(ids: np.ndarray, terminals: int = TERMINALS, rules_a_round: int = RULES_A_ROUND, min_pairs: int = MIN_PAIRS) -> tuple[np.ndarray, np.ndarray]:
-    """``(symbols, rules)``: rule k stands for symbol ``terminals + k`` and names two symbols."""
+    """``(symbols, rules)``: rule k stands for symbol ``terminals + k`` and names two symbols.
+
+    A pair of old symbols never becomes more frequent. So places whose pair was too rare in one round
+    are not counted in later ones, unless a new symbol comes next to them.
+    """
     symbols = ids.astype(np.uint32)
+    live = np.arange(max(0, len(symbols) - 1))  # places whose pair may still be frequent
     rules: list[np.ndarray] = []
     made = 0
     room = (1 << 16) - terminals
-    while len(symbols) > 1 and made < room:
-        pairs = (symbols[:-1] << np.uint32(16)) | symbols[1:]
+    while len(live) and made < room:
+        pairs = (symbols[live] << np.uint32(16)) | symbols[live + 1]
         ordered = np.sort(pairs)
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
         counts = np.diff(edges)
-        kinds = ordered[edges[:-1]]
         often = np.flatnonzero(counts >= min_pairs)
         if not len(often):
             break
-        best = often[np.lexsort((kinds[often], -counts[often]))][: min(rules_a_round, room - made)]
-        chosen = np.sort(kinds[best])
-        slot = np.full(1 << 16, -1, np.int32)  # first symbols that a rule starts with
-        slot[chosen >> np.uint32(16)] = 1
-        maybe = np.flatnonzero(slot[symbols[:-1]] > 0)
-        at = np.minimum(np.searchsorted(chosen, pairs[maybe]), len(chosen) - 1)
-        hit = chosen[at] == pairs[maybe]
-        where, at = maybe[hit], at[hit]
+        kinds, counts = ordered[edges[:-1]][often], counts[often]
+        best = np.lexsort((kinds, -counts))[: min(rules_a_round, room - made)]
+        number = np.full(len(kinds), -1)
+        number[np.sort(best)] = np.arange(len(best))  # rules of a round are in the order of their pairs
+        at, frequent = _places(kinds, pairs)
+        live, at = live[frequent], at[frequent]
+        hit = number[at] >= 0
+        where, rule = live[hit], number[at[hit]]
         # In a run of overlapping occurrences every second one is replaced, from the left.
         starts = np.concatenate(([True], np.diff(where) > 1)) if len(where) else np.empty(0, bool)
         run = np.maximum.accumulate(np.where(starts, np.arange(len(where)), 0))
         take = (np.arange(len(where)) - run) % 2 == 0
-        where, at = where[take], at[take]
-        symbols[where] = (terminals + made + at).astype(np.uint32)
+        where, rule = where[take], rule[take]
+        symbols[where] = (terminals + made + rule).astype(np.uint32)
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
-        symbols = symbols[keep]
+        open_ = np.zeros(len(symbols), bool)
+        open_[live] = True
+        open_[where] = True
+        before = where - 1  # the place before a new symbol is one or two to the left
+        before = np.where((before >= 0) & ~keep[before], before - 1, before)
+        open_[before[before >= 0]] = True
+        symbols, open_ = symbols[keep], open_[keep]
+        live = np.flatnonzero(open_[:-1])
+        chosen = kinds[np.sort(best)]
         rules.append(np.stack((chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)), axis=1).astype(np.uint16))
-        made += len(chosen)
+        made += len(best)
     return symbols.astype(np.uint16), np.concatenate(rules) if rules else np.empty((0, 2), np.uint16)
 
 
@@ -212,8 +244,8 @@ def read_documents(blocks: DataFrame) -> DataFrame:
                 )
 
     used = blocks.select("part", "block", "doc_ids", "doc_nulls", "doc_lengths", "rules", "symbols")
-    # Bounded: 24 bytes per block of a million ids.
-    return used.join(F.broadcast(starts), ["part", "block"]).mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    few = blocks.count() <= MAX_BROADCAST_BLOCKS  # 24 bytes each; more of them are joined by a shuffle
+    return used.join(F.broadcast(starts) if few else starts, ["part", "block"]).mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
