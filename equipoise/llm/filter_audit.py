@@ -24,6 +24,7 @@ are no rows. Very long texts are only hashed and counted. Extra columns are igno
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from itertools import permutations
 
@@ -200,9 +201,10 @@ def order_report(counts: DataFrame) -> DataFrame:
     """
     cells = F.collect_list(F.struct("mask", "n", "good", "toxic"))  # at most 32
     parts = counts.groupBy("part").agg(cells.alias("cells"))
-    step = "struct<filter_order: string, step: int, bit: int, before: int>"
-    steps = parts.sparkSession.createDataFrame([(orders(),)], f"steps array<{step}>")
-    rows = parts.join(F.broadcast(steps)).select("part", "cells", F.explode("steps").alias("s"))  # one row of 600 steps
+    names = ("filter_order", "step", "bit", "before")
+    steps = F.lit(json.dumps([dict(zip(names, step)) for step in orders()]))
+    steps = F.from_json(steps, "array<struct<filter_order: string, step: int, bit: int, before: int>>")
+    rows = parts.select("part", "cells", F.explode(steps).alias("s"))
     bit, before = F.col("s.bit"), F.col("s.before")
     zero = F.lit(0).cast("bigint")
 
