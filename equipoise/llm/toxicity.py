@@ -2,21 +2,27 @@
 
 Logistic regression on the words of a text and on their first four to six bytes (which generalises
 over endings), hashed into 2^18 buckets. A smooth absolute penalty keeps few features, and toxic
-texts, being rare, weigh more. In labelled texts, identity terms are swapped for one another;
-the square of the score's change is penalised, so that naming a group does not move the score.
-
-The model is fitted on at most ``MAX_LABELLED`` labelled documents in hash order (documented bound),
-on features that occur in at least ``MIN_DOCS`` of them. Every document is scored on its whole text in
+texts, being rare, weigh more. Every labelled text gives a counterfactual pair: its identity terms
+are swapped for others of their kind; a text without any lends a sentence into which a term and its
+swap are put. The square of the score's change is penalised, so that which group a text names does
+not move its score.
+
+The model is fitted on at most ``MAX_LABELLED`` labelled documents of at most ``MAX_FEATURES`` features
+(documented bounds of rows and bytes, applied behind the join), on features that occur in at least
+``MIN_DOCS`` of them or in a pair. Every document is scored on its whole text in
 one pass without a shuffle; the broadcast model has 2^18 weights. Labels, language, source and id are
 never inputs of a score.
 
 Cases: a null text counts as empty; an empty text gets the base rate. A null id is not held out.
-Null labels are not used; without labels every score is 0.
+Null labels are not used; without labels every score is 0. Rows that repeat an id are labelled each.
+Ties in the order of the sample are rows of equal features and label. A very long text is hashed
+once in its task. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,6 +38,8 @@ from equipoise.llm.words import counted, mix, span_hashes, word_spans
 
 BITS = 18
 MAX_LABELLED = 9_000
+MAX_FEATURES = 8_000
+SENTENCE_WORDS = 40
 MIN_DOCS = 4
 PREFIXES = (4, 5, 6)
 PENALTY = 1.0
@@ -55,6 +63,22 @@ IDENTITY_TERMS = (
     ("immigrant", "native"),
     ("disabled", "able-bodied"),
     ("old", "young"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden"),
+    ("schwarze", "weiße"),
+    ("schwule", "lesben", "heteros"),
+    ("ausländer", "einheimische"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("musulmans", "chrétiens", "juifs"),
+    ("noirs", "blancs"),
+    ("étrangers", "français"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("musulmanes", "cristianos", "judíos"),
+    ("negros", "blancos"),
+    ("extranjeros", "españoles"),
 )
 _NEXT = {term: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, term in enumerate(kind)}
 _TERMS = r"(?i)\b(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")\b"
@@ -65,6 +89,21 @@ def swapped(text: str) -> str:
     return re.sub(_TERMS, lambda m: _NEXT[m[0].lower()], text)
 
 
+def counterfactual(text: str) -> tuple[str, str]:
+    """A text and the same with other identity terms. Without any, a sentence of it with a term put
+    in the middle, and with the next one of its kind; which term follows from the text alone."""
+    other = swapped(text)
+    if other != text:
+        return text, other
+    digest = zlib.crc32(text.encode())
+    kind = IDENTITY_TERMS[digest % len(IDENTITY_TERMS)]
+    term = kind[digest // len(IDENTITY_TERMS) % len(kind)]
+    sentences = (s.split() for s in re.split(r"[.!?\n]+", text))
+    words = next((w for w in sentences if len(w) >= 3), [])[:SENTENCE_WORDS]
+    middle = len(words) // 2
+    return tuple(" ".join([*words[:middle], t, *words[middle:]]) for t in (term, _NEXT[term]))
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(bucket, text)``, each pair once."""
     raw, starts, ends, first = word_spans(texts, between="marks")
@@ -117,35 +156,43 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
-    """Fit on ``labels (doc_id, toxic)``; features are made in tasks, only they reach the driver."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``(toxic, ids, left, right)``: the features of labelled documents and of their pairs."""
+
+    def packed(texts: list[str]) -> list[bytes]:
+        kinds, rows = features(pa.array(texts, pa.string()))
+        ends = np.searchsorted(rows, np.arange(1, len(texts) + 1))
+        return [kinds[s:e].astype("<u4").tobytes() for s, e in zip(np.concatenate(([0], ends[:-1])), ends)]
 
     def featurise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, 0):
-                texts = batch.column(0)
-                other = pa.array([swapped(t) for t in texts.to_pylist()], pa.string())
-                out = []
-                for column in (texts, other):
-                    kinds, rows = features(column)
-                    ends = np.searchsorted(rows, np.arange(1, len(batch) + 1))
-                    out.append([kinds[s:e].astype("<u4").tobytes() for s, e in zip(np.concatenate(([0], ends[:-1])), ends)])
-                changed = [y if x != y else None for x, y in zip(*out)]
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out[0], pa.binary()), pa.array(changed, pa.binary())], ["toxic", "ids", "other"])
+                texts = batch.column(0).to_pylist()
+                left, right = zip(*map(counterfactual, texts))
+                columns = [pa.array(packed(list(c)), pa.binary()) for c in (texts, left, right)]
+                yield pa.RecordBatch.from_arrays([batch.column(1), *columns], ["toxic", "ids", "left", "right"])
 
     order = F.xxhash64(F.lit(7), "doc_id")
-    sample = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(order, "doc_id", "toxic").limit(max_labelled)
+    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    sample = known.orderBy(order, "doc_id", "toxic").limit(max_labelled)  # bounds what is broadcast
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    rows = rows.mapInArrow(featurise, "toxic int, ids binary, other binary").collect()
-    rows.sort(key=lambda r: (r.toxic, r.ids))  # reruns agree
+    rows = rows.mapInArrow(featurise, "toxic int, ids binary, left binary, right binary")
+    fitting = F.greatest(*[F.length(c) for c in ("ids", "left", "right")]) <= 4 * MAX_FEATURES
+    # Repeated ids can give more rows than labels.
+    return rows.where(fitting).orderBy(F.xxhash64("ids", "toxic"), "ids", "toxic", "right").limit(max_labelled)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, penalty: float = PENALTY) -> ToxicityModel:
+    """Fit on ``labels (doc_id, toxic)``; features are made in tasks, only they reach the driver."""
+    rows = training_rows(docs, labels, max_labelled).collect()
     read = lambda b: np.frombuffer(b, "<u4").astype(np.int64)
-    pairs = [(read(r.ids), read(r.other)) for r in rows if r.other is not None]
-    return fit_counterfactual([read(r.ids) for r in rows], np.array([r.toxic for r in rows], float), pairs)
+    pairs = [(read(r.left), read(r.right)) for r in rows]
+    return fit_counterfactual([read(r.ids) for r in rows], np.array([r.toxic for r in rows], float), pairs, penalty)
 
 
-def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity_digest(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    model = fit_toxicity(docs, labels.where(~held_out()))
+    model = fit_toxicity(docs, labels.where(~held_out()), penalty=penalty)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
