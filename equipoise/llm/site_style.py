@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from equipoise.llm.common import stored
 
 LEAST_PAGES = 4
-SHARE_OF_PAGES = 0.5
 LEAST_IMPORTANCE = 0.3
 PRESENTATION_WEIGHT = 0.3
 LONG_BRANCH = 40
@@ -59,12 +58,14 @@ NOISE_NAMES = frozenset(
     "recommendations share sharing social newsletter subscribe subscription signup login register popup modal overlay lightbox widget widgets "
     "pagination pager skip copyright legal disclaimer search searchbox form teaser outbrain taboola".split()
 )
+DOUBTFUL_NAMES = frozenset("discussion legal copyright disclaimer share sharing social related register search form skip rail widget widgets teaser promotion".split())
 COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt b i em strong a span".split())
 SPARED = PROSE | {"article", "main", "body", "html"}  # within an article or main part
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|<[/]?[a-zA-Z][^>]*(?:>|$)|[^<]+|<", re.S)
+# A quote opens a value only right behind "="; elsewhere it is a character like others.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*?(?:>|$)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\s(class|id|role|hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -72,34 +73,39 @@ _WORDS = re.compile(r"[a-z]+")
 
 class Block:
     """A run of text between block borders: its words, path, and what its ancestors say of it.
-    ``named`` counts the words and the linked words of each branch around it that is noise by name."""
+    ``named`` counts the words and the linked words of each branch around it that is noise by name,
+    and says whether that name could mean the story as well."""
 
     __slots__ = ("text", "path", "noise", "region", "named")
 
     def __init__(self, text: str, path: tuple[str, ...], noise: bool, region: int, named: tuple[list[int], ...]):
         self.text, self.path, self.noise, self.region, self.named = text, path, noise, region, named
 
-    def dropped(self) -> bool:
-        """Noise, or below a name that the branch's text does not contradict."""
-        return self.noise or any(words < LONG_BRANCH or linked > LINK_SHARE * words for words, linked in self.named)
+    def dropped(self, page_words: int) -> bool:
+        """Noise, or below a name that the branch's text does not contradict: a long one that holds
+        most of the page is the story, whatever it is called, and so may be one of a doubtful name."""
+        return self.noise or any(
+            linked > LINK_SHARE * words or words < LONG_BRANCH or (not doubtful and 2 * words < page_words)
+            for words, linked, doubtful in self.named
+        )
 
 
-def _describe(tag: str, token: str, inside_region: bool) -> tuple[str, bool, bool, int]:
-    """Label of an element in the tree, whether it is noise by itself and whether by its name alone,
-    and the region it opens: ``ARTICLE`` or ``MAIN``."""
+def _describe(tag: str, token: str, inside_region: bool) -> tuple[str, bool, frozenset[str] | set[str], int]:
+    """Label of an element in the tree, whether it is noise by itself, the noise names it bears
+    otherwise, and the region it opens: ``ARTICLE`` or ``MAIN``."""
     attributes = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(token)}
     names = set(_WORDS.findall(attributes.get("class", ""))) | set(_WORDS.findall(attributes.get("id", "")))
     role = attributes.get("role", "")
     noise = tag in BOILERPLATE or role in NOISE_ROLES or "hidden" in attributes
-    named = False
+    named = set()
     if tag not in ("html", "body", "article", "main"):
         noise = noise or bool(names & COMMENT_NAMES)
-        named = bool(names & NOISE_NAMES)
+        named = names & NOISE_NAMES
     if tag == "header" or "header" in names and tag != "body":
         noise = noise or not inside_region
     region = ARTICLE if tag == "article" or attributes.get("itemprop") == "articlebody" else MAIN if tag == "main" or role == "main" else 0
     label = tag + "".join("." + n for n in sorted(names)[:4])
-    return label, noise, named and not noise, region
+    return label, noise, set() if noise else named, region
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
@@ -189,7 +195,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[tuple[str, ...], str]]]:
         path = (parent[1] if parent else ()) + (label,)
         if parent:
             parent[4].append(label)
-        item = [tag, path, noise or bool(parent and parent[2]), region | (parent[3] if parent else 0), [], (parent[5] if parent else ()) + (([0, 0],) if named else ())]
+        item = [tag, path, noise or bool(parent and parent[2]), region | (parent[3] if parent else 0), [], (parent[5] if parent else ()) + (([0, 0, named <= DOUBTFUL_NAMES],) if named else ())]
         elements.append(item)
         stack.append(item)
     flush()
@@ -213,7 +219,8 @@ def _template(path: tuple[str, ...], removed: frozenset[str], spare: frozenset[s
 def main_text(page: str, removed: frozenset[str]) -> str:
     """The page's article, one line per block. ``removed`` holds the paths of the host's template."""
     blocks, _ = parse(page)
-    blocks = [b for b in blocks if not b.dropped()]
+    page_words = sum(len(b.text.split()) for b in blocks if not b.noise)
+    blocks = [b for b in blocks if not b.dropped(page_words)]
     sizes = [(b.region, 0 if _template(b.path, removed, SPARED if b.region else frozenset()) else len(b.text.split())) for b in blocks]
     half = sum(n for _, n in sizes) / 2
     region = next((r for r in (ARTICLE, MAIN) if sum(n for own, n in sizes if own & r) > half), 0)
@@ -263,16 +270,20 @@ def style_trees(pages: DataFrame) -> DataFrame:
 def removed_paths(pages: DataFrame) -> DataFrame:
     """``(host, removed)``: paths of each host that are template."""
     tree = stored(style_trees(pages), "tree")
-    hosts = pages.groupBy(host_of().alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     parts = F.split("path", ">")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ">"))
     content = tree.where("kind = 1").select("host", F.explode(above).alias("path"), "m", "importance")
     content = content.groupBy("host", "path").agg(F.max("importance").alias("content"))
     style = tree.where("kind = 0").select("host", "path", "m", F.col("importance").alias("style"))
-    joined = style.join(content, ["host", "path"]).join(hosts, "host")
+    joined = style.join(content, ["host", "path"])
     composite = PRESENTATION_WEIGHT * F.col("style") + (1 - PRESENTATION_WEIGHT) * F.col("content")
-    low = joined.where((F.col("m") >= SHARE_OF_PAGES * F.col("pages")) & (composite < LEAST_IMPORTANCE))
-    return low.groupBy("host").agg(F.collect_set("path").alias("removed"))
+    # A branch is judged on the pages that show it, so each layout of a host has its template.
+    low = joined.where((F.col("m") >= LEAST_PAGES) & (composite < LEAST_IMPORTANCE)).select("host", "path")
+    # Branches within removed branches say nothing more.
+    up = F.explode(F.slice(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ">")), 1, F.size(parts) - 1))
+    inner = low.select("host", "path", up.alias("above")).join(low.select("host", F.col("path").alias("above")), ["host", "above"], "left_semi")
+    top = low.join(inner.select("host", "path"), ["host", "path"], "left_anti")
+    return top.groupBy("host").agg(F.collect_set("path").alias("removed"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
