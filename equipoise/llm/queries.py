@@ -25,42 +25,52 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's source, its target and the words that the mix takes of it."""
     return mix_digest(spark, table(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and best score of every document under the unigram vocabulary."""
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays for every document, and whether it is itself."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of every document's ids, read back from the files."""
     return round_trip(table(spark, sf_dir, "documents"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
     return near_groups(table(spark, sf_dir, "documents"))
 
 
 def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
     return digest_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document."""
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and acceptance of every document."""
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
