@@ -30,7 +30,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces and best score of every document under the unigram vocabulary."""
+    """Number of unigram pieces of every document."""
     return token_counts(table(spark, sf_dir, "documents"))
 
 
