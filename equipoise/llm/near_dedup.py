@@ -4,8 +4,11 @@ A text is a weighted set of its five-word shingles (lower case, words between wh
 shingle's weight is its count in the text times an inverse document frequency between 1 and 2. Texts
 are alike if their weighted Jaccard similarity is 0.8 or more.
 
-1. Document frequencies of all shingles of all documents, as a one-row Count-Min table of 2^22
-   counters: fixed size, so its broadcast (4 MB of log levels) is bounded; it never underestimates.
+1. A shingle weighs 2 if at most R documents hold it, 1 if all N do, and 1 + log(N/n)/log(N/R) if n
+   do; R is a 2^20th of all (document, shingle) pairs, at least 1. So fewer than 2^20 shingles weigh
+   less than 2, however large the corpus, and a weight depends on the share of documents only, not
+   on the size of the input. A one-row Count-Min table of 2^22 counters tells which shingles may be
+   that frequent (it never underestimates); these are counted exactly, combined in the map tasks.
 2. Improved consistent weighted sampling (ICWS): 64 samples a text, in 16 bands of 4. Two texts of
    similarity 0.8 meet in a band with probability 0.9998, of 0.9 almost surely.
 3. Rows with equal texts become one node. In every bucket of a band one member leads (another in
@@ -44,8 +47,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20  # of texts that are compared with another block at once
 SKETCH_BITS = 22
+FREQUENT = 1 << 20  # shingles whose weight is below the highest
+_ENTRY = np.dtype([("shingle", "<u8"), ("idf", "<f8")])
+_HELD = 1 << 21
 _CHUNKS = 64
-_LEVELS = 8  # per factor of two
 _SEED = 0x5DEECE66D
 _COLUMNS = 1024  # of the matrices of a block
 
@@ -60,8 +65,8 @@ def weighted_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return counted(*shingles(*word_hashes(texts), SHINGLE))
 
 
-def document_frequencies(docs: DataFrame) -> tuple[bytes, int]:
-    """Log levels of the Count-Min counters, and the number of documents."""
+def _sketch(docs: DataFrame) -> np.ndarray:
+    """One-row Count-Min counters of the document frequencies of all shingles."""
     width = 1 << SKETCH_BITS
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,23 +98,71 @@ def document_frequencies(docs: DataFrame) -> tuple[bytes, int]:
     partial = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     for keys in (["chunk", "salt"], ["chunk"]):
         partial = partial.repartition(*keys).select("chunk", "data").mapInArrow(add_up, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    levels = np.zeros((_CHUNKS, width // _CHUNKS), np.uint8)
+    counters = np.zeros((_CHUNKS, width // _CHUNKS), np.uint64)
     for chunk, data, _ in partial.collect():  # 2^22 counters, whatever the corpus
-        sums = np.frombuffer(zlib.decompress(data), np.uint64).astype(np.float64)
-        levels[chunk] = np.round(np.log2(np.maximum(sums, 1)) * _LEVELS)
-    return levels.tobytes(), docs.count()
+        counters[chunk] = np.frombuffer(zlib.decompress(data), np.uint64)
+    return counters.ravel()
+
+
+def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> bytes:
+    """Shingles of more than R documents and their weights, as rows of ``_ENTRY`` by shingle.
+
+    R is the ``most``-th part of all pairs of a document and one of its shingles, so there are fewer
+    than ``most`` such shingles, and R grows with the corpus as their frequencies do.
+    """
+    counters = _sketch(docs)
+    rare = max(1.0, float(counters.sum()) / most)
+    mask = np.uint64(len(counters) - 1)
+    # Counters never underestimate: whatever is frequent has one above R.
+    shared = docs.sparkSession.sparkContext.broadcast((counters > rare).tobytes())
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe, held, size = np.frombuffer(shared.value, bool), [], 0
+        for big in batches:
+            for batch in slices(big, 0):
+                kinds, _, _ = weighted_shingles(batch.column(0))
+                held.append(kinds[maybe[(kinds & mask).astype(np.int64)]])
+                size += len(held[-1])
+                if size >= _HELD:
+                    yield _counts(held)
+                    held, size = [], 0
+        if size:
+            yield _counts(held)
+
+    def _counts(held: list) -> pa.RecordBatch:
+        kinds, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+    counts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "shingle bigint, n bigint")
+    # Fewer than ``most`` rows.
+    found = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(rare)).orderBy("shingle").toArrow()
+    shared.unpersist()
+    table = np.empty(len(found), _ENTRY)
+    table["shingle"] = found["shingle"].to_numpy()
+    documents = docs.count()
+    if len(found):
+        table["idf"] = 1.0 + np.log(documents / found["n"].to_numpy()) / np.log(documents / rare)
+    return table.tobytes()
 
 
 class Weights:
-    """TF-IDF weights from the broadcast log levels."""
+    """TF-IDF weights from the broadcast table of frequent shingles; all others weigh 2."""
 
-    def __init__(self, levels: bytes, documents: int):
-        self._levels = np.frombuffer(levels, np.uint8)
-        share = np.arange(256) / _LEVELS * np.log(2) / np.log(max(documents, 2))
-        self._idf = 2.0 - np.minimum(share, 1.0)
+    def __init__(self, frequent: bytes):
+        table = np.frombuffer(frequent, _ENTRY)
+        self._kinds, self._idf = table["shingle"].copy(), table["idf"].copy()
+        self._mask = np.uint64((1 << SKETCH_BITS) - 1)
+        self._maybe = np.zeros(1 << SKETCH_BITS, bool)
+        self._maybe[(self._kinds & self._mask).astype(np.int64)] = True
 
     def __call__(self, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts * self._idf[self._levels[(kinds & np.uint64(len(self._levels) - 1)).astype(np.int64)]]
+        idf = np.full(len(kinds), 2.0)
+        some = np.flatnonzero(self._maybe[(kinds & self._mask).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self._kinds, kinds[some]), len(self._kinds) - 1)
+            same = self._kinds[at] == kinds[some]
+            idf[some[same]] = self._idf[at[same]]
+        return counts * idf
 
 
 class Sampler:
@@ -147,12 +200,12 @@ class Sampler:
         return out
 
 
-def signatures(docs: DataFrame, levels: bytes, documents: int) -> DataFrame:
+def signatures(docs: DataFrame, frequent: bytes) -> DataFrame:
     """``doc_id, node, bands`` of every row; a text without words has no bands."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, sampler = Weights(shared.value, documents), Sampler(BANDS * ROWS)
+        weights, sampler = Weights(shared.value), Sampler(BANDS * ROWS)
         for big in batches:
             for batch in slices(big, 2):
                 for at in range(0, len(batch), 512):
@@ -176,12 +229,12 @@ def signatures(docs: DataFrame, levels: bytes, documents: int) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id bigint, node binary, bands array<bigint>")
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, levels: bytes, documents: int) -> DataFrame:
+def similarities(pairs: DataFrame, texts: DataFrame, frequent: bytes) -> DataFrame:
     """``(node, leader, similarity)`` by weighted Jaccard of the pairs' texts."""
-    shared = pairs.sparkSession.sparkContext.broadcast(levels)
+    shared = pairs.sparkSession.sparkContext.broadcast(frequent)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(shared.value, documents)
+        weights = Weights(shared.value)
         for big in batches:
             for batch in slices(big, 2):
                 (a, row_a, n_a), (b, row_b, n_b) = weighted_shingles(batch.column(2)), weighted_shingles(batch.column(3))
@@ -267,9 +320,9 @@ def _joining(pairs: np.ndarray, classes: np.ndarray) -> list[int]:
     return kept
 
 
-def _links_in_blocks(rows: DataFrame, texts: DataFrame, levels: bytes, documents: int, block_rows: int) -> DataFrame:
+def _links_in_blocks(rows: DataFrame, texts: DataFrame, frequent: bytes, block_rows: int) -> DataFrame:
     """Links ``(node, leader)`` that join the classes of every bucket; ``rows`` is (key, node, root)."""
-    shared = rows.sparkSession.sparkContext.broadcast(levels)
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
     rows = stored(rows.join(texts.select("node", "bytes"), "node"), "open")
     # Per bucket: its size, its largest class, and a name of its set of members.
     one, two = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
@@ -299,7 +352,7 @@ def _links_in_blocks(rows: DataFrame, texts: DataFrame, levels: bytes, documents
         if not len(left) or not len(right):
             return links
         text = group["text"].combine_chunks()
-        alike = _block_similarities(text.take(pa.array(left)), text.take(pa.array(right)), Weights(shared.value, documents)) >= THRESHOLD - 1e-9
+        alike = _block_similarities(text.take(pa.array(left)), text.take(pa.array(right)), Weights(shared.value)) >= THRESHOLD - 1e-9
         roots = np.unique(np.array(group["root"].to_pylist(), object), return_inverse=True)[1]
         alike &= roots[left][:, None] != roots[right][None, :]
         a, b = np.nonzero(alike)
@@ -315,7 +368,7 @@ def _links_in_blocks(rows: DataFrame, texts: DataFrame, levels: bytes, documents
     return found.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
 
 
-def alike(docs: DataFrame, signed: DataFrame, levels: bytes, documents: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+def alike(docs: DataFrame, signed: DataFrame, frequent: bytes, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Links ``(node, leader)`` of similarity 0.8 or more between different texts, enough to join
     every class, and the classes ``(node, root)``."""
     nodes = signed.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"))
@@ -328,22 +381,22 @@ def alike(docs: DataFrame, signed: DataFrame, levels: bytes, documents: int, blo
     leaders = stored(rows.groupBy("key").agg(first.alias("best")).select("key", F.col("best.node").alias("leader")), "leaders")
     met = rows.join(leaders, "key").where("node <> leader")
     pairs = met.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
-    links = stored(similarities(pairs, texts, levels, documents).where(F.col("similarity") >= THRESHOLD - 1e-9).select("node", "leader"), "links")
+    links = stored(similarities(pairs, texts, frequent).where(F.col("similarity") >= THRESHOLD - 1e-9).select("node", "leader"), "links")
     roots = _roots_of(links)
     # A leader has met its whole bucket and leaves; a bucket that is one class is done.
     rest = rows.join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
     rest = stored(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rest")
     open_ = rest.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
-    more = stored(_links_in_blocks(rest.join(open_, "key"), texts, levels, documents, block_rows), "links")
+    more = stored(_links_in_blocks(rest.join(open_, "key"), texts, frequent, block_rows), "links")
     links = links.unionByName(more).distinct()
     return links, _roots_of(links)
 
 
 def _classes(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signed rows ``(doc_id, node)``, links, and ``(node, root)`` of linked nodes."""
-    levels, documents = document_frequencies(docs)
-    signed = stored(signatures(docs, levels, documents), "signed")
-    links, roots = alike(docs, signed, levels, documents, block_rows)
+    frequent = frequent_shingles(docs)
+    signed = stored(signatures(docs, frequent), "signed")
+    links, roots = alike(docs, signed, frequent, block_rows)
     return signed.select("doc_id", "node"), links, roots
 
 

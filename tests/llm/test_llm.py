@@ -122,12 +122,46 @@ def test_near_family_in_blocks(spark):
 
 def test_block_similarities():
     texts = ["a b c d e f", "a b c d e g", "a a a a a a a a", "a a a a a a", "z"]
-    weights = near_dedup.Weights(bytes(1 << near_dedup.SKETCH_BITS), 5)
+    weights = near_dedup.Weights(b"")
     got = near_dedup._block_similarities(pa.array(texts), pa.array(texts), weights)
     assert got.diagonal() == pytest.approx(1)
     assert got[0, 1] == pytest.approx(1 / 3) and got[2, 3] == pytest.approx(1 / 2) and got[0, 4] == 0
 
 
+@pytest.mark.parametrize("most", [40, 1 << 20])
+def test_shingle_weights_do_not_depend_on_size(spark, most):
+    """Weights equal the stated rule's, and stay as they are when the corpus grows tenfold."""
+    rng = random.Random(2)
+    passage = words(rng, 12)
+    texts = [words(rng, rng.randint(1, 40)) + (" " + passage if i % 3 else "") for i in range(60)] + ["", None, "one two"]
+    found = {}
+    for times in (1, 10):
+        rows = [(n * 1000 + i, t, None) for n in range(times) for i, t in enumerate(texts)]
+        table = np.frombuffer(near_dedup.frequent_shingles(docs_of(spark, rows), most), near_dedup._ENTRY)
+        df = Counter()
+        for _, t, _ in rows:
+            df.update(near_dedup.weighted_shingles(pa.array([t or ""]))[0].tolist())
+        rare = max(1, sum(df.values()) / most)
+        want = {k: 1 + math.log(len(rows) / n) / math.log(len(rows) / rare) for k, n in df.items() if n > rare}
+        assert dict(table.tolist()) == pytest.approx(want) and len(want) < most
+        found[times] = want
+    if most == 40:
+        assert found[10] == pytest.approx(found[1]) and found[1]
+
+
+def test_near_dedup_recall_on_the_table(spark, sf_dir):
+    """All pairs of the smallest table by brute force: every pair of 0.8 or more is in one class."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text, None) for r in docs.select("doc_id", "text").collect()]
+    want = {}
+    for (i, _, _), c in zip(rows, near_classes(rows)):
+        want.setdefault(c, set()).add(i)
+    got = {}
+    for r in near_dedup.near_groups(docs).collect():
+        got.setdefault(r.class_id, set()).add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_mix(spark, sample):
     rows = [r for r in sample if r[0] not in (None, 5)]
     got = mixing.mix_digest(spark, docs_of(spark, rows)).collect()
