@@ -128,6 +128,54 @@ def test_block_similarities():
     assert got[0, 1] == pytest.approx(1 / 3) and got[2, 3] == pytest.approx(1 / 2) and got[0, 4] == 0
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """Digests of texts read in pieces are those of texts read at once, whatever the piece's size."""
+    rng = random.Random(8)
+    rank = np.array(rng.sample(range(digest.LEVELS), digest.LEVELS))
+    texts = [words(rng, 900).encode(), b"x" * 3000, b"yz" * 1500, bytes(range(256)) * 9]
+    whole = digest.digests(texts, rank)
+    for size in (100, 257, 1000):
+        monkeypatch.setattr(digest, "_CHUNK_BYTES", size)
+        assert digest.digests(texts, rank) == whole
+
+
+def test_likeness_of_many_filters():
+    """Blocks of filters give what comparing all filters one by one gives."""
+    rng = random.Random(9)
+    full = (1 << digest.FILTER_BITS) - 1
+    draw = lambda k: sum(1 << b for b in rng.sample(range(digest.FILTER_BITS), k))
+    for n, m in ((3, 5), (600, 700), (30, 1100)):
+        long = [draw(rng.randint(1, 600)) for _ in range(m)] + [full]
+        short = [rng.choice(long) if rng.random() < 0.3 else draw(rng.randint(1, 600)) for _ in range(n)]
+        total = 0.0
+        for x in short:
+            best = 0.0
+            for y in long:
+                a, b = x.bit_count(), y.bit_count()
+                chance, most = a * b / digest.FILTER_BITS, min(a, b)
+                best = max(best, ((x & y).bit_count() - chance) / (most - chance) if most > chance else float(x == y))
+            total += best
+        assert digest.likeness(short, long) == pytest.approx(min(1.0, total / n)) == digest.likeness(long, short)
+
+
+def test_digest_neighbours_over_many_parts(spark, monkeypatch):
+    """Parts of a few rows: every row meets the next by descending id, the last one the first."""
+    monkeypatch.setattr(digest, "PART_ROWS", 5)
+    rng = random.Random(10)
+    ids = [*(rng.randint(-(1 << 62), 1 << 62) for _ in range(60)), (1 << 63) - 1, 0, -1]
+    rows = [(i, words(rng, rng.randint(1, 30)), None) for i in ids] + [(None, "no id", None), (7, "same", None), (7, "same", None)]
+    got = digest._with_neighbours(docs_of(spark, rows)).select("part", "place", "doc_id", "text").collect()
+    own = sorted(((r.part, r.doc_id, r.text) for r in got if r.place == 0), key=lambda r: (r[0], r[1] is None, -(r[1] or 0)))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    assert [r[1:] for r in own] == [r[:2] for r in order] and own[-1][0] > 5
+    behind = {r.part: (r.doc_id, r.text) for r in got if r.place == 1}
+    first = {}
+    for part, *row in own:
+        first.setdefault(part, tuple(row))
+    parts = sorted(first)
+    assert behind == {p: first[q] for p, q in zip(parts, parts[1:] + parts[:1])}
+
+
 @pytest.mark.parametrize("most", [40, 1 << 20])
 def test_shingle_weights_do_not_depend_on_size(spark, most):
     """Weights equal the stated rule's, and stay as they are when the corpus grows tenfold."""
