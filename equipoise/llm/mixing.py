@@ -67,59 +67,72 @@ def route(patterns: Mapping[tuple, int], quotas: Mapping[object, int], max_copie
     """Min-cost flow of words from patterns to source quotas, ``{pattern: {source: words}}``.
 
     The k-th use of a word costs k, whatever its source, so successive shortest paths are maximum
-    flows under a capacity that grows by one copy per phase; earlier flow may be rerouted.
+    flows under a capacity that grows by one copy per phase; earlier flow may be rerouted. Each is
+    found by blocking flows over breadth-first levels: one round where no source is shared. Ties are
+    broken by the order of patterns, whatever the order they come in.
     """
-    flow: dict[tuple, dict[object, int]] = {p: dict.fromkeys(p, 0) for p in patterns}
-    members: dict[object, list[tuple]] = {}
-    for pattern in patterns:
-        for source in pattern:
-            members.setdefault(source, []).append(pattern)
-    sent = dict.fromkeys(patterns, 0)
-    got = dict.fromkeys(members, 0)
-    for copy in range(1, max_copies + 1):
-        while True:
-            parent: dict[tuple, tuple | None] = {}
-            queue: deque = deque()
-            for pattern, words in patterns.items():
-                if sent[pattern] < copy * words:
-                    parent["p", pattern] = None
-                    queue.append(("p", pattern))
-            end = None
-            while queue and end is None:
-                node = queue.popleft()
-                if node[0] == "p":
-                    for source in node[1]:
-                        step = ("s", source)
-                        if step not in parent:
-                            parent[step] = node
-                            if got[source] < quotas.get(source, 0):
-                                end = step
-                                break
-                            queue.append(step)
-                else:
-                    for pattern in members[node[1]]:
-                        if flow[pattern][node[1]] > 0 and ("p", pattern) not in parent:
-                            parent["p", pattern] = node
-                            queue.append(("p", pattern))
-            if end is None:
-                break
-            path = [end]
-            while parent[path[-1]] is not None:
-                path.append(parent[path[-1]])
-            path.reverse()
-            start = path[0][1]
-            room = min(copy * patterns[start] - sent[start], quotas[end[1]] - got[end[1]])
-            for a, b in zip(path, path[1:]):
-                if a[0] == "s":
-                    room = min(room, flow[b[1]][a[1]])
-            for a, b in zip(path, path[1:]):
-                if a[0] == "p":
-                    flow[a[1]][b[1]] += room
-                else:
-                    flow[b[1]][a[1]] -= room
-            sent[start] += room
-            got[end[1]] += room
-    return flow
+    names = sorted(patterns, key=lambda p: [(s is None, s or "") for s in p])
+    sources = sorted({s for p in names for s in p}, key=lambda s: (s is None, s or ""))
+    first = len(names)
+    number = {s: first + i for i, s in enumerate(sources)}
+    arcs: list[list[int]] = [[number[s] for s in p] for p in names] + [[] for _ in sources]
+    for i in range(first):
+        for j in arcs[i]:
+            arcs[j].append(i)
+    flow = [dict.fromkeys(arcs[i], 0) for i in range(first)]
+    room = [quotas.get(s, 0) for s in sources]
+    spare = [0] * first
+    for _ in range(max_copies):
+        spare = [left + patterns[p] for left, p in zip(spare, names)]
+        while goal := _levels(arcs, flow, spare, room):
+            _block(arcs, flow, spare, room, *goal)
+    return {p: {sources[j - first]: n for j, n in flow[i].items()} for i, p in enumerate(names)}
+
+
+def _levels(arcs: list[list[int]], flow: list[dict[int, int]], spare: list[int], room: list[int]) -> tuple[list[int], int] | None:
+    """Steps from a pattern with words left to every node, and to the nearest source with room."""
+    first = len(flow)
+    level = [0 if left > 0 else -1 for left in spare] + [-1] * len(room)
+    queue = deque(i for i in range(first) if level[i] == 0)
+    while queue:
+        node = queue.popleft()
+        if node >= first and room[node - first] > 0:
+            return level, level[node]
+        for other in arcs[node]:
+            if level[other] < 0 and (node < first or flow[other][node] > 0):
+                level[other] = level[node] + 1
+                queue.append(other)
+    return None
+
+
+def _block(arcs: list[list[int]], flow: list[dict[int, int]], spare: list[int], room: list[int], level: list[int], goal: int) -> None:
+    """Send words along shortest paths until each of them is blocked."""
+    first, tried = len(flow), [0] * len(arcs)
+    for start in range(first):
+        path = [start] if level[start] == 0 else []
+        while path and spare[start] > 0:
+            node = path[-1]
+            if level[node] == goal and node >= first and room[node - first] > 0:
+                back = [(p, s) for s, p in zip(path[1::2], path[2::2])]
+                words = min(spare[start], room[node - first], *[flow[p][s] for p, s in back])
+                for p, s in zip(path[::2], path[1::2]):
+                    flow[p][s] += words
+                for p, s in back:
+                    flow[p][s] -= words
+                spare[start] -= words
+                room[node - first] -= words
+                path = [start]
+                continue
+            while level[node] < goal and tried[node] < len(arcs[node]):
+                other = arcs[node][tried[node]]
+                if level[other] == level[node] + 1 and (node < first or flow[other][node] > 0):
+                    path.append(other)
+                    break
+                tried[node] += 1
+            else:
+                path.pop()
+                if path:
+                    tried[path[-1]] += 1
 
 
 def items_of(docs: DataFrame, sources: Column, seed: int) -> DataFrame:

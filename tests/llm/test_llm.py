@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, on small hand-made tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -259,6 +260,45 @@ def test_flow_of_overlapping_sources():
     assert mixing.capped_targets([10, 100], [3, 1], 60, 2) == [20.0, 40.0]
 
 
+def test_flow_against_brute_force():
+    """Words sent and their cost are those of the best of all flows, found by trying every one."""
+    rng = random.Random(12)
+    for _ in range(40):
+        sources = ["a", "b", None]
+        patterns = {p: rng.randint(0, 3) for k in (1, 2) for p in itertools.combinations(sources, k) if rng.random() < 0.6}
+        quotas = {s: rng.randint(0, 5) for s in sources}
+        got = mixing.route(patterns, quotas, 2)
+
+        def cost(sent):
+            return sum(n + max(0, n - patterns[p]) for p, n in sent.items())
+
+        best = (0, 0)
+        ways = [[x for x in itertools.product(range(2 * n + 1), repeat=len(p)) if sum(x) <= 2 * n] for p, n in patterns.items()]
+        for choice in itertools.product(*ways):
+            into, sent = Counter(), {}
+            for p, x in zip(patterns, choice):
+                sent[p] = sum(x)
+                into.update(dict(zip(p, x)))
+            if all(into[s] <= quotas[s] for s in sources):
+                best = min(best, (-sum(sent.values()), cost(sent)))
+        into, sent = Counter(), {p: sum(f.values()) for p, f in got.items()}
+        for f in got.values():
+            into.update(f)
+        assert all(into[s] <= quotas[s] for s in sources) and all(n <= 2 * patterns[p] for p, n in sent.items())
+        assert (-sum(sent.values()), cost(sent)) == best
+
+
+def test_flow_of_many_patterns():
+    """Patterns of one source are filled one by one; chains of overlapping ones end in time."""
+    n = 20_000
+    single = {(f"s{i}",): i % 7 for i in range(n)}
+    got = mixing.route(single, {f"s{i}": i % 11 for i in range(n)}, 2)
+    assert all(got[f"s{i}",][f"s{i}"] == min(i % 11, 2 * (i % 7)) for i in range(n))
+    chain = {(f"s{i:05}", f"s{i + 1:05}"): 10 for i in range(3_000)}
+    got = mixing.route(chain, {f"s{i:05}": 10 for i in range(3_001)}, 2)
+    assert sum(sum(f.values()) for f in got.values()) == 30_010
+
+
 def test_packing(spark, sample):
     got = packing.packed_documents(docs_of(spark, sample)).collect()
     exact = encoding.ByteEncoder(encoding.public_path("byte_bpe_50k.json"))
