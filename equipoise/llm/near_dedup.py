@@ -53,6 +53,7 @@ _HELD = 1 << 21
 _CHUNKS = 64
 _SEED = 0x5DEECE66D
 _COLUMNS = 1024  # of the matrices of a block
+_AT_ONCE = 1 << 15  # shingles that are sampled together
 
 
 def text_node(text: Column) -> Column:
@@ -182,22 +183,40 @@ class Sampler:
 
     def __call__(self, kinds: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Fingerprints ``[samples, texts]``; texts begin at ``starts`` and are not empty."""
-        low, high = np.uint64(0xFFFF), np.uint64(32)
         logs = np.log(weights).astype(np.float32)
         out = np.empty((len(self._seeds), len(starts)), np.uint32)
+        ends = np.append(starts[1:], len(kinds))
+        first = 0
+        while first < len(starts):  # whole texts at a time, few enough that their arrays stay in the cache
+            begin = starts[first]
+            last = max(first + 1, int(np.searchsorted(ends, begin + _AT_ONCE, "right")))
+            here = slice(begin, ends[last - 1])
+            self._fill(kinds[here], logs[here], starts[first:last] - begin, out[:, first:last])
+            first = last
+        return out
+
+    def _fill(self, kinds: np.ndarray, logs: np.ndarray, starts: np.ndarray, out: np.ndarray) -> None:
+        pair = np.empty((len(kinds), 2), "<u4")  # (mark, score) reads as one number that orders by score
+        whole = pair.view("<u8")[:, 0]
         for i, seed in enumerate(self._seeds):
             bits = mix(kinds ^ seed)
-            a = (bits & low).astype(np.int64)
-            b = ((bits >> np.uint64(16)) & low).astype(np.int64)
-            c = ((bits >> high) & low).astype(np.int64)
-            rate, shift = self._rate[a], self._uniform[c]
-            t = np.floor(logs * self._inverse[a] + shift)
-            score = self._log[b] - rate * (t - shift + 1)
-            order = score.view(np.uint32)
-            order = np.where(order >> np.uint32(31), ~order, order | np.uint32(1 << 31)).astype(np.uint64)
-            mark = (bits ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B1))) & np.uint64(0xFFFFFFFF)
-            out[i] = (np.minimum.reduceat((order << high) | mark, starts) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return out
+            a, b, c = (bits.view("<u2").reshape(-1, 4)[:, k].astype(np.intp) for k in range(3))
+            shift = self._uniform.take(c, mode="clip")
+            t = logs * self._inverse.take(a, mode="clip")
+            t += shift
+            np.floor(t, out=t)
+            # The score log(b) - rate * (t - shift + 1), in place.
+            shift -= t
+            shift -= np.float32(1)
+            shift *= self._rate.take(a, mode="clip")
+            shift += self._log.take(b, mode="clip")
+            flip = (shift.view(np.int32) >> np.int32(31)).view(np.uint32)
+            flip |= np.uint32(1 << 31)
+            np.bitwise_xor(shift.view(np.uint32), flip, out=pair[:, 1])
+            mark = t.astype(np.int32).view(np.uint32)
+            mark *= np.uint32(0x9E3779B1)
+            np.bitwise_xor(bits.astype(np.uint32), mark, out=pair[:, 0])
+            out[i] = np.minimum.reduceat(whole, starts).astype(np.uint32)
 
 
 def signatures(docs: DataFrame, frequent: bytes) -> DataFrame:
