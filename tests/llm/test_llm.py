@@ -499,15 +499,121 @@ def test_empty_tables(spark):
     assert [f.count() for f in frames] == [0] * len(frames)
 
 
-def test_pipeline_stages(spark, sample, tmp_path):
+def brute_targets(sizes):
+    """Shares of 150 % of all words, weights 3, 1, 2 by source; what is above twice a source goes to the others."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    target, open_, left = {}, set(names), 1.5 * sum(sizes.values())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not full:
+            target.update(share)
+            break
+        target.update({s: 2 * sizes[s] for s in full})
+        left -= sum(2 * sizes[s] for s in full)
+        open_ -= full
+    return target
+
+
+def brute_pieces(rows):
+    """``(doc_id, piece, start, length, crc32)`` of every row, counted."""
+    exact, want = encoding.ByteEncoder(encoding.public_path("byte_bpe_50k.json")), Counter()
+    for i, t, _ in rows:
+        ids = np.append(exact.exact(t or ""), 2).astype("<u4")
+        head = (len(ids) - 1) % 1024 + 1
+        for piece, (a, b) in enumerate(zip([0, *range(head, len(ids), 1024)], range(head, len(ids) + 1, 1024))):
+            want[(i, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()))] += 1
+    return want
+
+
+def test_pipeline_against_brute_force(spark, sample, tmp_path):
+    """Each stage does its work on all that its predecessor kept, and ``run`` returns the rows of the last one."""
     import corpus_pipeline
 
+    rng = random.Random(9)
     rows = [r for r in sample if r[0] not in (None, 5)]
+    poor = [(1000 + i, " ".join(rng.choice(["zz%", "qq#", "vv&"]) for _ in range(30 + i)), f"s{i % 3}") for i in range(60)]
+    rows += poor
     docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    now = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, str(tmp_path))
-        assert now.columns == docs.columns
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    labels = [(i, int(i < 1000), 0) for i, t, _ in rows if t and t.strip()]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "exact_dedup", "near_dedup", "mixing", "packing"]
+
+    def after(name, now):
+        out = stages[name](spark, now, str(tmp_path))
+        assert out.columns == docs.columns
+        path = str(tmp_path / name)
+        out.write.parquet(path)
+        out = spark.read.parquet(path)
+        return out, [(r.doc_id, r.text, r.source) for r in out.collect()]
+
+    now, graded = after("quality", docs)
+    assert set(graded) <= set(rows) and len(graded) == len(set(graded))
+    left = {r[0] for r in graded}
+    assert not left & {r[0] for r in poor} and {i for i, good, _ in labels if good} <= left
+
+    now, single = after("exact_dedup", now)
+    stays = {}
+    for r in graded:
+        stays[r[1] or ""] = max(stays.get(r[1] or "", r), r, key=lambda x: x[0])
+    assert sorted(single, key=str) == sorted(stays.values(), key=str)
+
+    now, apart = after("near_dedup", now)
+    least = {}
+    for r, c in zip(single, near_classes(single)):
+        least[c] = min(least.get(c, r), r, key=lambda x: x[0])
+    assert len(least) < len(single) and sorted(apart, key=str) == sorted(least.values(), key=str)
+
+    now, mixture = after("mixing", now)
+    copies, sizes, taken = Counter(mixture), Counter(), Counter()
+    assert set(copies) <= set(apart) and max(copies.values()) <= 2
+    size = {r: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in apart}
+    for r in apart:
+        sizes[r[2]] += size[r]
+        taken[r[2]] += size[r] * copies[r]
+    for s, target in brute_targets(sizes).items():
+        gap = target - taken[s]
+        # One text holds most of s0, so its target is out of reach: then nothing that fits may be left.
+        assert gap > -0.5 and (gap <= 0.05 * target + 5 or not [r for r in apart if r[2] == s and copies[r] < 2 and 0 < size[r] <= gap])
+
+    got = [tuple(r) for r in stages["packing"](spark, now, str(tmp_path)).collect()]
+    assert Counter(r[:5] for r in got) == brute_pieces(mixture)
+    assert Counter(tuple(r)[:5] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(r[:5] for r in got)
+
+
+def test_near_groups_with_null_and_repeated_ids(spark, sample):
+    """Rows that repeat id and text are copies; a row without id is in its class, whose id is the least that is not null."""
+    classes = {}
+    for r, c in zip(sample, near_classes(sample)):
+        classes.setdefault(c, []).append(r[0])
+    want = Counter((i, min((j for j in ids if j is not None), default=None), len(ids)) for ids in classes.values() for i in ids)
+    got = near_dedup.near_groups(docs_of(spark, sample)).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == want
+    kept = near_dedup.drop_near_duplicates(docs_of(spark, sample)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(min(i for i in ids if i is not None) for ids in classes.values())
+
+
+def test_samples_are_those_of_the_formula(monkeypatch):
+    """Every sample is the shingle of least score, whatever number of texts is sampled at once."""
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 40, 50)
+    starts = np.cumsum(lengths) - lengths
+    kinds = rng.integers(1 << 44, size=int(lengths.sum()), dtype=np.uint64)
+    weights = rng.uniform(1, 50, len(kinds))
+    sampler = near_dedup.Sampler(8)
+    got = sampler(kinds, weights, starts)
+    for at_once in (1, 37, 200):
+        monkeypatch.setattr(near_dedup, "_AT_ONCE", at_once)
+        assert (sampler(kinds, weights, starts) == got).all()
+    for i, seed in enumerate(sampler._seeds):
+        bits = near_dedup.mix(kinds ^ seed)
+        a, b, c = ((bits >> np.uint64(k)) & np.uint64(0xFFFF) for k in (0, 16, 32))
+        t = np.floor(np.log(weights).astype(np.float32) * sampler._inverse[a] + sampler._uniform[c])
+        score = sampler._log[b] - sampler._rate[a] * (t - sampler._uniform[c] + 1)
+        mark = (bits ^ (t.astype(np.uint64) * np.uint64(0x9E3779B1))) & np.uint64(0xFFFFFFFF)
+        for k, (start, n) in enumerate(zip(starts, lengths)):
+            best = start + np.flatnonzero(score[start : start + n] == score[start : start + n].min())
+            assert got[i, k] in mark[best]
