@@ -72,6 +72,11 @@ def affine_hash(item: Column, a: int | Column, b: int | Column) -> Column:
     return wrapped % HASH_PRIME
 
 
+def wrapped_int(wide: Column) -> Column:
+    """A 64-bit value as a 32-bit integer by its low bits; a cast would raise in ANSI mode."""
+    return ((wide.bitwiseAND(F.lit(_INT_SPAN - 1)) + _INT_HALF).bitwiseAND(F.lit(_INT_SPAN - 1)) - _INT_HALF).cast("int")
+
+
 def row_struct(row: HashRow, **more: Column) -> Column:
     """The parameters of a sketch row as one value, with further fields."""
     return F.struct(*[F.lit(v).alias(n) for n, v in row._asdict().items()], *[c.alias(n) for n, c in more.items()])

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equipoise.functions.hashing import HashRow, SketchParams
+from equipoise.functions.hashing import HashRow, SketchParams, wrapped_int
 from equipoise.sources.replay import replay, stage_in_order
 
 # Fixed values of the catalogue: centres, a second set to compare with, hash parameters.
@@ -106,8 +106,12 @@ EMBEDDING_DIM = 64
 
 
 def item_of(user_id: Column) -> Column:
-    """Wide 32-bit ids, so that hashing wraps around."""
-    return (user_id * 104729 + 1500000000).cast("int")
+    """Wide 32-bit ids, so that hashing wraps around.
+
+    The ids wrap as well: the factor is odd, so users share an item only if their ids are equal
+    modulo 2^32.
+    """
+    return wrapped_int(wrapped_int(user_id).cast("bigint") * 104729 + 1500000000)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
