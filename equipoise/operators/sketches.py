@@ -6,7 +6,7 @@ the sketch of a union is the sum of the sketches, and a frequency table sketches
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equipoise.functions.hashing import HASH_PRIME, HashRow, SketchParams, bucket, row_struct, sign
@@ -127,11 +127,6 @@ def _slots(params: SketchParams) -> int:
     return min(params.width, 2 * HASH_PRIME - 1)
 
 
-def _slot(col: Column, width: Column, slots: Column) -> Column:
-    """The number of a column when the empty middle of its row is left out."""
-    return F.when(col < HASH_PRIME, col).otherwise(col - (width - slots))
-
-
 def _index_rows(params: SketchParams, signed: bool, first: int = 0) -> list[Column]:
     """Parameters of every row for reading: ``start`` is the row's first slot."""
     slots = _slots(params)
@@ -140,40 +135,43 @@ def _index_rows(params: SketchParams, signed: bool, first: int = 0) -> list[Colu
             row,
             start=F.lit(first + d * slots),
             slots=F.lit(slots),
-            width=F.lit(params.width),
             signed=F.lit(signed),
         )
         for d, row in enumerate(params.checked().rows)
     ]
 
 
-def _to_slots(cells: DataFrame, params: SketchParams, first_cell: int = 0, first_slot: int = 0) -> DataFrame:
-    """``(slot, counter)`` of one sketch's part of ``(cell, counter)``."""
-    cell, width, slots = F.col("cell") - first_cell, F.lit(params.width), _slots(params)
-    row, col = F.floor(cell / params.width).cast("int"), (cell % width).cast("int")
-    reachable = cell.between(0, params.cells - 1) & ((col < HASH_PRIME) | (col > width - HASH_PRIME))
-    return cells.where(reachable).select((row * slots + _slot(col, width, F.lit(slots)) + first_slot).alias("slot"), "counter")
+def _slot_cells(spark: SparkSession, params: SketchParams, first_cell: int = 0, first_slot: int = 0) -> DataFrame:
+    """``(slot, cell)`` of every slot of a sketch whose line of counters begins at ``first_cell``."""
+    slots, slot = _slots(params), F.col("id")
+    row, place = F.floor(slot / slots), slot % slots
+    col = F.when(place < HASH_PRIME, place).otherwise(place + (params.width - slots))
+    ids = spark.range(params.depth * slots, numPartitions=1)
+    return ids.select((slot + first_slot).alias("slot"), (row * params.width + col + first_cell).alias("cell"))
 
 
-def _read_cells(freq: DataFrame, slots: DataFrame, size: int, rows: list[Column]) -> DataFrame:
+def _read_cells(freq: DataFrame, cells: DataFrame, slots: DataFrame, rows: list[Column]) -> DataFrame:
     """Add ``_read``: the signed counters that every item meets, in the order of the rows.
 
     The counters become one array that travels with the plan: at most 16,381 values a row of the
-    sketch, whatever its width.
+    sketch, whatever its width. Slots look up their cells: a condition on the cells would be pushed
+    down to the hits of the items and written out there as code that the JIT refuses.
     """
-    ids = freq.sparkSession.range(size, numPartitions=1).withColumnRenamed("id", "slot")
-    filled = ids.join(slots, "slot", "left").select(
+    filled = slots.join(cells, "cell", "left").select(
         F.struct("slot", F.coalesce("counter", F.lit(0)).alias("counter")).alias("entry")
     )
     ordered = F.transform(F.sort_array(F.collect_list("entry")), lambda e: e["counter"])
     dense = filled.agg(ordered.alias("counters")).scalar()
 
-    def counter(row: Column) -> Column:
-        col = bucket(F.col("item"), row, row["width"])
-        return F.col("_counters")[row["start"] + _slot(col, row["width"], row["slots"])] * _sign(row)
+    def hit(row: Column) -> Column:
+        # Slots wrap around as columns do: without the empty middle the remainders still fit.
+        at = row["start"] + bucket(F.col("item"), row, row["slots"])
+        return F.struct(at.alias("at"), _sign(row).alias("sign"))
 
-    read = F.transform(F.array(*rows), counter)
-    return freq.withColumn("_counters", dense).withColumn("_read", read).drop("_counters")
+    # The array is only referred to here; a column of it would be copied for every item.
+    hits = [F.col("_hits")[d] for d in range(len(rows))]
+    read = F.array(*[dense[h["at"]] * h["sign"] for h in hits])
+    return freq.withColumn("_hits", F.transform(F.array(*rows), hit)).withColumn("_read", read).drop("_hits")
 
 
 def _count_estimate(depth: int, rows: str) -> Column:
@@ -188,8 +186,8 @@ def with_count_min_estimate(
     freq: DataFrame, sketch: DataFrame, params: SketchParams, name: str = "est"
 ) -> DataFrame:
     """Add the Count-Min estimate of every ``item``: its smallest counter, never below the truth."""
-    slots = _to_slots(_to_cells(sketch, params), params)
-    read = _read_cells(freq, slots, params.depth * _slots(params), _index_rows(params, signed=False))
+    slots = _slot_cells(freq.sparkSession, params)
+    read = _read_cells(freq, _to_cells(sketch, params), slots, _index_rows(params, signed=False))
     return read.withColumn(name, F.array_min("_read")).drop("_read")
 
 
@@ -200,8 +198,8 @@ def with_count_sketch_estimate(
 
     With an even number of rows the two middle values are averaged, truncated toward zero.
     """
-    slots = _to_slots(_to_cells(sketch, params), params)
-    read = _read_cells(freq, slots, params.depth * _slots(params), _index_rows(params, signed=True))
+    slots = _slot_cells(freq.sparkSession, params)
+    read = _read_cells(freq, _to_cells(sketch, params), slots, _index_rows(params, signed=True))
     return read.withColumn(name, _count_estimate(params.depth, "_read")).drop("_read")
 
 
@@ -210,9 +208,10 @@ def with_both_estimates(
 ) -> DataFrame:
     """Add ``cm_est`` and ``cs_est`` of every ``item`` from a ``sketch_pair``."""
     first = count_min.depth * _slots(count_min)
-    slots = _to_slots(pair, count_min).unionByName(_to_slots(pair, count, count_min.cells, first))
+    spark = freq.sparkSession
+    slots = _slot_cells(spark, count_min).unionByName(_slot_cells(spark, count, count_min.cells, first))
     rows = _index_rows(count_min, signed=False) + _index_rows(count, signed=True, first=first)
-    read = _read_cells(freq, slots, first + count.depth * _slots(count), rows)
+    read = _read_cells(freq, pair, slots, rows)
     split = read.withColumn("_cm", F.slice("_read", 1, count_min.depth)).withColumn(
         "_cs", F.slice("_read", count_min.depth + 1, count.depth)
     )
